@@ -54,3 +54,14 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
 def crc32_of_id(doc_id: Column) -> Column:
     """CRC-32 of an id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the session's shared folder. Only where none is set, as in tests, a
+    temporary folder of this machine is taken."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        import tempfile
+
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return df.checkpoint()
