@@ -1,8 +1,9 @@
 """The queries of this subpackage and their SQL."""
 
-from hirelake.llm import bpe, quality, sharding, simhash, url_filter
+from hirelake.llm import bpe, quality, sharding, simhash, suffix_dedup, url_filter
 
 QUERIES = {
+    "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
