@@ -1,15 +1,17 @@
 """The queries of this subpackage and their SQL."""
 
-from hirelake.llm import bpe, quality, sharding, simhash, suffix_dedup, url_filter
+from hirelake.llm import bpe, decontam, quality, sharding, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
     "op4_simhash": simhash.op4_simhash,
+    "op5_decontamination": decontam.op5_decontamination,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality": quality.op9_quality,
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
+    "op5_decontamination": decontam.OP5_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
