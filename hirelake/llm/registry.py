@@ -1,9 +1,10 @@
 """The queries of this subpackage and their SQL."""
 
-from hirelake.llm import bpe, decontam, quality, sharding, simhash, suffix_dedup, url_filter
+from hirelake.llm import bpe, decontam, line_dedup, quality, sharding, simhash, suffix_dedup, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontam.op5_decontamination,
     "op7_sharding": sharding.op7_sharding,
