@@ -1,12 +1,14 @@
 """The queries of this subpackage and their SQL."""
 
-from hirelake.llm import bpe, decontam, line_dedup, quality, sharding, simhash, suffix_dedup, url_filter
+from hirelake.llm import bpe, decontam, language, line_dedup, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_suffix_dedup": suffix_dedup.op1_suffix_dedup,
+    "op2_language": language.op2_language,
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontam.op5_decontamination,
+    "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,
     "op9_quality": quality.op9_quality,
