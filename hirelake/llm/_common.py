@@ -73,3 +73,10 @@ def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
     share = min(1.0, rows / max(1, df.count()))
     chosen = df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
     return chosen.limit(2 * rows)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that the driver and all executors see; a temporary one only where none is set, as in tests."""
+    import tempfile
+
+    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shared-")

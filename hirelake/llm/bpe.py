@@ -24,7 +24,7 @@ from functools import cache
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm._common import map_rows, read
@@ -249,10 +249,10 @@ def encode_documents(documents: DataFrame, vocabulary: Callable[[], tuple[str, s
     return short.unionByName(long)
 
 
-def digests(encoded: DataFrame) -> DataFrame:
-    return encoded.select("doc_id", (F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+def digest_columns() -> list[Column]:
+    return [(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the encoding of every text of documents, and of what it decodes to."""
-    return digests(encode_documents(read(spark, sf_dir, "documents")))
+    return encode_documents(read(spark, sf_dir, "documents")).select("doc_id", *digest_columns())
