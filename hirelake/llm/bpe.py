@@ -3,10 +3,10 @@
 An encoding is an element of a monoid: two neighbouring encodings can be joined without encoding either again. Two
 facts make the join exact.
 
-* Pretokens: a match of the pattern that ends before the end of its text never changes when text is appended, because
-  the pattern has no lookbehind and looks ahead by one character at most; and matching from a place where a match
-  starts depends only on what follows. So after joining, only matches from the last one on the left up to the first
-  common match start on the right are found anew.
+* Pretokens: the pattern has no lookbehind, and which match it finds depends on at most LOOKAHEAD characters behind the
+  match: one for the end of a run, two where 'll might have matched. So a match that ends that far before the end of its
+  text never changes when text is appended; and matching from a place where a match starts depends only on what follows.
+  After joining, only the last matches on the left up to the first common match start on the right are found anew.
 * Tokens: a sequence of tokens is the BPE encoding of its bytes exactly if each neighbouring pair, encoded alone, stays
   as it is. So after joining, a window of tokens about the seam is encoded anew and widened until the pairs at both of
   its ends are stable; tokens outside it cannot change.
@@ -31,6 +31,8 @@ from hirelake.llm._common import map_rows, read
 
 #: Characters of a leaf: texts and halves up to this length are matched in one go.
 LEAF_CHARS = 16_384
+#: Characters behind a match that decide on it.
+LOOKAHEAD = 2
 #: Bytes of a pretoken that is merged directly; longer ones are halved.
 LEAF_BYTES = 6
 #: Pretokens, leaves and seams whose encoding a task remembers, each.
@@ -158,10 +160,14 @@ class Codec:
         return self.join_matches(self.matches(text[:half]), self.matches(text[half:]))
 
     def join_matches(self, left: list[str], right: list[str]) -> list[str]:
-        """Matches from the last one on the left on are found anew, until one starts where one on the right does."""
+        """Matches at the end of the left that aren't final are found anew, until one starts where one on the right does."""
         if not left or not right:
             return left + right
-        tail, wide = left[-1], 2
+        kept, behind = len(left), 0
+        while kept and behind < LOOKAHEAD:
+            kept -= 1
+            behind += len(left[kept])
+        left, tail, wide = left[:kept], "".join(left[kept:]), 2
         while True:
             window = tail + "".join(right[:wide])
             starts, place = {}, len(tail)
@@ -169,15 +175,14 @@ class Codec:
                 starts[place] = k
                 place += len(match)
             fresh: list[str] = []
-            # A match that ends before the window does is final.
             for m in self.pattern.finditer(window):
-                if m.start() in starts and fresh:
-                    return left[:-1] + fresh + right[starts[m.start()] :]
-                if m.end() == len(window) and wide < len(right):
+                if m.start() in starts:
+                    return left + fresh + right[starts[m.start()] :]
+                if m.end() + LOOKAHEAD > len(window) and wide < len(right):
                     break
                 fresh.append(m[0])
             else:
-                return left[:-1] + fresh + right[wide:]
+                return left + fresh + right[wide:]
             wide *= 2
 
     def encode(self, text: str) -> list[int]:
