@@ -51,6 +51,14 @@ def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Itera
     return df.mapInArrow(run, schema)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """The name, with marks behind until no column of df has it; names don't differ by case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def crc32_of_id(doc_id: Column) -> Column:
     """CRC-32 of an id written as text; null ids count as the empty text."""
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
@@ -67,6 +75,15 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it only does once their plans are collected as
+    garbage. For operators that shuffle whole texts after steps that are checkpointed."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
     """About that many rows, and never more than twice as many, chosen by a digest of doc_id: the same in every run.
     Needs a count, but no sort or shuffle."""

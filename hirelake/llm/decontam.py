@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from hirelake.llm._common import ascii_lower, checkpointed, read
+from hirelake.llm._common import ascii_lower, checkpointed, free_name, read
 
 WINDOW = 13
 #: What separates words, after A-Z are lower-cased.
@@ -123,8 +123,9 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the contaminated ones."""
-    bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias("bad_id"), F.col("digest").alias("bad_digest")).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col("bad_id")) & (F.xxhash64("doc_id", "text") == F.col("bad_digest")), "left_anti")
+    id_, digest = free_name(documents, "bad_id"), free_name(documents, "bad_digest")
+    bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct()
+    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(digest)), "left_anti")
 
 
 OP5_SQL = r"""
