@@ -53,7 +53,7 @@ def generate(spark: SparkSession, seed: int = 1, employers: int = 10, candidates
         views=_draw(seed, "views", 4_991) + 10, salary_min=low, salary_max=low + 5_000_000, deadline=F.date_add(F.lit(START).cast("date"), 30),
     )
     first = _draw(seed, "tag", len(TAGS))
-    out["job_tags"] = numbers(jobs).select(F.col("id").alias("job_id"), F.explode(F.array(first + 1, F.pmod(first + 1 + _draw(seed, "second", len(TAGS) - 1), F.lit(len(TAGS))) + 1)).cast("long").alias("tag_id"))
+    out["job_tags"] = numbers(jobs).select(F.col("id").alias("job_id"), F.explode(F.array(first + 1, F.pmod(first + 1 + _draw(seed, "second", len(TAGS) - 1), F.lit(len(TAGS))) + 1).cast("array<bigint>")).alias("tag_id"))
     # Jobs at steps from a drawn one are different as long as there are enough jobs.
     applied = numbers(candidates, employers + 1).withColumn("k", F.explode(F.sequence(F.lit(0), _draw(seed, "applications", 3) + 2)))
     applied = applied.select(F.col("id").alias("candidate_id"), (F.pmod(_draw(seed, "job", jobs) + F.col("k") * max(1, jobs // 7), F.lit(jobs)) + 1).cast("long").alias("job_id"), (F.col("id") * 10 + F.col("k")).alias("id"))
