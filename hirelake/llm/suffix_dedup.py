@@ -34,6 +34,8 @@ LENGTH = 100
 GRAM = 32
 #: Bytes of text in a block, and bytes hashed at a time.
 BLOCK_BYTES, CHUNK = 8 << 20, 1 << 18
+#: Partitions that blocks are dealt to; of more blocks, a partition holds several, which are taken one by one.
+MOST_PARTITIONS = 20_000
 #: Segments under one anchor of more than this many are sent window by window, filed under the window's own hash.
 MOST_SEGMENTS = 20_000
 
@@ -315,7 +317,7 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         if held:
             yield flush()
 
-    packed = rows.mapInArrow(pack_blocks, "block int, blob binary").repartition(blocks, "block")
+    packed = rows.mapInArrow(pack_blocks, "block int, blob binary").repartition(min(blocks, MOST_PARTITIONS), "block")
 
     def blobs(table: pa.Table) -> list[bytes]:
         return table["blob"].to_pylist()
