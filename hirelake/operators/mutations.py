@@ -16,8 +16,7 @@ def overlaid(df: DataFrame, where: Column, **values: Column) -> DataFrame:
 
 
 def merged(df: DataFrame, changes: DataFrame, key: str = "id") -> DataFrame:
-    """Columns of changes replace those of the rows with the same key, where they aren't null. Several changes of a key
-    are refused by Spark's assert at run time only if they would multiply rows; give one."""
+    """Columns of changes replace those of the rows with the same key, where they aren't null. changes holds a key once."""
     columns = [c for c in changes.columns if c != key]
     new = changes.select(F.col(key).alias("changed_key"), *(F.col(c).alias(f"new_{c}") for c in columns))
     out = df.join(new, F.col(key) == F.col("changed_key"), "left")
@@ -48,8 +47,7 @@ def links_replaced(bridge: DataFrame, parent: str, child: str, new: DataFrame) -
 
 
 def got_or_created(df: DataFrame, names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """The table with a row for each name that it lacks. New keys follow the greatest one, in the order of the names'
-    digests: zipped by a running number over the new names only."""
+    """The table with a row for each name that it lacks, blanks around it left out. New keys are above the greatest one."""
     new = names.select(F.trim(F.col(name)).alias(name)).where(F.col(name) != "").distinct().join(df.select(F.col(name).alias("known")), F.col(name) == F.col("known"), "left_anti")
     top = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
     # monotonically_increasing_id has gaps but needs no global sort, and keys need only differ.
