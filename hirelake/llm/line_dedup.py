@@ -14,44 +14,58 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm._common import ascii_lower, checkpointed, read
+from hirelake.llm._common import checkpointed, free_name, read, release_shuffles
 
 #: Lines of fewer words are only compared for equality: one word of four is too much to differ.
 MIN_WORDS = 5
 #: Words at the beginning or the end that near lines of at least twice as many words have in common.
-SIDE = 6
+SIDE = 4
 #: Documents whose lines are looked up by broadcasting their ids; more are joined by a shuffle.
 MAX_BROADCAST = 200_000
-WHITE = r"[\x20\x09-\x0D]+"
+WHITE = " \t\r\x0b\x0c"
 ORDER = ("no_id", "doc_id", "digest", "line")
 
 
-def line_words(line: Column) -> Column:
-    """Words of a line, A-Z lower-cased; an empty array for a line without any."""
-    trimmed = F.regexp_replace(ascii_lower(line), r"^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$", "")
-    return F.split(trimmed, WHITE)
-
-
 def row_key(documents: DataFrame) -> DataFrame:
     return documents.withColumns({"no_id": F.col("doc_id").isNull(), "digest": F.xxhash64("doc_id", "text")})
 
 
-def lines_of(documents: DataFrame) -> DataFrame:
-    """no_id, doc_id, digest, line (from 0) and words of each line with a word."""
-    split = F.split(F.coalesce("text", F.lit("")), "\n")
-    rows = row_key(documents.select("doc_id", "text")).select("no_id", "doc_id", "digest", F.posexplode_outer(split).alias("line", "content"))
-    return rows.select(*ORDER, line_words(F.col("content")).alias("words")).where(F.col("words")[0] != "")
+def trimmed(line: Column) -> Column:
+    return F.btrim(line, F.lit(WHITE))
+
+
+def words_of(content: Column) -> Column:
+    """Words of a trimmed line: what is between single blanks, so a second blank counts as an empty word."""
+    return F.split(content, " ")
 
 
-def hashes(words: Column) -> list[Column]:
-    """128 bits that tell word sequences apart. A sequence in two parts hashes as its whole."""
-    return [F.xxhash64(words).alias("h1"), F.xxhash64(F.lit(1), words).alias("h2")]
+def has_words(content: Column, n: int) -> Column:
+    """Whether a trimmed line has n words or more."""
+    return F.substring_index(content, " ", n - 1) != content
 
 
-def shared(keys: DataFrame) -> DataFrame:
-    """h1, h2 of lines with a key (column key) that another line has too."""
-    common = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    return keys.join(common, "key", "left_semi").select("h1", "h2").distinct()
+def lines_of(documents: DataFrame, min_words: int) -> DataFrame:
+    """Of each line with a word its place (no_id, doc_id, digest, line from 0), a hash of 128 bits, whether it may be near
+    others (fuzzy), and hashes of its beginning and its end if these are apart."""
+    split = F.split(F.coalesce("text", F.lit("")), "\n")
+    rows = row_key(documents.select("doc_id", "text")).select("no_id", "doc_id", "digest", F.posexplode_outer(split).alias("line", "content"))
+    content = F.col("content")
+    side = has_words(content, 2 * SIDE)
+    rows = rows.select(*ORDER, trimmed(content).alias("content")).where(content != "")
+    return rows.select(
+        *ORDER,
+        F.xxhash64("content").alias("h1"),
+        F.xxhash64(F.lit(1), "content").alias("h2"),
+        has_words(content, min_words).alias("fuzzy"),
+        F.when(side, F.xxhash64(F.lit(0), F.substring_index("content", " ", SIDE))).alias("begins"),
+        F.when(side, F.xxhash64(F.lit(1), F.substring_index("content", " ", -SIDE))).alias("ends"),
+    )
+
+
+def shared(keyed: DataFrame) -> DataFrame:
+    """The rows whose key (column key) another row has too."""
+    common = keyed.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    return keyed.join(common, "key", "left_semi")
 
 
 def half_keys(words: Column) -> Column:
@@ -67,27 +81,28 @@ def half_keys(words: Column) -> Column:
 
 
 def near_lines(lines: DataFrame) -> DataFrame:
-    """lines has h1, h2, order (a struct that sorts by place) and words, distinct in h1 and h2. Returns h1, h2 of those
-    that are near an earlier line. No pairs are made: of the lines with a key only the earliest is joined to the rest."""
+    """lines has id, order (a struct that sorts by place) and content (trimmed); a line may be there twice in the same
+    place. Returns the id of those that are near an earlier line. No pairs are made: of the lines with a key only the
+    earliest is joined to the rest."""
     words, n = F.col("words"), F.size("words")
-    keyed = lines.select("h1", "h2", F.explode(half_keys(words)).alias("key"))
-    some = lines.join(shared(keyed), ["h1", "h2"])
-    place = F.explode(F.sequence(F.lit(0), n)).alias("place")
-    variants = some.select("h1", "h2", "order", "words", place)
+    some = shared(lines.select("id", F.explode(half_keys(words_of(F.col("content")))).alias("key"))).select("id").distinct()
+    variants = lines.join(some, "id").select("id", words_of(F.col("content")).alias("words")).select("id", "words", F.explode(F.sequence(F.lit(0), n)).alias("place"))
     # Place 0 is the line itself.
     rest = [F.when(F.col("place") == 0, words).otherwise(F.slice(words, 1, F.greatest(F.col("place") - 1, F.lit(0)))), F.slice(words, F.col("place") + 1, F.when(F.col("place") == 0, 0).otherwise(n))]
-    variants = variants.select("h1", "h2", "order", "place", F.xxhash64(*rest).alias("k1"), F.xxhash64(F.lit(1), *rest).alias("k2"))
+    variants = variants.select("id", "place", F.xxhash64(*rest).alias("key"), F.xxhash64(F.lit(1), *rest).alias("k2"))
+    # Few variants are left here, and they get the places of their lines.
+    variants = checkpointed(shared(variants).withColumn("key", F.struct("key", "k2")).drop("k2").join(lines.select("id", "order"), "id"))
     itself = F.col("place") == 0
     # Substitutions: the same place deleted. Insertions and deletions: a line itself, and others without a word.
-    same = variants.where(~itself).groupBy("k1", "k2", "place").agg(F.min("order").alias("first"), F.count("*").alias("n")).where("n > 1")
-    other = variants.groupBy("k1", "k2").agg(F.min(F.when(itself, F.col("order"))).alias("whole"), F.min(F.when(~itself, F.col("order"))).alias("part")).where(F.col("whole").isNotNull() & F.col("part").isNotNull())
-    found = variants.where(~itself).join(same, ["k1", "k2", "place"]).select("h1", "h2", "order", F.col("first").alias("near"))
-    found = found.unionByName(variants.join(other, ["k1", "k2"]).select("h1", "h2", "order", F.when(itself, F.col("part")).otherwise(F.col("whole")).alias("near")))
-    found = found.where(F.col("near") < F.col("order")).groupBy("h1", "h2").agg(F.min("near").alias("near"))
+    same = variants.where(~itself).groupBy("key", "place").agg(F.min("order").alias("near"))
+    other = variants.groupBy("key").agg(F.min(F.when(itself, F.col("order"))).alias("whole"), F.min(F.when(~itself, F.col("order"))).alias("part"))
+    found = variants.where(~itself).join(same, ["key", "place"]).select("id", "order", "near")
+    found = found.unionByName(variants.join(other, "key").select("id", "order", F.when(itself, F.col("part")).otherwise(F.col("whole")).alias("near")))
+    found = checkpointed(found.where(F.col("near") < F.col("order")).groupBy("id").agg(F.min("near").alias("near")))
     # The distance is verified on the words of the line and its witness.
-    witness = lines.select(F.col("order").alias("near"), F.col("words").alias("near_words"))
-    checked = found.join(lines.select("h1", "h2", "words"), ["h1", "h2"]).join(witness, "near")
-    return checked.where(within_one_edit(words, F.col("near_words"))).select("h1", "h2")
+    witness = lines.select(F.col("order").alias("near"), words_of(F.col("content")).alias("near_words"))
+    checked = found.join(lines.select("id", words_of(F.col("content")).alias("words")), "id").join(witness, "near")
+    return checked.where(within_one_edit(words, F.col("near_words"))).select("id")
 
 
 def within_one_edit(a: Column, b: Column) -> Column:
@@ -105,47 +120,61 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, digest and lines (numbers from 0) of the lines to remove, for documents that have any."""
-    side = F.size("words") >= 2 * SIDE
-    hashed = lines_of(documents).select(*ORDER, *hashes(F.col("words")), F.size("words").alias("n_words"), F.when(side, F.xxhash64(F.lit(0), F.slice("words", 1, SIDE))).alias("begins"), F.when(side, F.xxhash64(F.lit(1), F.slice("words", -SIDE, SIDE))).alias("ends"))
-    order = F.struct(*ORDER)
-    distinct = hashed.groupBy("h1", "h2", "n_words", "begins", "ends").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    distinct = checkpointed(distinct.select("h1", "h2", "n_words", "begins", "ends", "n", "first.*"))
-    ends = distinct.where(F.col("begins").isNotNull()).select("h1", "h2", F.explode(F.array("begins", "ends")).alias("key"))
-    some = distinct.join(shared(ends), ["h1", "h2"], "left_semi").unionByName(distinct.where(F.col("begins").isNull() & (F.col("n_words") >= min_words)))
-    wanted = checkpointed(some.groupBy("no_id", "doc_id", "digest").agg(F.collect_list(F.struct("line", "h1", "h2")).alias("wanted")))
+    spark, order = documents.sparkSession, F.struct(*ORDER)
+    hashed = lines_of(documents, min_words)
+    distinct = hashed.groupBy("h1", "h2", "fuzzy", "begins", "ends").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    distinct = checkpointed(distinct.select("h1", "h2", "fuzzy", "begins", "ends", "n", "first.*"))
+    release_shuffles(spark)
+    place = ["h1", "h2", *ORDER]
+    some = shared(distinct.where(F.col("begins").isNotNull()).select(*place, F.explode(F.array("begins", "ends")).alias("key"))).select(*place)
+    some = some.unionByName(distinct.where(F.col("begins").isNull() & F.col("fuzzy")).select(*place))
+    wanted = checkpointed(some.groupBy("no_id", "doc_id", "digest").agg(F.collect_set(F.struct("line", "h1", "h2")).alias("wanted")))
+    release_shuffles(spark)
     if wanted.count() <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = row_key(documents.select("doc_id", "text")).withColumn("id", F.coalesce("doc_id", F.lit(0)))
     wanted = wanted.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
     found = texts.join(wanted, ["no_id", "id", "digest"]).select("no_id", "doc_id", "digest", F.split("text", "\n").alias("content"), F.explode("wanted").alias("x"))
-    found = found.select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), F.struct("no_id", "doc_id", "digest", F.col("x.line").alias("line")).alias("order"), line_words(F.element_at("content", F.col("x.line") + 1)).alias("words"))
-    near = near_lines(checkpointed(found.dropDuplicates(["h1", "h2"]))).withColumn("near", F.lit(True))
+    found = found.select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), F.struct("no_id", "doc_id", "digest", F.col("x.line").alias("line")).alias("order"), trimmed(F.element_at("content", F.col("x.line") + 1)).alias("content"))
+    found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()))
+    release_shuffles(spark)
+    near = found.join(near_lines(found), "id").select("h1", "h2", F.lit(True).alias("near")).distinct()
     bad = distinct.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near")).select("h1", "h2", F.struct(*ORDER).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
-    places = hashed.select("h1", "h2", *ORDER).join(bad, ["h1", "h2"]).where(F.col("near") | (order > F.col("first")))
-    return places.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("lines"))
+    places = hashed.select("h1", "h2", *ORDER).join(checkpointed(bad), ["h1", "h2"]).where(F.col("near") | (order > F.col("first")))
+    gone = checkpointed(places.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("lines")))
+    release_shuffles(spark)
+    return gone
+
+
+COUNTS = ("n_lines", "n_removed")
 
 
-def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: tuple[str, str] = COUNTS) -> DataFrame:
     """Removes each line that equals an earlier line or, if it has min_words words or more, is near one.
 
-    Lines end at \\n; A-Z count as a-z, and white space between words as equal. Earlier: in a document with a smaller
-    doc_id (a null one comes last; of equal ids the smaller digest of the text comes first), or above in the same. Lines
-    are judged against all earlier lines of the input, removed ones included. Lines without a word stay.
+    Lines end at \\n; white space at their ends doesn't count, and words are what is between single blanks. Earlier: in a
+    document with a smaller doc_id (a null one comes last; of equal ids the smaller digest of the text comes first), or
+    above in the same. Lines are judged against all earlier lines of the input, removed ones included. Lines without a
+    word stay.
 
-    Returns the columns of documents, with text replaced, and n_lines and n_removed (long), for each row. A null text stays null and has no line; an empty text stays empty. Rows alike in
-    id and text keep the same lines. No rows give none. Other columns are carried along; those named n_lines or n_removed
-    are replaced.
+    Returns the columns of documents, with text replaced, and n_lines and n_removed (long) or other names from counts,
+    for each row. A null text stays null and has no line; an empty text stays empty. Rows alike in id and text keep the
+    same lines. No rows give none. Other columns are carried along; those named like a count are replaced.
     """
-    gone = repeated_lines(documents, min_words).select(F.col("doc_id").alias("gone_id"), F.col("digest").alias("gone_digest"), F.col("lines").alias("gone_lines"))
-    columns = [c for c in documents.columns if c not in ("n_lines", "n_removed")]
-    rows = documents.select(*columns).join(gone, F.col("doc_id").eqNullSafe(F.col("gone_id")) & (F.xxhash64("doc_id", "text") == F.col("gone_digest")), "left")
-    content = F.split("text", "\n")
-    kept = F.filter(content, lambda x, i: ~F.array_contains("gone_lines", i))
-    text = F.when(F.col("gone_lines").isNull(), F.col("text")).otherwise(F.array_join(kept, "\n"))
-    removed = F.when(F.col("gone_lines").isNull(), 0).otherwise(F.size("gone_lines"))
-    n_lines = F.when(F.col("text").isNull(), 0).otherwise(F.size(content))
-    out = rows.select(*[c for c in columns if c != "text"], text.alias("new_text"), n_lines.cast("long").alias("n_lines"), removed.cast("long").alias("n_removed"))
-    return out.withColumnRenamed("new_text", "text").select(*columns, "n_lines", "n_removed")
+    gone = repeated_lines(documents, min_words)
+    columns = [c for c in documents.columns if c not in counts]
+    rows = documents.select(*columns)
+    id_, digest, lines, new = (free_name(documents, n) for n in ("gone_id", "gone_digest", "gone_lines", "new_text"))
+    gone = gone.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("lines").alias(lines))
+    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(digest)), "left")
+    content, unchanged = F.split("text", "\n"), F.col(lines).isNull()
+    kept = F.filter(content, lambda x, i: ~F.array_contains(lines, i))
+    out = rows.withColumns({
+        new: F.when(unchanged, F.col("text")).otherwise(F.array_join(kept, "\n")),
+        counts[0]: F.when(F.col("text").isNull(), 0).otherwise(F.size(content)).cast("long"),
+        counts[1]: F.when(unchanged, 0).otherwise(F.size(lines)).cast("long"),
+    })
+    return out.select(*(F.col(new).alias("text") if c == "text" else c for c in columns), *counts)
 
 
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
