@@ -71,7 +71,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     if context.getCheckpointDir() is None:
         import tempfile
 
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
 
 
@@ -87,13 +87,14 @@ def release_shuffles(spark: SparkSession) -> None:
 def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
     """About that many rows, and never more than twice as many, chosen by a digest of doc_id: the same in every run.
     Needs a count, but no sort or shuffle."""
-    share = min(1.0, rows / max(1, df.count()))
-    chosen = df.where(F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1_000_000)) < round(share * 1_000_000))
-    return chosen.limit(2 * rows)
+    if (n := df.count()) <= rows:
+        return df.limit(2 * rows)
+    bound = -(1 << 63) + (rows << 64) // n  # digests are spread over all signed 64-bit numbers
+    return df.where(F.xxhash64(F.lit(seed), "doc_id") < bound).limit(2 * rows)
 
 
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the driver and all executors see; a temporary one only where none is set, as in tests."""
     import tempfile
 
-    return spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shared-")
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shared-")
