@@ -1,8 +1,8 @@
 """Language identification with averaged embeddings of hashed subwords and a linear softmax.
 
-The subwords of a word are its character n-grams with marks at both ends, and their hashes pick rows of an embedding
+The subwords of a word are n-grams of its bytes with a mark at both ends, and their hashes pick rows of an embedding
 table. A text's vector is the mean over the subwords of its words. Table and softmax are trained by stochastic gradient
-descent in numpy on a bounded sample. As all of it is linear, a task adds up one short vector for each word.
+descent in numpy on a bounded sample. As all of it is linear, a task adds up one short row for each subword.
 
 Rejection is calibrated on a part of the sample that is not trained on: a temperature makes the scores probabilities, and
 the threshold is one below which hardly any of these texts score.
@@ -10,15 +10,13 @@ the threshold is one below which hardly any of these texts score.
 
 from __future__ import annotations
 
-import zlib
 from dataclasses import dataclass
 
 import numpy as np
-import regex
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm._common import crc32_of_id, read, sample_by_id
+from hirelake.llm._common import crc32_of_id, free_name, read, sample_by_id
 
 #: Rows of the sample (at most twice as many), and characters of the longest text in it.
 SAMPLE_ROWS, SAMPLE_CHARS = 3_000, 50_000
@@ -30,16 +28,37 @@ EPOCHS, RATE, BATCH = 6, 0.5, 16
 REJECTED, MOST = 0.001, 0.5
 UNKNOWN = "und"
 
-_LETTERS = regex.compile(r"\p{L}+")
-
-
-def subwords(word: str) -> list[int]:
-    """Buckets of the subwords of the letters in a word; none for a word without letters."""
-    out = []
-    for part in _LETTERS.findall(word.lower()):
-        marked = f"<{part[:64]}>"
-        out += [zlib.crc32(marked[i : i + n].encode()) % BUCKETS for n in GRAMS for i in range(len(marked) - n + 1)]
-    return out
+#: Bytes of a text that are hashed at a time.
+CHUNK = 1 << 16
+#: ASCII letters stay, other ASCII becomes the mark between words; bytes beyond ASCII count as letters.
+_MARKED = bytes(b if b >= 128 or chr(b).isalpha() else 32 for b in range(256))
+
+
+def subwords(text: str) -> np.ndarray:
+    """Buckets of all subwords of a text; none for a text without letters."""
+    if not any(map(str.isalpha, text)):
+        return np.empty(0, np.uint16)
+    data = np.frombuffer(b" " + text.lower().encode().translate(_MARKED) + b" ", np.uint8)
+    return np.concatenate([_hashed(data[at : at + CHUNK + max(GRAMS) - 1], CHUNK) for at in range(0, len(data), CHUNK)])
+
+
+def _hashed(data: np.ndarray, starts: int) -> np.ndarray:
+    """Buckets of the n-grams that begin at the first starts places, without those that have a mark inside or nothing
+    else."""
+    codes, marks = data.astype(np.uint32), data == 32
+    out, hashed, inside = [], np.zeros(len(data), np.uint32), np.zeros(len(data), bool)
+    for n in range(1, max(GRAMS) + 1):
+        m = len(data) - n + 1
+        if m <= 0:
+            break
+        hashed = hashed[:m] * np.uint32(0x01000193) + codes[n - 1 :]
+        if n > 2:
+            inside = inside[:m] | marks[n - 2 : n - 2 + m]
+        if n in GRAMS:
+            lone = marks[:m] if n == 1 else marks[:m] & marks[n - 1 :] if n == 2 else inside[:m]
+            good = np.flatnonzero(~lone[:starts])
+            out.append((((hashed[good] + np.uint32(n)) * np.uint32(0x9E3779B1)) >> np.uint32(32 - BUCKETS.bit_length() + 1)).astype(np.uint16))
+    return np.concatenate(out) if out else np.empty(0, np.uint16)
 
 
 @dataclass
@@ -50,8 +69,13 @@ class Model:
     temperature: float = 1.0
     threshold: float = 0.0
 
-    def scores(self, total: np.ndarray, n: int) -> np.ndarray:
-        z = (total / max(1, n) + self.bias) / self.temperature
+    def scores(self, found: np.ndarray) -> np.ndarray:
+        """Probabilities of the languages for some subwords."""
+        if len(found) > BUCKETS // 8:
+            total = np.bincount(found, minlength=BUCKETS) @ self.table
+        else:
+            total = self.table[found].sum(axis=0)
+        z = (total / max(1, len(found)) + self.bias) / self.temperature
         z = np.exp(z - z.max())
         return z / z.sum()
 
@@ -67,15 +91,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
     languages = sorted(set(labels))
     if not languages:
         return Model([], np.zeros((BUCKETS, 0)), np.zeros(0))
-    known: dict[str, list[int]] = {}
-    features = []
-    for text in texts:
-        found: list[int] = []
-        for word in text.split():
-            if word not in known:
-                known[word] = subwords(word)
-            found += known[word]
-        features.append(np.array(found, np.int32))
+    features = [subwords(text) for text in texts]
     y = np.array([languages.index(x) for x in labels])
     usable = [i for i, f in enumerate(features) if len(f)]
     held, used = usable[::5], [i for k, i in enumerate(usable) if k % 5] or usable
@@ -99,7 +115,7 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
             np.add.at(embedding, ids, (-rate * np.repeat(back, sizes, axis=0)).astype(np.float32))
     model = Model(languages, (embedding @ weights).astype(np.float32), bias)
     if held:
-        z = np.stack([model.table[features[i]].mean(axis=0) + bias for i in held])
+        z = np.stack([np.bincount(features[i], minlength=BUCKETS) @ model.table / len(features[i]) + bias for i in held])
         right = y[held]
         model.temperature = float(min(np.geomspace(0.05, 20, 60), key=lambda t: -np.log(_softmax(z / t)[np.arange(len(held)), right] + 1e-12).mean()))
         model.threshold = float(min(MOST, np.quantile(_softmax(z / model.temperature).max(axis=1), REJECTED)))
@@ -109,67 +125,46 @@ def train(texts: list[str], labels: list[str], seed: int = 7) -> Model:
 def train_on(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
     """Trains on a sample of the rows that have a language and a text."""
     usable = rows.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "text", "lang")
-    found = sorted(map(tuple, sample_by_id(usable, sample_rows, 2).where(F.length("text") <= SAMPLE_CHARS).collect()), key=str)
+    found = sorted(map(tuple, sample_by_id(usable, sample_rows, 2).where(F.length("text") <= SAMPLE_CHARS).collect()), key=lambda r: (r[0] is None, r[0] or 0, r[1], r[2]))
     return train([r[1] for r in found], [r[2] for r in found])
 
 
-def predict(documents: DataFrame, model: Model) -> DataFrame:
+RESULTS = ("lang_pred", "score", "rejected")
+
+
+def predict(documents: DataFrame, model: Model, names: tuple[str, str, str] = RESULTS) -> DataFrame:
     """Predicts the language of each text of documents (doc_id, text, and whatever is to be carried along).
 
     Returns the columns of documents with lang_pred, score (the probability of lang_pred) and rejected (the score is
     below the calibrated threshold, or there are no letters: lang_pred is then und and the score 0). A null or empty
     text has no letters. Without any training rows everything is und. No rows give none; repeated rows give repeated
-    results. Columns named like a result are replaced.
+    results. Columns named like a result are replaced; names gives other names for the results.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
-    carried = documents.drop("lang_pred", "score", "rejected", "found")
-    most_words = 300_000
+    carried = documents.drop(*names)
 
     def start():
         model = sent.value
-        ids: dict[str, int] = {}
-        rows = np.zeros((1024, len(model.languages)))
-        counts = np.zeros(1024)
-
-        def look_up(word: str) -> int:
-            nonlocal rows, counts
-            if (k := ids.get(word)) is None:
-                if (k := len(ids)) == len(counts):
-                    rows, counts = np.concatenate([rows, np.zeros_like(rows)]), np.concatenate([counts, np.zeros_like(counts)])
-                found = subwords(word)
-                rows[k], counts[k] = model.table[found].sum(axis=0), len(found)
-                ids[word] = k
-            return k
 
         def one(text):
-            words = (text or "").split()
-            total, n = np.zeros(len(model.languages)), 0.0
-            for at in range(0, len(words), 100_000):
-                if len(ids) > most_words:
-                    ids.clear()
-                part = words[at : at + 100_000]
-                got = list(map(ids.get, part))
-                if None in got:
-                    got = list(map(look_up, part))
-                total = total + rows[got].sum(axis=0)
-                n += counts[got].sum()
-            if not n or not model.languages:
+            found = subwords(text or "")
+            if not len(found) or not model.languages:
                 return UNKNOWN, 0.0, True
-            scores = model.scores(total, n)
+            scores = model.scores(found)
             best = int(scores.argmax())
             return model.languages[best], float(scores[best]), bool(scores[best] < model.threshold)
 
         return one
 
-    return _with_columns(carried, start)
+    return _with_columns(carried, start, names)
 
 
-def _with_columns(documents: DataFrame, start) -> DataFrame:
+def _with_columns(documents: DataFrame, start, names: tuple[str, str, str]) -> DataFrame:
     """The rows with the results of a function of text, which alone goes to Python and back with its row."""
     import pyarrow as pa
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
-    added = (("lang_pred", pa.string(), StringType()), ("score", pa.float64(), DoubleType()), ("rejected", pa.bool_(), BooleanType()))
+    added = tuple(zip(names, (pa.string(), pa.float64(), pa.bool_()), (StringType(), DoubleType(), BooleanType()), strict=True))
 
     def run(batches):
         each = start()
@@ -196,6 +191,7 @@ def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_known(documents: DataFrame) -> DataFrame:
     """documents without those that are rejected. The model learns from documents, but not from those held out."""
     model = train_on(documents.where(~held_out(F.col("doc_id"))))
-    return predict(documents, model).where(~F.col("rejected")).select(*documents.columns)
+    names = tuple(free_name(documents, n) for n in RESULTS)
+    return predict(documents, model, names).where(~F.col(names[2])).select(*documents.columns)
 
 
