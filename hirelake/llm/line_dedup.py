@@ -180,3 +180,16 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: tuple[
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its text without repeated lines."""
     return dedup_lines(read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+OP3_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents),
+lines AS (SELECT doc_id, k, ls[k] AS line, trim(ls[k], ' ' || chr(9) || chr(13) || chr(11) || chr(12)) AS content FROM (SELECT doc_id, ls, unnest(range(1, len(ls) + 1)) AS k FROM d)),
+first AS (SELECT content, string_split(content, ' ') AS w, min(doc_id * 1000000 + k) AS o FROM lines WHERE content <> '' GROUP BY content),
+variants AS (SELECT content, o, k, list_concat(w[1:k - 1], w[k + 1:len(w)]) AS v FROM (SELECT content, o, w, unnest(range(1, len(w) + 1)) AS k FROM first WHERE len(w) >= 5)),
+same AS (SELECT content FROM (SELECT content, o, min(o) OVER (PARTITION BY v, k) AS least FROM variants) WHERE least < o),
+shorter AS (SELECT a.content AS longer, a.o AS longer_o, b.content AS shorter, b.o AS shorter_o FROM variants a JOIN first b ON a.v = b.w WHERE len(b.w) >= 5),
+near AS (SELECT content FROM same UNION SELECT longer FROM shorter WHERE shorter_o < longer_o UNION SELECT shorter FROM shorter WHERE longer_o < shorter_o),
+judged AS (SELECT l.doc_id, l.k, l.line, l.content <> '' AND (l.doc_id * 1000000 + l.k > f.o OR l.content IN (SELECT content FROM near)) AS gone FROM lines l LEFT JOIN first f ON l.content = f.content)
+SELECT doc_id, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (WHERE NOT coalesce(gone, false)), '') AS text, count(*) AS n_lines, count(*) FILTER (WHERE gone) AS n_removed FROM judged GROUP BY doc_id
+"""

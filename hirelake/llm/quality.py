@@ -139,3 +139,23 @@ def judge_quality(documents: DataFrame, rules: Iterable[Rule] = RULES, sample_ro
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_quality(read(spark, sf_dir, "documents")).drop("n_rules")
+
+
+OP9_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+words AS (SELECT r, list_filter(regexp_split_to_array(t, '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM d),
+windows AS (SELECT r, k, list_slice(w, k, k + 7) AS g FROM (SELECT r, w, unnest(range(1, len(w) - 6)) AS k FROM words WHERE len(w) >= 8)),
+often AS (SELECT r, k FROM (SELECT r, k, count(*) OVER (PARTITION BY r, g) AS n FROM windows) WHERE n > 1),
+repeated AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest(range(k, k + 8)) AS p FROM often) GROUP BY r),
+lines AS (SELECT r, unnest(string_split(t, chr(10))) AS line FROM d),
+dup AS (SELECT r, sum(n - 1) AS n FROM (SELECT r, line, count(*) AS n FROM lines WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r, line) GROUP BY r),
+shape AS (SELECT r, count(*) AS n_lines, count(*) FILTER (WHERE regexp_matches(line, '^\s*[-*•]')) AS bullets, count(*) FILTER (WHERE regexp_matches(line, '(\.\.\.|…)\s*$')) AS ellipses FROM lines GROUP BY r),
+base AS (
+  SELECT doc_id, len(w) AS n_words, len(array_to_string(w, '')) AS word_chars, len(regexp_replace(t, '[^#*$%&|<>]', '', 'g')) AS n_symbols,
+         coalesce(dup.n, 0) AS n_dup_lines, coalesce(repeated.n, 0) AS n_repeat_words, len(list_filter(w, lambda x: regexp_matches(x, '\pL'))) AS lettered, n_lines, bullets, ellipses
+  FROM d JOIN words USING (r) JOIN shape USING (r) LEFT JOIN dup USING (r) LEFT JOIN repeated USING (r)
+), judged AS (SELECT *, n_words < 20 OR 100 * n_repeat_words > 30 * n_words AS base_failed FROM base)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines, n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT base_failed AND word_chars BETWEEN 2 * n_words AND 20 * n_words AND 10 * n_symbols <= n_words AND 2 * lettered >= n_words AND 2 * n_dup_lines <= n_lines AND 10 * bullets <= 9 * n_lines AND 2 * ellipses <= n_lines AS kept
+FROM judged
+"""

@@ -15,6 +15,8 @@ QUERIES = {
     "op10_url_filter": url_filter.op10_url_filter,
 }
 ORACLES = {
+    "op3_line_dedup": line_dedup.OP3_SQL,
     "op5_decontamination": decontam.OP5_SQL,
+    "op9_quality": quality.OP9_SQL,
     "op10_url_filter": url_filter.OP10_SQL,
 }
