@@ -92,6 +92,7 @@ def near_lines(lines: DataFrame) -> DataFrame:
     variants = variants.select("id", "place", F.xxhash64(*rest).alias("key"), F.xxhash64(F.lit(1), *rest).alias("k2"))
     # Few variants are left here, and they get the places of their lines.
     variants = checkpointed(shared(variants).withColumn("key", F.struct("key", "k2")).drop("k2").join(lines.select("id", "order"), "id"))
+    release_shuffles(lines.sparkSession)
     itself = F.col("place") == 0
     # Substitutions: the same place deleted. Insertions and deletions: a line itself, and others without a word.
     same = variants.where(~itself).groupBy("key", "place").agg(F.min("order").alias("near"))
@@ -100,8 +101,9 @@ def near_lines(lines: DataFrame) -> DataFrame:
     found = found.unionByName(variants.join(other, "key").select("id", "order", F.when(itself, F.col("part")).otherwise(F.col("whole")).alias("near")))
     found = checkpointed(found.where(F.col("near") < F.col("order")).groupBy("id").agg(F.min("near").alias("near")))
     # The distance is verified on the words of the line and its witness.
-    witness = lines.select(F.col("order").alias("near"), words_of(F.col("content")).alias("near_words"))
-    checked = found.join(lines.select("id", words_of(F.col("content")).alias("words")), "id").join(witness, "near")
+    witness = lines.select(F.col("order").alias("near"), F.col("content").alias("near_content"))
+    checked = found.join(lines.select("id", "content"), "id").join(witness, "near")
+    checked = checked.select("id", words_of(F.col("content")).alias("words"), words_of(F.col("near_content")).alias("near_words"))
     return checked.where(within_one_edit(words, F.col("near_words"))).select("id")
 
 
@@ -141,9 +143,7 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     near = found.join(near_lines(found), "id").select("h1", "h2", F.lit(True).alias("near")).distinct()
     bad = distinct.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near")).select("h1", "h2", F.struct(*ORDER).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     places = hashed.select("h1", "h2", *ORDER).join(checkpointed(bad), ["h1", "h2"]).where(F.col("near") | (order > F.col("first")))
-    gone = checkpointed(places.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("lines")))
-    release_shuffles(spark)
-    return gone
+    return checkpointed(places.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
 COUNTS = ("n_lines", "n_removed")
@@ -162,6 +162,7 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: tuple[
     same lines. No rows give none. Other columns are carried along; those named like a count are replaced.
     """
     gone = repeated_lines(documents, min_words)
+    release_shuffles(documents.sparkSession)
     columns = [c for c in documents.columns if c not in counts]
     rows = documents.select(*columns)
     id_, digest, lines, new = (free_name(documents, n) for n in ("gone_id", "gone_digest", "gone_lines", "new_text"))

@@ -12,9 +12,9 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm._common import map_rows, read
+from hirelake.llm._common import map_rows, read, sample_by_id
 
-#: Rows on which costs and selectivities are measured: those with the least digest of id and text.
+#: Rows on which costs and selectivities are measured, at most twice as many.
 SAMPLE_ROWS = 200
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
@@ -72,7 +72,7 @@ def odd_word_length(text: str, words: list[str]) -> bool:
 
 
 def many_symbols(text: str, words: list[str]) -> bool:
-    return sum(map(text.count, SYMBOLS)) > 0.5 * max(1, len(words))
+    return sum(map(text.count, SYMBOLS)) > 0.1 * max(1, len(words))
 
 
 def few_letter_words(text: str, words: list[str]) -> bool:
@@ -112,11 +112,10 @@ def judge_quality(documents: DataFrame, rules: Iterable[Rule] = RULES, sample_ro
 
     kept is False if the base rule fails or any rule of the cascade rejects; n_rules counts the rules that were run. A
     null or empty text has no words and fails. Null ids stay null, repeated rows give repeated results, no rows give
-    none, and other columns are ignored. Only the order of the rules comes from the sample of sample_rows rows.
+    none, and other columns are ignored. Only the order of the rules comes from the sample of about sample_rows rows.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    sample = rows.withColumn("key", F.xxhash64("doc_id", F.length("text"))).orderBy("key", "doc_id").limit(sample_rows)
-    cascade = order_rules([r["text"] for r in sample.select("text").collect()], rules)
+    cascade = order_rules([r["text"] for r in sample_by_id(rows, sample_rows, 9).collect()], rules)
 
     def start():
         def one(doc_id, text):
