@@ -46,17 +46,17 @@ def has_words(content: Column, n: int) -> Column:
 
 def lines_of(documents: DataFrame, min_words: int) -> DataFrame:
     """Of each line with a word its place (no_id, doc_id, digest, line from 0), a hash of 128 bits, whether it may be near
-    others (fuzzy), and hashes of its beginning and its end if these are apart."""
+    others and has 2 * SIDE words at most (short), and hashes of its beginning and its end if these are apart."""
     split = F.split(F.coalesce("text", F.lit("")), "\n")
     rows = row_key(documents.select("doc_id", "text")).select("no_id", "doc_id", "digest", F.posexplode_outer(split).alias("line", "content"))
     content = F.col("content")
-    side = has_words(content, 2 * SIDE)
+    side = has_words(content, max(2 * SIDE, min_words))
     rows = rows.select(*ORDER, trimmed(content).alias("content")).where(content != "")
     return rows.select(
         *ORDER,
         F.xxhash64("content").alias("h1"),
         F.xxhash64(F.lit(1), "content").alias("h2"),
-        has_words(content, min_words).alias("fuzzy"),
+        (has_words(content, min_words) & ~has_words(content, 2 * SIDE + 1)).alias("short"),
         F.when(side, F.xxhash64(F.lit(0), F.substring_index("content", " ", SIDE))).alias("begins"),
         F.when(side, F.xxhash64(F.lit(1), F.substring_index("content", " ", -SIDE))).alias("ends"),
     )
@@ -124,12 +124,13 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     """doc_id, digest and lines (numbers from 0) of the lines to remove, for documents that have any."""
     spark, order = documents.sparkSession, F.struct(*ORDER)
     hashed = lines_of(documents, min_words)
-    distinct = hashed.groupBy("h1", "h2", "fuzzy", "begins", "ends").agg(F.min(order).alias("first"), F.count("*").alias("n"))
-    distinct = checkpointed(distinct.select("h1", "h2", "fuzzy", "begins", "ends", "n", "first.*"))
+    distinct = hashed.groupBy("h1", "h2", "short", "begins", "ends").agg(F.min(order).alias("first"), F.count("*").alias("n"))
+    distinct = checkpointed(distinct.select("h1", "h2", "short", "begins", "ends", "n", "first.*"))
     release_shuffles(spark)
     place = ["h1", "h2", *ORDER]
     some = shared(distinct.where(F.col("begins").isNotNull()).select(*place, F.explode(F.array("begins", "ends")).alias("key"))).select(*place)
-    some = some.unionByName(distinct.where(F.col("begins").isNull() & F.col("fuzzy")).select(*place))
+    # A line of 2 * SIDE words is there in any case: it may be near one that is too short to have keys.
+    some = some.unionByName(distinct.where("short").select(*place))
     wanted = checkpointed(some.groupBy("no_id", "doc_id", "digest").agg(F.collect_set(F.struct("line", "h1", "h2")).alias("wanted")))
     release_shuffles(spark)
     if wanted.count() <= MAX_BROADCAST:
