@@ -20,8 +20,8 @@ from hirelake.llm._common import checkpointed, free_name, read, release_shuffles
 MIN_WORDS = 5
 #: Words at the beginning or the end that near lines of at least twice as many words have in common.
 SIDE = 4
-#: Documents whose lines are looked up by broadcasting their ids; more are joined by a shuffle.
-MAX_BROADCAST = 200_000
+#: Lines, of about 50 bytes each with the ids of their documents, that are looked up by a broadcast; more are by a shuffle.
+MAX_BROADCAST = 1_000_000
 WHITE = " \t\r\x0b\x0c"
 ORDER = ("no_id", "doc_id", "digest", "line")
 
@@ -133,7 +133,7 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     some = some.unionByName(distinct.where("short").select(*place))
     wanted = checkpointed(some.groupBy("no_id", "doc_id", "digest").agg(F.collect_set(F.struct("line", "h1", "h2")).alias("wanted")))
     release_shuffles(spark)
-    if wanted.count() <= MAX_BROADCAST:
+    if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= MAX_BROADCAST:
         wanted = F.broadcast(wanted)
     texts = row_key(documents.select("doc_id", "text")).withColumn("id", F.coalesce("doc_id", F.lit(0)))
     wanted = wanted.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
