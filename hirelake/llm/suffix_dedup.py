@@ -5,7 +5,8 @@ A byte goes if a string of `length` bytes that covers it also starts earlier in
 strings, the leftmost of equals. Anchors depend on the window's bytes alone, so equal windows have equal anchors. The
 windows of a document that share an anchor are a run, and the bytes that they cover are its segment. Then
 
-1. segments that are equal meet under their anchor's hash; all but the earliest are repeats as a whole;
+1. segments that are equal meet under the hashes of anchor and segment; all but the earliest are repeats as a whole.
+   How many different ones an anchor has is counted where they meet and summed by anchor, so no task holds them all;
 2. anchors that still have several different segments are sorted out by suffixes: the tasks that hold them sort the
    suffixes of these segments by their first `length` bytes, with ranks of 8 bytes doubled up to `length`. Suffixes cut
    at `length` bytes and equal ones kept in text order, the previous smaller position of a suffix with an earlier match
@@ -13,7 +14,8 @@ windows of a document that share an anchor are a run, and the bytes that they co
 3. documents meet the ranges found and drop their bytes.
 
 Documents travel in compressed blocks of about BLOCK_BYTES and answers go back by block. Before anything is sent, a
-block keeps the earliest of its equal segments only, so a passage that is everywhere comes once from each block.
+block keeps the earliest of its equal segments only, so a passage that is everywhere comes once from each block. Where
+segments go window by window, it keeps the earliest of its equal windows in the same way.
 """
 
 from __future__ import annotations
@@ -42,6 +44,8 @@ MOST_SEGMENTS = 20_000
 #: Flags of answers: a segment is a repeat; its suffixes are to be sorted; the same, window by window.
 REPEAT, SORT, SPLIT = 1, 2, 3
 NO_ID = np.iinfo(np.int64).max
+#: An anchor with a count of kinds of segments, or with the flag that they lead to.
+KINDS = np.dtype([("anchor", "<u8"), ("value", "<i8")])
 RECORD = np.dtype([("anchor", "<u8"), ("segment", "<u8"), ("doc_id", "<i8"), ("digest", "<i8"), ("doc", "<i4"), ("low", "<i4"), ("high", "<i4")])
 
 
@@ -139,7 +143,7 @@ def unpack(blob: bytes) -> Iterator[tuple]:
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.Table:
-    types = {"bucket": pa.int32(), "block": pa.int32(), "blob": pa.binary()}
+    types = {"home": pa.int32(), "bucket": pa.int32(), "block": pa.int32(), "blob": pa.binary()}
     return pa.table({n: pa.array([r[k] for r in rows], types[n]) for k, n in enumerate(names)})
 
 
@@ -155,27 +159,61 @@ def _split(keys: np.ndarray, values: np.ndarray) -> Iterator[tuple[int, np.ndarr
 # --- the three steps -------------------------------------------------------------------------------------------------
 
 
-def match_segments(blobs: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
-    """Answers by block for the records of one bucket: (document, first window, flag) of those that need one."""
+def bucket_of(records: np.ndarray, buckets: int) -> np.ndarray:
+    """Where a segment meets its equals: by anchor and segment, so an anchor's segments are dealt out."""
+    return (_mix(records["anchor"] + records["segment"] * np.uint64(0xA24BAED4963EE407)) % np.uint64(buckets)).astype(np.int64)
+
+
+def count_kinds(blobs: list[bytes]) -> np.ndarray:
+    """The anchors of one bucket, each with its number of different segments."""
+    records = np.concatenate([np.frombuffer(b, RECORD) for b in blobs])
+    order = np.lexsort((records["segment"], records["anchor"]))
+    anchor, segment = records["anchor"][order], records["segment"][order]
+    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
+    anchors, counts = np.unique(anchor[new], return_counts=True)
+    out = np.empty(len(anchors), KINDS)
+    out["anchor"], out["value"] = anchors, counts
+    return out
+
+
+def sum_kinds(blobs: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
+    """By bucket that has them, the anchors with several different segments in all, each with a flag."""
+    parts = [np.frombuffer(b, KINDS) for _, b in blobs]
+    told = np.concatenate(parts)
+    buckets = np.repeat(np.array([k for k, _ in blobs]), [len(p) for p in parts])
+    anchors, inverse = np.unique(told["anchor"], return_inverse=True)
+    total = np.bincount(inverse, weights=told["value"], minlength=len(anchors))[inverse]
+    told["value"] = np.where(total > most, SPLIT, SORT)
+    keep = total > 1
+    return [(k, part.tobytes()) for k, part in _split(buckets[keep], told[keep])]
+
+
+def match_segments(blobs: list[tuple[int, bytes]], told: list[bytes]) -> list[tuple[int, bytes]]:
+    """Answers by block for the records of one bucket: (document, first window, flag) of those that need one. told has
+    the anchors with several different segments and their flags."""
     parts = [np.frombuffer(b, RECORD) for _, b in blobs]
+    if not parts:
+        return []
     records = np.concatenate(parts)
     blocks = np.repeat(np.array([k for k, _ in blobs]), [len(p) for p in parts])
-    # Only what shares its anchor is sorted any further.
-    order = np.argsort(records["anchor"])
-    anchor = records["anchor"][order]
-    same = anchor[1:] == anchor[:-1]
-    order = order[np.concatenate([[False], same]) | np.concatenate([same, [False]])] if len(order) > 1 else order[:0]
-    records, blocks = records[order], blocks[order]
-    order = np.lexsort((records["low"], records["doc"], records["digest"], records["doc_id"], records["segment"], records["anchor"]))
-    records, blocks = records[order], blocks[order]
+    several = np.sort(np.concatenate([np.empty(0, KINDS), *(np.frombuffer(b, KINDS) for b in told)]), order="anchor")
+    at = np.minimum(np.searchsorted(several["anchor"], records["anchor"]), max(0, len(several) - 1))
+    flag = np.where(several["anchor"][at] == records["anchor"], several["value"][at], 0) if len(several) else np.zeros(len(records), np.int64)
+    # Only what shares its segment or its anchor is sorted any further.
+    both = records["anchor"] + records["segment"] * np.uint64(0xA24BAED4963EE407)
+    order = np.argsort(both)
+    same = both[order][1:] == both[order][:-1]
+    shared = np.zeros(len(records), bool)
+    shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
+    keep = shared | (flag > 0)
+    records, blocks, flag = records[keep], blocks[keep], flag[keep]
     if not len(records):
         return []
+    order = np.lexsort((records["low"], records["doc"], records["digest"], records["doc_id"], records["segment"], records["anchor"]))
+    records, blocks, flag = records[order], blocks[order], flag[order]
     anchor, segment = records["anchor"], records["segment"]
-    new_anchor = np.concatenate([[True], anchor[1:] != anchor[:-1]])
-    new = np.concatenate([[True], segment[1:] != segment[:-1]]) | new_anchor
-    group = np.cumsum(new_anchor) - 1
-    kinds = np.bincount(group, weights=new)[group]
-    flag = np.where(~new, REPEAT, np.where(kinds > most, SPLIT, np.where(kinds > 1, SORT, 0)))
+    new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (anchor[1:] != anchor[:-1])])
+    flag = np.where(new, flag, REPEAT)
     answers = np.stack([records["doc"], records["low"], flag], axis=1).astype(np.int32)
     keep = flag > 0
     return [(k, part.tobytes()) for k, part in _split(blocks[keep], answers[keep])]
@@ -192,19 +230,31 @@ def answered(block: Block, answers: list[bytes], length: int, gram: int) -> tupl
     return records, flags
 
 
+def split_windows(block: Block, records: np.ndarray, flags: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """A record for each window of the segments that go window by window, filed under its own hash, and whether it is
+    the first of its equals in the block."""
+    split = records[flags == SPLIT]
+    n = (split["high"] - split["low"] + 1).astype(np.int64)
+    single = np.repeat(split, n)
+    single["low"] += (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
+    single["high"] = single["low"]
+    begin = block.starts[single["doc"]] + single["low"]
+    digests = b"".join(hashlib.blake2b(block.data[b : b + length], digest_size=16).digest() for b in begin.tolist())
+    hashes = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    single["anchor"] = hashes[:, 0]
+    order = np.lexsort((begin, hashes[:, 1], hashes[:, 0]))
+    first = np.ones(len(single), bool)
+    first[order[1:]] = (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)
+    return single, first
+
+
 def to_sort(block: Block, records: np.ndarray, flags: np.ndarray, buckets: int, length: int) -> list[tuple[int, bytes]]:
     """By bucket, the segments whose suffixes are to be sorted: records with their bytes behind."""
     out = []
     chosen = records[flags == SORT]
-    split = records[flags == SPLIT]
-    if len(split):
-        n = (split["high"] - split["low"] + 1).astype(np.int64)
-        single = np.repeat(split, n)
-        single["low"] += (np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)).astype(np.int32)
-        single["high"] = single["low"]
-        begin = block.starts[single["doc"]] + single["low"]
-        single["anchor"] = [int.from_bytes(hashlib.blake2b(block.data[b : b + length].tobytes(), digest_size=8).digest(), "little") for b in begin.tolist()]
-        chosen = np.concatenate([chosen, single])
+    if (flags == SPLIT).any():
+        single, first = split_windows(block, records, flags, length)
+        chosen = np.concatenate([chosen, single[first]])
     for bucket, part in _split((chosen["anchor"] % np.uint64(buckets)).astype(np.int64), chosen):
         begin = block.starts[part["doc"]] + part["low"]
         sizes = (part["high"] - part["low"] + length).astype(np.int64)
@@ -268,6 +318,9 @@ def earlier_matches(blobs: list[tuple[int, bytes]], length: int) -> list[tuple[i
 def cleaned(block: Block, records: np.ndarray, flags: np.ndarray, ranges: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
     """For each document: bytes removed, maximal runs removed, and the bytes left."""
     gone = records[flags == REPEAT]
+    if (flags == SPLIT).any():
+        single, first = split_windows(block, records, flags, length)
+        gone = np.concatenate([gone, single[~first]])
     told = np.concatenate([np.stack([gone["doc"], gone["low"], gone["high"]], axis=1), *(np.frombuffer(r, np.int32).reshape(-1, 3) for r in ranges)])
     depth = np.zeros(len(block.data) + 1, np.int32)
     base = block.starts[told[:, 0]]
@@ -331,7 +384,17 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     def send_segments(table: pa.Table) -> pa.Table:
         records, first = Block(blobs(table)).records(length, gram)
         records = records[first]
-        return _rows(["bucket", "block", "blob"], [(bucket, block_of(table), part.tobytes()) for bucket, part in _split((records["anchor"] % np.uint64(blocks)).astype(np.int64), records)])
+        return _rows(["bucket", "block", "blob"], [(bucket, block_of(table), part.tobytes()) for bucket, part in _split(bucket_of(records, blocks), records)])
+
+    def send_kinds(table: pa.Table) -> pa.Table:
+        kinds, bucket = count_kinds(blobs(table)), table["bucket"][0].as_py()
+        return _rows(["home", "bucket", "blob"], [(home, bucket, part.tobytes()) for home, part in _split((kinds["anchor"] % np.uint64(blocks)).astype(np.int64), kinds)])
+
+    def add_kinds(table: pa.Table) -> pa.Table:
+        return _rows(["bucket", "blob"], sum_kinds(list(zip(table["bucket"].to_pylist(), blobs(table), strict=True)), most))
+
+    def match(left: pa.Table, right: pa.Table) -> pa.Table:
+        return _rows(["block", "blob"], match_segments(pairs(left), blobs(right)))
 
     def send_suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
@@ -354,7 +417,9 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         })
 
     by_block, by_bucket = "block int, blob binary", "bucket int, block int, blob binary"
-    first = packed.groupBy("block").applyInArrow(send_segments, by_bucket).groupBy("bucket").applyInArrow(lambda t: _rows(["block", "blob"], match_segments(pairs(t), most)), by_block)
+    sent = packed.groupBy("block").applyInArrow(send_segments, by_bucket)
+    kinds = sent.groupBy("bucket").applyInArrow(send_kinds, "home int, bucket int, blob binary").groupBy("home").applyInArrow(add_kinds, "bucket int, blob binary")
+    first = sent.groupBy("bucket").cogroup(kinds.groupBy("bucket")).applyInArrow(match, by_block)
     second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_suffixes, by_bucket).groupBy("bucket").applyInArrow(lambda t: _rows(["block", "blob"], earlier_matches(pairs(t), length)), by_block)
     answers = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")

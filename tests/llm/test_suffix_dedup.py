@@ -57,3 +57,35 @@ def test_segments_are_found_whatever_the_chunks():
     assert windows(whole) == windows(cut)
     assert sorted(w for w, _ in windows(whole)) == [*range(50, 1401), *range(1500, 4901)]
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def shared_passage(n=300, seed=7):
+    """Documents that have a passage in common, each between words of its own."""
+    rng = random.Random(seed)
+    own = lambda: "".join(rng.choice("abcdefgh ") for _ in range(60))
+    passage = "".join(rng.choice("ijklmnop ") for _ in range(50))
+    return [(k, own() + passage + own()) for k in range(n)]
+
+
+def test_block_sends_each_window_of_split_segments_once():
+    block = suffix_dedup.Block([suffix_dedup.pack([(True, k, 0, t.encode()) for k, t in shared_passage()])])
+    records, first = block.records(40, 16)
+    sent = suffix_dedup.to_sort(block, records, np.where(first, suffix_dedup.SPLIT, suffix_dedup.REPEAT), 5, 40)
+    windows = np.concatenate([np.frombuffer(b, suffix_dedup.RECORD, int.from_bytes(b[:8], "little"), 8)["anchor"] for _, b in sent])
+    assert len(windows) == len(set(windows.tolist())) > 1000
+
+
+def test_segments_of_one_anchor_are_dealt_out():
+    block = suffix_dedup.Block([suffix_dedup.pack([(True, k, 0, t.encode()) for k, t in shared_passage()])])
+    records, first = block.records(40, 16)
+    records = records[first]
+    anchors, n = np.unique(records["anchor"], return_counts=True)
+    hot = records[records["anchor"] == anchors[n.argmax()]]
+    assert n.max() > 100 and np.bincount(suffix_dedup.bucket_of(hot, 8), minlength=8).max() < len(hot) / 4
+
+
+def test_hot_anchor_equals_brute_force(spark):
+    df = spark.createDataFrame(shared_passage(), "doc_id long, text string")
+    expected = removed_bytes(keyed(df), 40)
+    for most in (20_000, 20):
+        assert judged(df, length=40, gram=16, block_bytes=4096, most=most) == expected
