@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 #: A-Z to a-z and nothing else; SQL lower() also changes letters outside ASCII.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -21,33 +25,36 @@ def ascii_lower(text: Column) -> Column:
     return F.when(F.length(text) == F.octet_length(text), F.lower(text)).otherwise(F.translate(text, UPPER, LOWER))
 
 
+#: A batch of output rows ends at this many rows or bytes of text.
+BATCH_ROWS, BATCH_BYTES = 4096, 4 << 20
+
+
 def map_rows(df: DataFrame, schema: str, start: Callable[[], Callable[..., Iterable[tuple]]]) -> DataFrame:
     """Runs a row function over Arrow batches: start() is called once per task and gives a function from the values of
-    a row to output rows. Output is cut into batches of at most 4,096 rows, so a task holds little at a time."""
+    a row to output rows. Output is cut into batches by rows and by bytes, so a task holds little at a time."""
     names = df.columns
-    fields = None
+    fields = [(f.name, f.type) for f in to_arrow_schema(StructType.fromDDL(schema))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         each = start()
         out: list[tuple] = []
+        held = 0
         for batch in batches:
             columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-            for at in range(0, batch.num_rows, 256):
-                for row in zip(*(c.slice(at, 256).to_pylist() for c in columns), strict=True):
-                    out.extend(each(*row))
-                    if len(out) >= 4096:
-                        yield to_batch(out)
-                        out = []
+            for at in range(0, batch.num_rows, 64):
+                for row in zip(*(c.slice(at, 64).to_pylist() for c in columns), strict=True):
+                    for made in each(*row):
+                        out.append(made)
+                        held += sum(len(v) for v in made if isinstance(v, (str, bytes, list)))
+                        if len(out) >= BATCH_ROWS or held >= BATCH_BYTES:
+                            yield to_batch(out)
+                            out, held = [], 0
         if out:
             yield to_batch(out)
 
     def to_batch(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c, type=t) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], names=[n for n, _ in fields])
 
-    from pyspark.sql.pandas.types import to_arrow_schema
-    from pyspark.sql.types import StructType
-
-    fields = [(f.name, f.type) for f in to_arrow_schema(StructType.fromDDL(schema))]
     return df.mapInArrow(run, schema)
 
 
@@ -64,24 +71,21 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the session's shared folder. Only where none is set, as in tests, a
-    temporary folder of this machine is taken."""
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        import tempfile
-
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoint-"))
-    return df.checkpoint()
-
+#: Lets Spark delete the shuffle files of an execution at its end; without it they stay until the driver's garbage goes.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it only does once their plans are collected as
-    garbage. For operators that shuffle whole texts after steps that are checkpointed."""
-    import gc
 
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Cuts the lineage with a checkpoint in the session's shared folder, and releases the shuffles that led to it."""
+    session = df.sparkSession
+    if session.sparkContext.getCheckpointDir() is None:
+        session.sparkContext.setCheckpointDir(shared_folder(session))
+    before = session.conf.get(CLEAN_UP, "false")
+    session.conf.set(CLEAN_UP, "true")
+    try:
+        return df.select("*").checkpoint()  # a plan takes the setting when it is made
+    finally:
+        session.conf.set(CLEAN_UP, before)
 
 
 def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
@@ -94,7 +98,19 @@ def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see; a temporary one only where none is set, as in tests."""
-    import tempfile
+    """The folder that the driver and all executors see, as spark.checkpoint.dir names it. Only a session of one machine,
+    as in tests, may leave it unset, and gets a temporary one."""
+    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
+        return folder
+    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
+    return tempfile.mkdtemp(prefix="shared-")
 
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir() or tempfile.mkdtemp(prefix="shared-")
+
+def release_shuffles(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of finished steps, which it only does once their plans are collected as
+    garbage. For operators that shuffle whole texts after steps that are checkpointed."""
+    import gc
+
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

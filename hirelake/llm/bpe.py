@@ -1,7 +1,7 @@
 """Byte-level BPE encoding and decoding as a reduction over a tree of text halves.
 
-An encoding is an element of a monoid: two neighbouring encodings can be joined without encoding either again. Two
-facts make the join exact.
+An encoding is an element of a monoid: the ids of a text, and how many of them each pretoken has. Two neighbours can be
+joined without encoding either again. Two facts make the join exact.
 
 * Pretokens: the pattern has no lookbehind, and which match it finds depends on at most LOOKAHEAD characters behind the
   match: one for the end of a run, two where 'll might have matched. So a match that ends that far before the end of its
@@ -11,32 +11,37 @@ facts make the join exact.
   as it is. So after joining, a window of tokens about the seam is encoded anew and widened until the pairs at both of
   its ends are stable; tokens outside it cannot change.
 
-Decoding concatenates the tokens' bytes.
+Decoding concatenates the tokens' bytes up the same tree.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
-from collections.abc import Callable, Iterable
+from collections.abc import Callable, Sequence
 from functools import cache
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from hirelake.llm._common import map_rows, read
 
 #: Characters of a leaf: texts and halves up to this length are matched in one go.
-LEAF_CHARS = 16_384
+LEAF_CHARS = 4_096
 #: Characters behind a match that decide on it.
 LOOKAHEAD = 2
 #: Bytes of a pretoken that is merged directly; longer ones are halved.
 LEAF_BYTES = 6
-#: Pretokens, leaves and seams whose encoding a task remembers, each.
-CACHE_SIZE = 700_000
+#: Ids of a leaf of decoding.
+LEAF_IDS = 8_192
+#: Bytes, by estimate, of the encodings that a Python worker remembers in all.
+CACHE_BYTES = 64 << 20
 #: Texts of more characters are cut into blocks that different tasks encode.
 BLOCK_CHARS = 1_000_000
 
@@ -47,16 +52,35 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class Remembered:
+    """A mapping that takes up to most bytes, by estimate: when one half is full, what the other has is forgotten."""
+
+    def __init__(self, most: int):
+        self.new: dict = {}
+        self.old: dict = {}
+        self.spent, self.half = 0, most // 2
+
+    def get(self, key):
+        if (value := self.new.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value, 200)
+        return value
+
+    def put(self, key, value, size: int) -> None:
+        if self.spent > self.half:
+            self.old, self.new, self.spent = self.new, {}, 0
+        self.new[key] = value
+        self.spent += size
+
+
 class Codec:
     """Encodes and decodes texts with one vocabulary."""
 
-    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES):
+    def __init__(self, ranks: dict[bytes, int], pattern: str, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES, leaf_ids: int = LEAF_IDS, cache_bytes: int = CACHE_BYTES):
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
-        self.leaf_chars, self.leaf_bytes = leaf_chars, leaf_bytes
-        self.known: dict[str, tuple[int, ...]] = {}
-        self.pairs: dict[tuple[int, int], bool] = {}
-        self.leaves: dict[bytes, list[int]] = {}
+        self.leaf_chars, self.leaf_bytes, self.leaf_ids = leaf_chars, leaf_bytes, leaf_ids
+        # Encodings of pretokens and of leaves, and whether pairs of tokens are stable.
+        self.known, self.leaves, self.pairs = (Remembered(cache_bytes * share // 8) for share in (6, 1, 1))
 
     # --- bytes of one pretoken -------------------------------------------------------------------------------------
 
@@ -106,9 +130,8 @@ class Codec:
     def stable(self, left: int, right: int) -> bool:
         """True if these neighbours stay as they are when encoded alone."""
         if (known := self.pairs.get((left, right))) is None:
-            if len(self.pairs) > CACHE_SIZE:
-                self.pairs.clear()
-            known = self.pairs[left, right] = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
+            self.pairs.put((left, right), known, 200)
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -128,9 +151,7 @@ class Codec:
         if (ids := self.leaves.get(data)) is None:
             ids = self.merged(data)
             if len(data) <= 24:
-                if len(self.leaves) > CACHE_SIZE:
-                    self.leaves.clear()
-                self.leaves[data] = ids
+                self.leaves.put(data, ids, 260)
         return ids
 
     def tree(self, data: bytes) -> list[int]:
@@ -142,58 +163,82 @@ class Codec:
     def piece(self, text: str) -> tuple[int, ...]:
         """The ids of one pretoken; one that is a token as a whole is that token."""
         if (ids := self.known.get(text)) is None:
-            if len(self.known) > CACHE_SIZE:
-                self.known.clear()
             data = text.encode()
             ids = (self.ranks[data],) if data in self.ranks else tuple(self.tree(data))
             if len(text) <= 256:
-                self.known[text] = ids
+                self.known.put(text, ids, 240 + 2 * len(data) + 16 * len(ids))
         return ids
 
-    # --- pretokens of a text -----------------------------------------------------------------------------------------
-
-    def matches(self, text: str) -> list[str]:
-        """The pattern's matches. Halves are matched by themselves and joined at the seam."""
-        if len(text) <= self.leaf_chars:
-            return self.pattern.findall(text)
-        half = len(text) // 2
-        return self.join_matches(self.matches(text[:half]), self.matches(text[half:]))
-
-    def join_matches(self, left: list[str], right: list[str]) -> list[str]:
-        """Matches at the end of the left that aren't final are found anew, until one starts where one on the right does."""
-        if not left or not right:
-            return left + right
-        kept, behind = len(left), 0
-        while kept and behind < LOOKAHEAD:
+    # --- elements: the ids of a text, and how many of them each of its pretokens has ----------------------------------
+
+    def element(self, text: str) -> tuple[np.ndarray, np.ndarray]:
+        """Halves are encoded by themselves and joined at the seam."""
+        if len(text) > self.leaf_chars:
+            half = len(text) // 2
+            return self.join_elements(self.element(text[:half]), self.element(text[half:]))
+        return _element([self.piece(match) for match in self.pattern.findall(text)])
+
+    def join_elements(self, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+        """Pretokens at the end of the left that aren't final are matched anew, until one starts where one on the right
+        does; all others keep their ids."""
+        (ids, sizes), (more_ids, more_sizes) = left, right
+        if not len(sizes) or not len(more_sizes):
+            return (more_ids, more_sizes) if not len(sizes) else left
+        kept, cut, tail = len(sizes), len(ids), ""
+        while kept and len(tail) < LOOKAHEAD:
             kept -= 1
-            behind += len(left[kept])
-        left, tail, wide = left[:kept], "".join(left[kept:]), 2
+            cut -= int(sizes[kept])
+            tail = self.decode(ids[cut : cut + int(sizes[kept])]).decode() + tail
+        wide = 2
         while True:
-            window = tail + "".join(right[:wide])
-            starts, place = {}, len(tail)
-            for k, match in enumerate(right[:wide]):
-                starts[place] = k
-                place += len(match)
-            fresh: list[str] = []
-            for m in self.pattern.finditer(window):
+            # Characters and ids before each of the first pretokens on the right.
+            starts, window, at = {}, [tail], 0
+            place = len(tail)
+            for size in more_sizes[:wide].tolist():
+                starts[place] = at
+                window.append(self.decode(more_ids[at : at + size]).decode())
+                place += len(window[-1])
+                at += size
+            whole, fresh, stop = "".join(window), [], None
+            for m in self.pattern.finditer(whole):
                 if m.start() in starts:
-                    return left + fresh + right[starts[m.start()] :]
-                if m.end() + LOOKAHEAD > len(window) and wide < len(right):
+                    stop = starts[m.start()]
+                    break
+                if m.end() + LOOKAHEAD > len(whole) and wide < len(more_sizes):
                     break
-                fresh.append(m[0])
+                fresh.append(self.piece(m[0]))
             else:
-                return left + fresh + right[wide:]
+                stop = at
+            if stop is not None:
+                new_ids, new_sizes = _element(fresh)
+                passed = int(np.searchsorted(np.cumsum(more_sizes[:wide]), stop, "right")) if stop else 0
+                return np.concatenate([ids[:cut], new_ids, more_ids[stop:]]), np.concatenate([sizes[:kept], new_sizes, more_sizes[passed:]])
             wide *= 2
 
-    def encode(self, text: str) -> list[int]:
+    def join_all(self, parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        """Neighbours are joined in pairs, level by level."""
+        while len(parts) > 1:
+            parts = [self.join_elements(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        return parts[0]
+
+    def encode(self, text: str) -> list[int] | np.ndarray:
+        if len(text) > self.leaf_chars:
+            return self.element(text)[0]
         out: list[int] = []
-        known, piece = self.known.get, self.piece
-        for match in self.matches(text):
+        known, piece = self.known.new.get, self.piece
+        for match in self.pattern.findall(text):
             out += known(match) or piece(match)
         return out
 
-    def decode(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
+        if len(ids) > self.leaf_ids:
+            half = len(ids) // 2
+            return self.decode(ids[:half]) + self.decode(ids[half:])
+        return b"".join(map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
+
+
+def _element(pieces: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
+    return np.array([x for ids in pieces for x in ids], "<u4"), np.array([len(ids) for ids in pieces], "<u4")
 
 
 @cache
@@ -207,29 +252,38 @@ def _vocabulary() -> tuple[str, str]:
     return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
 
 
-def encode_documents(documents: DataFrame, vocabulary: Callable[[], tuple[str, str]] = _vocabulary, block_chars: int = BLOCK_CHARS) -> DataFrame:
-    """Encodes the column text of documents.
+#: What encode_documents can return of each row, besides doc_id.
+OUTPUTS = {"ids": "binary", "decoded": "binary", "n_tokens": "long", "ids_sha256": "string", "decoded_sha256": "string"}
+DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
+
+
+def outputs_of(c: Codec, ids: list[int] | np.ndarray, wanted: tuple[str, ...]) -> tuple:
+    raw = np.asarray(ids, "<u4").tobytes()
+    decoded = c.decode(ids) if {"decoded", "decoded_sha256"} & set(wanted) else b""
+    make = {"ids": lambda: raw, "decoded": lambda: decoded, "n_tokens": lambda: len(ids), "ids_sha256": lambda: hashlib.sha256(raw).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(decoded).hexdigest()}
+    return tuple(make[name]() for name in wanted)
+
+
+def encode_documents(documents: DataFrame, vocabulary: Callable[[], tuple[str, str]] = _vocabulary, block_chars: int = BLOCK_CHARS, outputs: tuple[str, ...] = ("ids", "decoded")) -> DataFrame:
+    """Encodes the column text of documents, and decodes the ids.
 
     vocabulary is called in the tasks and gives the path of a vocabulary file, which is on every machine, and the
-    pattern of pretokens. Returns a row for each row: doc_id, ids binary (little-endian
-    unsigned 32-bit integers), decoded binary (the ids decoded).
+    pattern of pretokens. Returns a row for each row: doc_id and outputs, of ids binary (little-endian unsigned 32-bit
+    integers), decoded binary (the ids decoded), n_tokens long, and the digests ids_sha256 and decoded_sha256 (lowercase
+    hex), which are made in the tasks, so that what isn't asked for is never sent.
 
     A null or empty text has no ids. A null doc_id stays null. Repeated rows give repeated results, no rows give none.
     Other columns are ignored, whatever their names. A text of more than block_chars characters is cut into blocks,
-    which tasks match side by side; the matches of a text are then joined in order.
+    which tasks encode side by side; the blocks' ids are then joined in pairs, in a task that holds the ids of one text.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    schema = ", ".join(["doc_id long", *(f"{name} {OUTPUTS[name]}" for name in outputs)])
 
     def whole():
         c = codec(*vocabulary())
+        return lambda doc_id, text: ((doc_id, *outputs_of(c, c.encode(text), outputs)),)
 
-        def one(doc_id, text):
-            ids = c.encode(text)
-            yield doc_id, np.asarray(ids, dtype="<u4").tobytes(), c.decode(ids)
-
-        return one
-
-    short = map_rows(rows.where(F.length("text") <= block_chars), "doc_id long, ids binary, decoded binary", whole)
+    short = map_rows(rows.where(F.length("text") <= block_chars), schema, whole)
     blocks = (
         rows.where(F.length("text") > block_chars)
         .withColumn("row", F.monotonically_increasing_id())
@@ -238,26 +292,27 @@ def encode_documents(documents: DataFrame, vocabulary: Callable[[], tuple[str, s
         .repartition("row", "block")
     )
 
-    def matched():
+    def encoded():
         c = codec(*vocabulary())
-        return lambda row, doc_id, block, text: [(row, doc_id, block, c.matches(text))]
+
+        def one(row, doc_id, block, text):
+            ids, sizes = c.element(text)
+            yield row, doc_id, block, ids.tobytes(), sizes.tobytes()
+
+        return one
 
     def joined(table: pa.Table) -> pa.Table:
         c = codec(*vocabulary())
-        parts = [x["found"] for x in sorted(table.select(["block", "found"]).to_pylist(), key=lambda x: x["block"])]
-        while len(parts) > 1:
-            parts = [c.join_matches(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
-        ids = [t for match in parts[0] for t in c.piece(match)]
-        return pa.table({"doc_id": table["doc_id"].slice(0, 1), "ids": pa.array([np.asarray(ids, dtype="<u4").tobytes()], pa.binary()), "decoded": pa.array([c.decode(ids)], pa.binary())})
+        parts = sorted(table.select(["block", "ids", "sizes"]).to_pylist(), key=lambda x: x["block"])
+        ids, _ = c.join_all([(np.frombuffer(x["ids"], "<u4"), np.frombuffer(x["sizes"], "<u4")) for x in parts])
+        values = (table["doc_id"][0].as_py(), *outputs_of(c, ids, outputs))
+        return pa.Table.from_arrays([pa.array([v], t) for v, t in zip(values, arrow.types, strict=True)], schema=arrow)
 
-    long = map_rows(blocks, "row long, doc_id long, block int, found array<string>", matched).groupBy("row").applyInArrow(joined, "doc_id long, ids binary, decoded binary")
+    arrow = to_arrow_schema(StructType.fromDDL(schema))
+    long = map_rows(blocks, "row long, doc_id long, block int, ids binary, sizes binary", encoded).groupBy("row").applyInArrow(joined, schema)
     return short.unionByName(long)
 
 
-def digest_columns() -> list[Column]:
-    return [(F.length("ids") / 4).cast("long").alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256")]
-
-
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts and digests of the encoding of every text of documents, and of what it decodes to."""
-    return encode_documents(read(spark, sf_dir, "documents")).select("doc_id", *digest_columns())
+    return encode_documents(read(spark, sf_dir, "documents"), outputs=DIGESTS)
