@@ -105,12 +105,3 @@ def shared_folder(spark: SparkSession) -> str:
     if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
     return tempfile.mkdtemp(prefix="shared-")
-
-
-def release_shuffles(spark: SparkSession) -> None:
-    """Lets Spark delete the shuffle files of finished steps, which it only does once their plans are collected as
-    garbage. For operators that shuffle whole texts after steps that are checkpointed."""
-    import gc
-
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()

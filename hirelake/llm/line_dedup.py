@@ -14,14 +14,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.llm._common import checkpointed, free_name, read, release_shuffles
+from hirelake.llm._common import checkpointed, free_name, read
 
 #: Lines of fewer words are only compared for equality: one word of four is too much to differ.
 MIN_WORDS = 5
 #: Words at the beginning or the end that near lines of at least twice as many words have in common.
 SIDE = 4
-#: Lines, of about 50 bytes each with the ids of their documents, that are looked up by a broadcast; more are by a shuffle.
-MAX_BROADCAST = 1_000_000
 WHITE = " \t\r\x0b\x0c"
 ORDER = ("no_id", "doc_id", "digest", "line")
 
@@ -92,7 +90,6 @@ def near_lines(lines: DataFrame) -> DataFrame:
     variants = variants.select("id", "place", F.xxhash64(*rest).alias("key"), F.xxhash64(F.lit(1), *rest).alias("k2"))
     # Few variants are left here, and they get the places of their lines.
     variants = checkpointed(shared(variants).withColumn("key", F.struct("key", "k2")).drop("k2").join(lines.select("id", "order"), "id"))
-    release_shuffles(lines.sparkSession)
     itself = F.col("place") == 0
     # Substitutions: the same place deleted. Insertions and deletions: a line itself, and others without a word.
     same = variants.where(~itself).groupBy("key", "place").agg(F.min("order").alias("near"))
@@ -122,25 +119,21 @@ def within_one_edit(a: Column, b: Column) -> Column:
 
 def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFrame:
     """doc_id, digest and lines (numbers from 0) of the lines to remove, for documents that have any."""
-    spark, order = documents.sparkSession, F.struct(*ORDER)
+    order = F.struct(*ORDER)
     hashed = lines_of(documents, min_words)
     distinct = hashed.groupBy("h1", "h2", "short", "begins", "ends").agg(F.min(order).alias("first"), F.count("*").alias("n"))
     distinct = checkpointed(distinct.select("h1", "h2", "short", "begins", "ends", "n", "first.*"))
-    release_shuffles(spark)
     place = ["h1", "h2", *ORDER]
     some = shared(distinct.where(F.col("begins").isNotNull()).select(*place, F.explode(F.array("begins", "ends")).alias("key"))).select(*place)
     # A line of 2 * SIDE words is there in any case: it may be near one that is too short to have keys.
     some = some.unionByName(distinct.where("short").select(*place))
     wanted = checkpointed(some.groupBy("no_id", "doc_id", "digest").agg(F.collect_set(F.struct("line", "h1", "h2")).alias("wanted")))
-    release_shuffles(spark)
-    if (wanted.agg(F.sum(F.size("wanted"))).first()[0] or 0) <= MAX_BROADCAST:
-        wanted = F.broadcast(wanted)
+    # Texts meet the few bytes that are wanted of each by a shuffle and without being sorted, whatever the number of lines.
     texts = row_key(documents.select("doc_id", "text")).withColumn("id", F.coalesce("doc_id", F.lit(0)))
     wanted = wanted.withColumn("id", F.coalesce("doc_id", F.lit(0))).drop("doc_id")
-    found = texts.join(wanted, ["no_id", "id", "digest"]).select("no_id", "doc_id", "digest", F.split("text", "\n").alias("content"), F.explode("wanted").alias("x"))
+    found = texts.join(wanted.hint("shuffle_hash"), ["no_id", "id", "digest"]).select("no_id", "doc_id", "digest", F.split("text", "\n").alias("content"), F.explode("wanted").alias("x"))
     found = found.select(F.col("x.h1").alias("h1"), F.col("x.h2").alias("h2"), F.struct("no_id", "doc_id", "digest", F.col("x.line").alias("line")).alias("order"), trimmed(F.element_at("content", F.col("x.line") + 1)).alias("content"))
     found = checkpointed(found.withColumn("id", F.monotonically_increasing_id()))
-    release_shuffles(spark)
     near = found.join(near_lines(found), "id").select("h1", "h2", F.lit(True).alias("near")).distinct()
     bad = distinct.join(near, ["h1", "h2"], "left").where((F.col("n") > 1) | F.col("near")).select("h1", "h2", F.struct(*ORDER).alias("first"), F.coalesce("near", F.lit(False)).alias("near"))
     places = hashed.select("h1", "h2", *ORDER).join(checkpointed(bad), ["h1", "h2"]).where(F.col("near") | (order > F.col("first")))
@@ -163,12 +156,11 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: tuple[
     same lines. No rows give none. Other columns are carried along; those named like a count are replaced.
     """
     gone = repeated_lines(documents, min_words)
-    release_shuffles(documents.sparkSession)
     columns = [c for c in documents.columns if c not in counts]
     rows = documents.select(*columns)
     id_, digest, lines, new = (free_name(documents, n) for n in ("gone_id", "gone_digest", "gone_lines", "new_text"))
     gone = gone.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("lines").alias(lines))
-    rows = rows.join(gone, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(digest)), "left")
+    rows = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(digest)), "left")
     content, unchanged = F.split("text", "\n"), F.col(lines).isNull()
     kept = F.filter(content, lambda x, i: ~F.array_contains(lines, i))
     out = rows.withColumns({
