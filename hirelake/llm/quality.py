@@ -8,18 +8,37 @@ import re
 import time
 from collections import Counter
 from collections.abc import Callable, Iterable
+from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.llm._common import map_rows, read, sample_by_id
 
-#: Rows on which costs and selectivities are measured, at most twice as many.
-SAMPLE_ROWS = 200
+#: Rows on which costs and selectivities are measured, at most twice as many, and characters of the longest text among them.
+SAMPLE_ROWS, SAMPLE_CHARS = 200, 50_000
 WINDOW = 8
 SYMBOLS = "#*$%&|<>"
 
-Rule = tuple[str, Callable[[str, list[str]], bool]]
+
+class Facts:
+    """A text and what the base has counted in it; its words are only made where a rule asks for them."""
+
+    def __init__(self, text: str):
+        self.text = text
+        self.n_words, self.word_chars, self.n_symbols, self.n_dup_lines, self.n_repeat_words = base(text)
+        self.failed = self.n_words < 20 or 100 * self.n_repeat_words > 30 * self.n_words
+
+    @cached_property
+    def words(self) -> list[str]:
+        return words_of(self.text)
+
+    @cached_property
+    def lines(self) -> list[str]:
+        return self.text.split("\n")
+
+
+Rule = tuple[str, Callable[[Facts], bool]]
 
 
 def words_of(text: str) -> list[str]:
@@ -67,41 +86,40 @@ def base(text: str) -> tuple[int, int, int, int, int]:
 _LETTERS = re.compile(r"[^\W\d_]")
 
 
-def odd_word_length(text: str, words: list[str]) -> bool:
-    return not 2 <= sum(map(len, words)) / max(1, len(words)) <= 20
+def odd_word_length(facts: Facts) -> bool:
+    return not 2 <= facts.word_chars / max(1, facts.n_words) <= 20
 
 
-def many_symbols(text: str, words: list[str]) -> bool:
-    return sum(map(text.count, SYMBOLS)) > 0.1 * max(1, len(words))
+def many_symbols(facts: Facts) -> bool:
+    return facts.n_symbols > 0.1 * max(1, facts.n_words)
 
 
-def few_letter_words(text: str, words: list[str]) -> bool:
-    return sum(1 for w in words if _LETTERS.search(w)) < 0.5 * len(words)
+def few_letter_words(facts: Facts) -> bool:
+    return sum(1 for w in facts.words if _LETTERS.search(w)) < 0.5 * facts.n_words
 
 
-def many_duplicate_lines(text: str, words: list[str]) -> bool:
-    return duplicate_lines(text) > 0.5 * (text.count("\n") + 1)
+def many_duplicate_lines(facts: Facts) -> bool:
+    return facts.n_dup_lines > 0.5 * len(facts.lines)
 
 
-def many_bullets(text: str, words: list[str]) -> bool:
-    lines = text.split("\n")
-    return sum(1 for x in lines if x.lstrip()[:1] in ("-", "*", "•")) > 0.9 * len(lines)
+def many_bullets(facts: Facts) -> bool:
+    return sum(1 for x in facts.lines if x.lstrip()[:1] in ("-", "*", "•")) > 0.9 * len(facts.lines)
 
 
-def many_ellipses(text: str, words: list[str]) -> bool:
-    lines = text.split("\n")
-    return sum(1 for x in lines if x.rstrip().endswith(("...", "…"))) > 0.5 * len(lines)
+def many_ellipses(facts: Facts) -> bool:
+    return sum(1 for x in facts.lines if x.rstrip().endswith(("...", "…"))) > 0.5 * len(facts.lines)
 
 
 RULES: tuple[Rule, ...] = tuple((f.__name__, f) for f in (odd_word_length, many_symbols, few_letter_words, many_duplicate_lines, many_bullets, many_ellipses))
 
 
 def order_rules(texts: Iterable[str], rules: Iterable[Rule] = RULES) -> list[Rule]:
-    """Rules by rejections per second on the sample, the most first. A rule that rejects none comes by its cost alone."""
-    sample, rated = [(t, words_of(t)) for t in texts], []
+    """Rules by rejections per second on those texts of the sample that the base passes on to the cascade, the most first.
+    A rule that rejects none comes by its cost alone."""
+    sample, rated = [f for f in map(Facts, texts) if not f.failed], []
     for name, rule in rules:
         began = time.perf_counter()
-        rejected = sum(rule(t, w) for t, w in sample)
+        rejected = sum(map(rule, sample))
         cost = time.perf_counter() - began + 1e-9
         rated.append((-(rejected + 0.01) / cost, name, rule))
     return [(name, rule) for _, name, rule in sorted(rated, key=lambda x: x[:2])]
@@ -111,25 +129,24 @@ def judge_quality(documents: DataFrame, rules: Iterable[Rule] = RULES, sample_ro
     """Returns doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, n_rules.
 
     kept is False if the base rule fails or any rule of the cascade rejects; n_rules counts the rules that were run. A
-    null or empty text has no words and fails. Null ids stay null, repeated rows give repeated results, no rows give
-    none, and other columns are ignored. Only the order of the rules comes from the sample of about sample_rows rows.
+    null or empty text has no words and fails. A very long text is judged as a whole, in one task. Null ids stay null,
+    repeated rows give repeated results, no rows give none, and other columns are ignored. Only the order of the rules
+    comes from the sample of about sample_rows rows; rules that tie run by name.
     """
     rows = documents.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    cascade = order_rules([r["text"] for r in sample_by_id(rows, sample_rows, 9).collect()], rules)
+    cascade = order_rules([r["text"] for r in sample_by_id(rows, sample_rows, 9).where(F.length("text") <= SAMPLE_CHARS).collect()], rules)
 
     def start():
         def one(doc_id, text):
-            n, chars, symbols, lines, repeated = base(text)
-            failed, run = n < 20 or 100 * repeated > 30 * n, 0
-            kept = not failed
+            facts, run = Facts(text), 0
+            kept = not facts.failed
             if kept:
-                words = words_of(text)
                 for _, rule in cascade:
                     run += 1
-                    if rule(text, words):
+                    if rule(facts):
                         kept = False
                         break
-            yield doc_id, n, chars, symbols, lines, repeated, failed, kept, run
+            yield doc_id, facts.n_words, facts.word_chars, facts.n_symbols, facts.n_dup_lines, facts.n_repeat_words, facts.failed, kept, run
 
         return one
 
@@ -137,6 +154,7 @@ def judge_quality(documents: DataFrame, rules: Iterable[Rule] = RULES, sample_ro
 
 
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counts and the verdict of every document."""
     return judge_quality(read(spark, sf_dir, "documents")).drop("n_rules")
 
 

@@ -4,8 +4,9 @@ Every shard owns many points on a ring, and the arc before each point. A documen
 its key falls in. Loads are bounded: when a shard is full, further keys go on clockwise to the next shard with room.
 Capacities add up to the number of documents and differ by at most one, so counts of shards do too.
 
-Only counts by arc, whose number is a parameter, reach the driver. It walks the ring once a round and cuts each arc
-into ranges of ranks by shard; documents are then placed by their rank within their arc.
+Only counts by arc reach the driver, which walks the ring once a round and cuts each arc into ranges of ranks by shard.
+Documents are then placed by their rank within their arc, where rows that are alike are one row with a count. So no arc,
+and no key, is more than ROWS_PER_ARC different rows in a task, by expectation.
 """
 
 from __future__ import annotations
@@ -21,8 +22,10 @@ from pyspark.sql import functions as F
 from hirelake.llm._common import read
 
 SHARDS = 24
-#: Points of each shard on the ring.
-POINTS = 128
+#: Points of each shard on the ring, at least; there are more for more rows than shards * points arcs should hold.
+POINTS, ROWS_PER_ARC = 128, 1_000_000
+#: Rows that are alike are written in pieces of so many.
+PIECE = 100_000
 
 
 def ring(shards: int, points: int) -> tuple[np.ndarray, np.ndarray]:
@@ -61,9 +64,12 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, points: int = PO
     interchangeable. A null text has size 8 and the checksum of the empty text. No rows give none. Other columns are
     ignored.
 
-    The driver holds one count for each of shards * points arcs. Ranks are made within arcs, of which each has about
-    rows / (shards * points) rows: raise points with the data.
+    A very long text only counts by its size and checksum. Rows that tie in their key are ordered by id, checksum and size.
+
+    points is a lower bound for the points of a shard: there are as many more as keep arcs at about ROWS_PER_ARC rows. The
+    driver holds one count for each arc.
     """
+    points = max(points, -(-documents.count() // (shards * ROWS_PER_ARC)))
     spots, owners = ring(shards, points)
     text = F.coalesce("text", F.lit(""))
 
@@ -83,7 +89,12 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, points: int = PO
     plan = spark.createDataFrame([(int(a), int(lo), int(hi), int(s), int(base)) for a, lo, hi, s, base in ranges] or [], "arc int, low long, high long, shard int, base long")
     homes = spark.createDataFrame([(a, int(s)) for a, s in enumerate(owners)], "arc int, home_shard int")
     plan = plan.groupBy("arc").agg(F.sort_array(F.collect_list(F.struct("low", "high", "shard", "base"))).alias("ranges"))
-    ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("arc").orderBy("key", "doc_id", "text_crc32", "size")) - 1)
+    # Rows alike in all of this are interchangeable, so they have their ranks together.
+    kinds = rows.groupBy("arc", "key", "doc_id", "text_crc32", "size").agg(F.count("*").alias("n"))
+    so_far = Window.partitionBy("arc").orderBy("key", "doc_id", "text_crc32", "size").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    ranked = kinds.withColumn("end", F.sum("n").over(so_far)).select("arc", "doc_id", "text_crc32", "size", (F.col("end") - F.col("n")).alias("low"), "end")
+    pieces = F.explode(F.sequence(F.col("low"), F.col("end") - 1, F.lit(PIECE).cast("long")))
+    ranked = ranked.withColumn("from", pieces).withColumn("rank", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + PIECE, "end") - 1)))
     placed = ranked.join(F.broadcast(plan.join(F.broadcast(homes), "arc")), "arc").withColumn("own", F.filter("ranges", lambda r: (r["low"] <= F.col("rank")) & (F.col("rank") < r["high"]))[0])
     return placed.select(
         "doc_id",
@@ -98,4 +109,5 @@ def shard_documents(documents: DataFrame, shards: int = SHARDS, points: int = PO
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document in one of 24 shards, by the law of even counts of rows."""
     return shard_documents(read(spark, sf_dir, "documents"))
