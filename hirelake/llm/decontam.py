@@ -1,13 +1,17 @@
 """Benchmark decontamination with a distributed positional inverted index.
 
-The index has postings (term, document, position and the words about it) of the terms that queries ask for. A query is
-a sequence of words, all of whose windows are sought. Each window is sought by its rarest term in the corpus: the
-postings of that term are shifted by its offset, and the words before and behind it, which the posting holds, are
-intersected with the query's from the inside out. Only DataFrame functions are used.
+Queries are sequences of words, all of whose windows are sought. A first pass over the corpus counts their terms. A second
+one stores the index: the postings (term, document, position, and the words about it) of the rarest terms of windows, and
+the length of each document. Then lists are intersected. The postings of a window's rarest term, and those of its second
+rarest one shifted by the distance between the two, meet in one join, by term, distance and term, so that a frequent term
+alone is no key; the other words are intersected from the inside out with the words that the posting holds, which gives
+the whole range that document and query have in common. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -16,8 +20,10 @@ from hirelake.llm._common import ascii_lower, checkpointed, free_name, read
 WINDOW = 13
 #: What separates words, after A-Z are lower-cased.
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows of a table of terms or places that is broadcast; larger ones are joined by a shuffle.
+#: Terms that a pass over the corpus looks for, at most: they are broadcast. More take further passes.
 MAX_BROADCAST = 200_000
+#: The term under which the index has the length of each document; no word has a separator.
+LENGTH = "\n"
 
 
 def split_words(text: Column) -> Column:
@@ -30,11 +36,6 @@ def count_words(words: Column) -> Column:
     return (n - F.when(words[0] == "", 1).otherwise(0) - F.when((n > 1) & (F.element_at(words, -1) == ""), 1).otherwise(0)).cast("long")
 
 
-def small(df: DataFrame) -> DataFrame:
-    """With a hint to broadcast it, if its rows, which are counted, are few enough."""
-    return F.broadcast(df) if df.limit(MAX_BROADCAST + 1).count() <= MAX_BROADCAST else df
-
-
 def query_places(queries: DataFrame, window: int) -> DataFrame:
     """query (id), word, place (from 0), words (of the whole query), size (of its windows) for each word of queries."""
     words = F.filter(split_words(F.col("text")), lambda w: w != "")
@@ -42,14 +43,24 @@ def query_places(queries: DataFrame, window: int) -> DataFrame:
     return rows.withColumn("size", F.least(F.size("words"), F.lit(window))).select("*", F.posexplode("words").alias("place", "word"))
 
 
+def occurrences(documents: DataFrame, terms: DataFrame, *columns: str) -> DataFrame:
+    """The places (at, from 0) of the terms (column word) in documents (columns, words), and of LENGTH at -1."""
+    n = terms.count()
+    parts = max(1, -(-2 * n // MAX_BROADCAST)) if n > MAX_BROADCAST else 1
+    rows = documents.select(*columns, "words", F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("after", "word"))
+    passes = [terms if parts == 1 else terms.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k) for k in range(parts)]
+    found = reduce(DataFrame.unionByName, (rows.join(F.broadcast(part), "word") for part in passes))
+    return found.withColumn("at", F.col("after") - 1).drop("after")
+
+
 def rarest_places(places: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """Of each window the place of its rarest word: query, word, place, and up to window - 1 words before (the nearest
-    first) and behind."""
+    """Of each window the places of its words from the rarest in the corpus on: query, query_digest, words, size, ranked (of
+    words that the corpus has: n, word, place)."""
     by_query = Window.partitionBy("query", "query_digest").orderBy("place").rowsBetween(0, window - 1)
-    rated = places.join(counts, "word", "left").withColumn("rare", F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).over(by_query))
-    # A window starts wherever enough words follow; a word that the corpus lacks keeps its windows out.
-    chosen = rated.where((F.col("place") + F.col("size") <= F.size("words")) & (F.col("rare.n") > 0)).select("query", "query_digest", "words", "size", "rare.word", "rare.place").distinct()
-    return chosen.select("query", "size", "word", *around(F.col("words"), F.col("place"), window))
+    rated = places.join(counts, "word", "left").withColumn("ranked", F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).over(by_query)))
+    # A window starts wherever enough words follow.
+    whole = rated.where(F.col("place") + F.col("size") <= F.size("words"))
+    return whole.select("query", "query_digest", "words", "size", F.filter("ranked", lambda x: x["n"] > 0).alias("ranked"))
 
 
 def around(words: Column, place: Column, window: int) -> tuple[Column, Column]:
@@ -58,10 +69,23 @@ def around(words: Column, place: Column, window: int) -> tuple[Column, Column]:
     return F.reverse(F.slice(words, low + 1, place - low)).alias("before"), F.slice(words, place + 2, window - 1).alias("behind")
 
 
+def sought_pairs(windows: DataFrame, window: int, pairs: tuple[tuple[int, int], ...]) -> DataFrame:
+    """The places by which windows are sought, each once: query, size, word, step to the place of another word, other, and
+    the query's words before and behind. pairs has ranks of words; in a window of one word the other is the word itself."""
+    rank = lambda k: F.col("ranked")[F.least(F.lit(k), F.size("ranked") - 1)]
+    chosen = [windows.where(F.size("ranked") > 0).select("query", "query_digest", "words", "size", rank(a).alias("one"), rank(b).alias("two")) for a, b in pairs]
+    chosen = reduce(DataFrame.unionByName, chosen).select("query", "query_digest", "words", "size", "one.word", "one.place", (F.col("two.place") - F.col("one.place")).alias("step"), F.col("two.word").alias("other")).distinct()
+    return chosen.select("query", "size", "word", "step", "other", *around(F.col("words"), F.col("place"), window))
+
+
 def index(documents: DataFrame, terms: DataFrame, window: int) -> DataFrame:
-    """Postings of the terms (column word) in documents, which has the columns key and words."""
-    found = documents.select("key", "words", F.posexplode_outer("words").alias("at", "word")).join(terms, "word")
-    return found.select("key", "word", "at", *(c.alias(f"doc_{n}") for c, n in zip(around(F.col("words"), F.col("at"), window), ("before", "behind"), strict=True)))
+    """The stored index of documents (key, words): word, key, at, doc_before and doc_behind for each place of a term; and
+    with the word LENGTH, at being the number of words, a row for each document."""
+    length = terms.sparkSession.createDataFrame([(LENGTH,)], "word string")
+    found = occurrences(documents, terms.unionByName(length), "key")
+    is_length = F.col("word") == LENGTH
+    context = (F.when(~is_length, c).alias(f"doc_{n}") for c, n in zip(around(F.col("words"), F.col("at"), window), ("before", "behind"), strict=True))
+    return checkpointed(found.select("word", "key", F.when(is_length, count_words(F.col("words"))).otherwise(F.col("at")).cast("long").alias("at"), *context))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -70,32 +94,57 @@ def common_prefix(a: Column, b: Column) -> Column:
     return (F.when(differs == 0, F.least(F.size(a), F.size(b))).otherwise(differs - 1)).cast("int")
 
 
-def find_phrases(documents: DataFrame, queries: DataFrame, window: int = WINDOW, near: float | None = None) -> DataFrame:
-    """Matches of queries (item_id, text) in documents (key, words).
+def farthest(words: Column, among: Column) -> Column:
+    """How many words on the last one is that is among others; 0 for none."""
+    return F.coalesce(F.array_max(F.transform(words, lambda w, i: F.when(F.array_contains(among, w), i + 1))), F.lit(0))
+
 
-    Returns query, key, low, high, exact. Exact matches: the places low to high of a document equal part of a query and
+def exact_matches(postings: DataFrame, sought: DataFrame) -> DataFrame:
+    """query, key, low, high: intersects the lists of two terms by a join, and the rest within the posting."""
+    steps = sought.groupBy("word").agg(F.collect_set("step").alias("steps"))  # fewer than two windows' words of each term
+    at_step = F.when(F.col("step") == 0, F.col("word")).when(F.col("step") < 0, F.try_element_at("doc_before", -F.col("step"))).otherwise(F.try_element_at("doc_behind", F.when(F.col("step") > 0, F.col("step")).otherwise(1)))
+    asked = postings.join(steps, "word").select("word", "key", "at", "doc_before", "doc_behind", F.explode("steps").alias("step")).withColumn("other", at_step)
+    found = asked.join(sought, ["word", "step", "other"])
+    found = found.withColumn("left", common_prefix(F.col("before"), F.col("doc_before"))).withColumn("right", common_prefix(F.col("behind"), F.col("doc_behind")))
+    found = found.where(F.col("left") + F.col("right") + 1 >= F.col("size"))
+    return found.select("query", "key", (F.col("at") - F.col("left")).alias("low"), (F.col("at") + F.col("right")).alias("high")).distinct()
+
+
+def near_matches(postings: DataFrame, sought: DataFrame, near: float) -> DataFrame:
+    """query, key, low, high: a posting of a term with the other one about it, in any order, where a share of near of the
+    query's words about the term is as well. low and high are the first and last of these words."""
+    wanted = sought.select("query", "word", "other", F.array_union("before", "behind").alias("about")).distinct()
+    asked = postings.withColumn("doc_about", F.array_distinct(F.concat(F.array("word"), "doc_before", "doc_behind")))
+    asked = asked.select("word", "key", "at", "doc_before", "doc_behind", "doc_about", F.explode("doc_about").alias("other"))
+    found = asked.join(wanted, ["word", "other"]).where(F.size(F.array_intersect("about", "doc_about")) >= near * F.size("about"))
+    return found.select("query", "key", (F.col("at") - farthest(F.col("doc_before"), F.col("about"))).alias("low"), (F.col("at") + farthest(F.col("doc_behind"), F.col("about"))).alias("high")).distinct()
+
+
+def find_phrases(documents: DataFrame, queries: DataFrame, window: int = WINDOW, near: float | None = None) -> tuple[DataFrame, DataFrame]:
+    """Matches of queries (item_id, text) in documents (key, words), and the lengths of documents (key, n_words).
+
+    Matches have query, key, low, high, exact. Exact ones: the places low to high of a document equal part of a query and
     hold one of its windows (window words, or all words of a shorter query); each window that occurs lies within one.
-    With near, also proximity matches, exact being False: a share of near at least of the words about the rarest term of
-    a window, window - 1 on either side, is about a posting of the term, in any order.
+    With near, also proximity matches, exact being False, of windows that any two of their three rarest terms in the
+    corpus lead to, so that one of these may be another word; see near_matches.
     """
     places = query_places(queries, window)
-    counts = documents.select(F.posexplode_outer("words").alias("at", "word")).join(small(places.select("word").distinct()), "word").groupBy("word").agg(F.count("*").alias("n"))
-    sought = checkpointed(rarest_places(places, counts, window))  # as large as the queries; counting takes a pass over the corpus
-    terms = checkpointed(sought.select("word").distinct())
-    found = index(documents, small(terms), window).join(small(sought), "word")
-    found = found.withColumn("left", common_prefix(F.col("before"), F.col("doc_before"))).withColumn("right", common_prefix(F.col("behind"), F.col("doc_behind")))
-    exact = F.col("left") + F.col("right") + 1 >= F.col("size")
-    if near is not None:
-        about, doc_about = F.array_union("before", "behind"), F.array_union("doc_before", "doc_behind")
-        found = found.where(exact | (F.size(F.array_intersect(about, doc_about)) >= near * F.size(about)))
-    else:
-        found = found.where(exact)
-    return found.select("query", "key", (F.col("at") - F.col("left")).alias("low"), (F.col("at") + F.col("right")).alias("high"), exact.alias("exact"))
+    counts = checkpointed(occurrences(documents, places.select("word").distinct()).groupBy("word").agg(F.count("*").alias("n")))
+    windows = checkpointed(rarest_places(places, counts, window))  # as large as the queries
+    sought = checkpointed(sought_pairs(windows.where(F.size("ranked") == F.col("size")), window, ((0, 1),)))
+    loose = sought_pairs(windows, window, ((0, 1), (0, 2), (1, 2))) if near is not None else None
+    terms = sought.select("word") if loose is None else sought.select("word").unionByName(loose.select("word"))
+    stored = index(documents, checkpointed(terms.distinct()), window)
+    postings = stored.where(F.col("word") != LENGTH)
+    found = exact_matches(postings, sought).withColumn("exact", F.lit(True))
+    if loose is not None:
+        found = found.unionByName(near_matches(postings, loose, near).withColumn("exact", F.lit(False)))
+    return found, stored.where(F.col("word") == LENGTH).select("key", F.col("at").alias("n_words"))
 
 
 def covered(ranges: Column) -> Column:
     """Places in any of the ranges, an array of structs low, high."""
-    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).alias("end"))
+    start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-1).cast("long").alias("end"))
     return F.aggregate(F.array_sort(ranges), start, lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["high"] - F.greatest(s["end"], r["low"] - 1))).alias("n"), F.greatest(s["end"], r["high"]).alias("end")))["n"]
 
 
@@ -103,29 +152,31 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     """Returns doc_id, digest, n_words, n_hit, n_items, items (ids as text, sorted), items_sha256, contaminated: a row
     for each row of documents.
 
-    A null or empty text has no words, hits or items. A null item_id is hit like others but not named. Repeated rows of
-    documents give repeated results; repeated items count once. An empty benchmark hits nothing. Other columns are
-    ignored.
+    A null or empty text has no words, hits or items. A very long text is searched as a whole; its words are held in one
+    row. A null item_id is hit like others but not named. Repeated rows of documents give repeated results; repeated items
+    count once, and of windows that tie for the rarest term any gives the same hits. An empty benchmark hits nothing, no
+    documents give no rows. Other columns are ignored.
     """
-    rows = documents.select("doc_id", F.xxhash64("doc_id", "text").alias("digest"), split_words(F.col("text")).alias("words"))
-    found = find_phrases(rows.select(F.struct("doc_id", "digest").alias("key"), "words"), benchmark, window)
+    rows = documents.select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("digest")).alias("key"), split_words(F.col("text")).alias("words"))
+    found, lengths = find_phrases(rows, benchmark, window)
     hits = found.groupBy("key").agg(covered(F.collect_set(F.struct("low", "high"))).alias("n_hit"), F.sort_array(F.collect_set(F.col("query").cast("string"))).alias("items"))
     hits = hits.select(F.col("key.doc_id").alias("hit_id"), F.col("key.digest").alias("hit_digest"), "n_hit", "items")
-    out = rows.select("doc_id", "digest", count_words(F.col("words")).alias("n_words"))
+    out = lengths.select("key.doc_id", "key.digest", "n_words")
     out = out.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
     return out.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of the benchmark's items in every document, by windows of 13 words."""
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("digest", "items")
 
 
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """documents without the contaminated ones."""
+    """documents without the contaminated ones. The ids of these meet the texts by a shuffle, without sorting texts."""
     id_, digest = free_name(documents, "bad_id"), free_name(documents, "bad_digest")
     bad = contamination(documents, benchmark).where("contaminated").select(F.col("doc_id").alias(id_), F.col("digest").alias(digest)).distinct()
-    return documents.join(bad, F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(digest)), "left_anti")
+    return documents.join(bad.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(digest)), "left_anti")
 
 
 OP5_SQL = r"""

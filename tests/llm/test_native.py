@@ -40,11 +40,10 @@ def test_many_variants_of_one_line(spark):
     assert line_dedup.dedup_lines(df).where("n_removed = 0").select("doc_id").collect() == [(0,)]
 
 
-def test_near_lines_of_all_lengths(spark, monkeypatch):
+def test_near_lines_of_all_lengths(spark):
     texts = [" ".join(f"w{n}_{k}" for k in range(n) if k != left) for n in range(5, 13) for left in (n, 0, n // 2, n - 1)]
     df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
-    for least, bound in ((line_dedup.MIN_WORDS, 0), (9, 10**6)):
-        monkeypatch.setattr(line_dedup, "MAX_BROADCAST", bound)
+    for least in (line_dedup.MIN_WORDS, 9):
         out = {r["doc_id"]: r["n_removed"] for r in line_dedup.dedup_lines(df, least).collect()}
         assert out == {k: int(k % 4 > 0 and len(t.split()) >= least) for k, t in enumerate(texts)}
 
@@ -103,11 +102,22 @@ def test_contamination_equals_brute_force(spark):
 def test_proximity_matches(spark):
     item = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu"
     words = item.split()
-    texts = [item, " ".join(reversed(words)), "nothing of the kind is here"]
+    # The rarest words of the item are alpha and mu, of which the last two texts have one only.
+    texts = [item, " ".join(reversed(words)), "nothing of the kind is here", item.replace("alpha", "other"), item.replace(" mu ", " other ")]
     rows = spark.createDataFrame(list(enumerate(texts)), "k long, text string").select(F.struct("k").alias("key"), decontam.split_words(F.col("text")).alias("words"))
-    out = decontam.find_phrases(rows, spark.createDataFrame([(1, item)], "item_id long, text string"), near=0.9)
+    out, lengths = decontam.find_phrases(rows, spark.createDataFrame([(1, item)], "item_id long, text string"), near=0.8)
     found = {(r["key"]["k"], r["exact"]) for r in out.collect()}
-    assert found == {(0, True), (1, False)}
+    assert found == {(0, True), (0, False), (1, False), (3, False), (4, False)}
+    assert {r["key"]["k"]: r["n_words"] for r in lengths.collect()} == {k: len(t.split()) for k, t in enumerate(texts)}
+
+
+def test_terms_beyond_a_broadcast_take_further_passes(spark, monkeypatch):
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", 40)
+    rows = corpus()[:12]
+    items = [(k, rows[k][1]) for k in range(3)]
+    df = frame(spark, rows, clashes=False)
+    out = decontam.contamination(df, spark.createDataFrame(items, "item_id long, text string")).select("doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated")
+    assert sorted(map(tuple, out.collect()), key=str) == contaminated([(r[0], r[1]) for r in rows], items)
 
 
 def test_empty_sides(spark):
