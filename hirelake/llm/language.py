@@ -137,8 +137,8 @@ def predict(documents: DataFrame, model: Model, names: tuple[str, str, str] = RE
 
     Returns the columns of documents with lang_pred, score (the probability of lang_pred) and rejected (the score is
     below the calibrated threshold, or there are no letters: lang_pred is then und and the score 0). A null or empty
-    text has no letters. Without any training rows everything is und. No rows give none; repeated rows give repeated
-    results. Columns named like a result are replaced; names gives other names for the results.
+    text has no letters. A very long text is hashed in pieces, all of which count. Of languages that tie the first by name
+    is taken. Without any training rows everything is und. No rows give none; repeated rows give repeated results. Columns named like a result are replaced; names gives other names for the results.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
     carried = documents.drop(*names)
@@ -182,6 +182,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op2_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language and score of every document, by a model of the documents that are not held out."""
     documents = read(spark, sf_dir, "documents")
     model = train_on(documents.where(~held_out(F.col("doc_id"))))
     out = predict(documents.select("doc_id", "text"), model)

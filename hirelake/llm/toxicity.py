@@ -135,7 +135,8 @@ def train_on(documents: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_
     usable = labels.where(F.col("doc_id").isNotNull() & F.col("toxic").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id", "toxic")
     chosen = sample_by_id(usable, sample_rows, 6)  # at most twice sample_rows rows, so it may be broadcast
     rows = documents.where(F.length("text") <= SAMPLE_CHARS).select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
-    found = sorted(map(tuple, rows.limit(2 * sample_rows).collect()))
+    # Repeated ids may make more rows of the labels; which of them stay doesn't depend on the run.
+    found = sorted(map(tuple, rows.orderBy("doc_id", "text", "toxic").limit(2 * sample_rows).collect()))
     return train([r[1] for r in found], [int(r[2] > 0) for r in found])
 
 
@@ -143,8 +144,9 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
     """Returns doc_id, score, predicted, n_sentences, offending (array of start, end, probability of sentences from the
     threshold on: character offsets) for each row of documents.
 
-    A null or empty text has no sentence and score 0. Null ids stay null, repeated rows give repeated results, no rows
-    give none. Other columns are ignored.
+    A null or empty text has no sentence and score 0. A very long text is looked at in pieces that end where sentences do,
+    all of which count. Null ids stay null, repeated rows give repeated results, no rows give none. Other columns are
+    ignored.
     """
     sent = documents.sparkSession.sparkContext.broadcast(model)
 
@@ -172,6 +174,7 @@ def score(documents: DataFrame, model: Model) -> DataFrame:
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score and prediction of every document, by a model of the labels that are not held out."""
     documents = read(spark, sf_dir, "documents")
     out = score(documents, train_on(documents, read(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", "predicted", "n_sentences", F.size("offending").alias("n_offending"))
