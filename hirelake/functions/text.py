@@ -64,8 +64,10 @@ def _without_marks(s: pd.Series) -> pd.Series:
 
 def strip_accents(c: Column) -> Column:
     """Letters without combining marks, after compatibility decomposition; null gives the empty string. Letters that are
-    their own, such as Đ, stay. Spark has no normalisation, so texts beyond ASCII go to Python in Arrow batches."""
-    return F.when(c.isNull(), F.lit("")).otherwise(_without_marks(c))
+    their own, such as Đ, stay. Spark has no normalisation, so texts go to Python in Arrow batches, in which those of ASCII
+    alone, which stay as they are, are nulls."""
+    plain = F.length(c) == F.octet_length(c)
+    return F.when(plain, c).otherwise(_without_marks(F.when(~plain, c)))
 
 
 def strip_html(c: Column) -> Column:
@@ -183,6 +185,54 @@ STATUS_COLOURS = {"PENDING": "#FFC107", "APPROVED": "#28A745", "REJECTED": "#DC3
 APPLICATION_COLOURS = {"APPROVED": "#E8FAEF", "OFFERED": "#E8FAEF", "REJECTED": "#FFEBEB", "INTERVIEWED": "#E6E1FF"}
 
 
+#: What the states of an employer are called.
+STATUS_LABELS = {"PENDING": "Pending", "APPROVED": "Approved", "REJECTED": "Rejected"}
+
+
+def status_label(c: Column) -> Column:
+    """A state's name; one that has none is shown as it is."""
+    return F.coalesce(looked_up(c, STATUS_LABELS), c)
+
+
+def is_verified(status: Column) -> Column:
+    return F.coalesce(status == "APPROVED", F.lit(False))
+
+
+def job_label(title: Column, company: Column) -> Column:
+    return F.concat(title, F.lit(" - "), company)
+
+
+def user_label(first: Column, email: Column) -> Column:
+    return F.concat(F.coalesce(first, F.lit("")), F.lit(" ("), email, F.lit(")"))
+
+
+def candidate_label(first: Column, last: Column, username: Column) -> Column:
+    """First and last name, or the user name without either."""
+    name = F.trim(F.concat(F.coalesce(first, F.lit("")), F.lit(" "), F.coalesce(last, F.lit(""))))
+    return F.coalesce(filled(name), username)
+
+
+def education_label(level: Column, institution: Column) -> Column:
+    return F.concat(level, F.lit(" - "), institution)
+
+
+def language_label(language: Column, native: Column, oral: Column, written: Column) -> Column:
+    mark = F.when(native, " (Native)").otherwise("")
+    return F.concat(language, mark, F.lit(" - Oral: "), oral.cast("string"), F.lit(", Written: "), written.cast("string"))
+
+
+def pack_label(name: Column, price: Column) -> Column:
+    return F.concat(name, F.lit(" - "), price.cast("decimal(12,0)").cast("string"), F.lit(" VND"))
+
+
+def receipt_label(receipt_id: Column, username: Column, amount: Column) -> Column:
+    return F.concat(F.lit("Receipt #"), receipt_id.cast("string"), F.lit(" - "), username, F.lit(" - "), amount.cast("decimal(12,0)").cast("string"))
+
+
+def bookmark_label(user: Column, job: Column) -> Column:
+    return F.concat(user, F.lit(" bookmarked "), job)
+
+
 def status_colour(c: Column) -> Column:
     return looked_up(c, STATUS_COLOURS, "gray")
 

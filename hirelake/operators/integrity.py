@@ -8,8 +8,8 @@ from operator import and_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from hirelake.functions.text import file_has_type, filled
-from hirelake.sources.schema import CASCADE, DOMAINS, PROTECT, REFERENCES, RESTRICT, SET_NULL, UNIQUE
+from hirelake.functions.text import file_has_type, filled, is_verified
+from hirelake.sources.schema import CASCADE, DOMAINS, LENGTHS, PROTECT, REFERENCES, RESTRICT, SET_NULL, UNIQUE
 
 MAX_RESUME_BYTES = 5 * 1024 * 1024
 
@@ -47,6 +47,14 @@ def at_most(column: str, n: int) -> Column:
     return F.length(column) <= n
 
 
+def broken_columns(df: DataFrame, table: str, key: str = "id") -> DataFrame:
+    """key and column for each value that is too long or outside its domain, by what is declared for the table."""
+    rules = [(c, at_most(c, n)) for (t, c), n in LENGTHS.items() if t == table and c in df.columns]
+    rules += [(c, in_domain(table, c)) for t, c in DOMAINS if t == table and c in df.columns]
+    found = F.array_distinct(F.array_compact(F.array(F.lit(None).cast("string"), *(F.when(~rule, F.lit(c)) for c, rule in rules))))
+    return df.select(F.col(key).alias("key"), F.explode(found).alias("column"))
+
+
 def resume_accepted(name: Column, size: Column) -> Column:
     return file_has_type(name) & (size <= MAX_RESUME_BYTES)
 
@@ -74,6 +82,23 @@ def taken_emails(new: DataFrame, users: DataFrame) -> DataFrame:
     return new.join(other, (F.col("email") == F.col("other_email")) & (F.col("id").isNull() | (F.col("id") != F.col("other_id"))), "left_semi")
 
 
+#: Gates that a role opens; staff opens to superusers as well, and approved to employers whose profile is.
+GATES = {"admin": "ADMIN", "employer": "EMPLOYER", "candidate": "CANDIDATE"}
+
+
+def admitted(users: DataFrame, employers: DataFrame, gate: str) -> DataFrame:
+    """Users who pass a gate: admin, employer, candidate, approved or staff. One who isn't active passes none."""
+    active = users.where(F.coalesce("is_active", F.lit(True)))
+    if gate in GATES:
+        return active.where(F.col("role") == GATES[gate])
+    if gate == "staff":
+        return active.where(F.coalesce("is_staff", F.lit(False)) | F.coalesce("is_superuser", F.lit(False)))
+    if gate != "approved":
+        raise ValueError(f"{gate!r} is no gate")
+    approved = employers.where(is_verified(F.col("status"))).select(F.col("user_id").alias("employer"))
+    return active.where(F.col("role") == GATES["employer"]).join(approved, F.col("id") == F.col("employer"), "left_semi")
+
+
 def unapproved_posts(jobs: DataFrame, employers: DataFrame) -> DataFrame:
     """Jobs of employers who aren't approved."""
     approved = employers.where(F.col("status") == "APPROVED").select(F.col("user_id").alias("employer"))

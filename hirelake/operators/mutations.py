@@ -46,6 +46,28 @@ def links_replaced(bridge: DataFrame, parent: str, child: str, new: DataFrame) -
     return kept.unionByName(new.where(F.col(child).isNotNull()).select(parent, child).distinct())
 
 
+def job_updated(jobs: DataFrame, bridge: DataFrame, changes: DataFrame, tags: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """Jobs with the fields in changes that aren't null, and job_tags; tags (job_id, tag_id), if given, replace those of the
+    jobs in it."""
+    return merged(jobs, changes), bridge if tags is None else links_replaced(bridge, "job_id", "tag_id", tags)
+
+
+def profile_updated(tables: dict[str, DataFrame], changes: DataFrame, skills: DataFrame | None = None) -> dict[str, DataFrame]:
+    """candidate_profile, user, skill and candidate_skills after changes to profiles (user_id, any of their columns, and
+    bio, which is the user's). skills (user_id, name), if given, replace the skills of the users in it; names that are
+    new become skills. A user with a null name alone loses all."""
+    out = dict(tables)
+    out["candidate_profile"] = merged(tables["candidate_profile"], changes.drop("bio"), "user_id")
+    if "bio" in changes.columns:
+        out["user"] = merged(tables["user"], changes.select(F.col("user_id").alias("id"), "bio"))
+    if skills is not None:
+        out["skill"] = got_or_created(tables["skill"], skills.where(F.col("name").isNotNull()))
+        known = out["skill"].groupBy("name").agg(F.min("id").alias("skill_id"))
+        links = skills.select(F.col("user_id").alias("candidate_id"), F.trim("name").alias("name")).join(known, "name", "left")
+        out["candidate_skills"] = links_replaced(tables["candidate_skills"], "candidate_id", "skill_id", links.select("candidate_id", "skill_id"))
+    return out
+
+
 def got_or_created(df: DataFrame, names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
     """The table with a row for each name that it lacks, blanks around it left out. New keys are above the greatest one."""
     new = names.select(F.trim(F.col(name)).alias(name)).where(F.col(name) != "").distinct().join(df.select(F.col(name).alias("known")), F.col(name) == F.col("known"), "left_anti")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -20,10 +20,14 @@ def with_struct(df: DataFrame, on: str, other: DataFrame, name: str, *columns: s
     return df.join(nested(other, key, name, *columns), F.col(on) == F.col(f"{name}_key"), how).drop(f"{name}_key")
 
 
-def children(df: DataFrame, parent: str, *columns: str, order: tuple[str, ...] = (), descending: bool = False) -> DataFrame:
+def children(df: DataFrame, parent: str, *columns: str, order: tuple[str, ...] = (), descending: bool = False, most: int | None = None) -> DataFrame:
     """parent and items: its rows as an array of structs, in order. Rows are gathered by parent once, before any join, so
-    several kinds of children never multiply."""
+    several kinds of children never multiply. most keeps the first ones of each parent, which are chosen before they are
+    gathered: for parents that may have more children than an array should hold."""
     sort = order or columns[:1]
+    if most is not None:
+        by = [F.col(c).desc() if descending else F.col(c).asc() for c in dict.fromkeys((*sort, *columns))]
+        df = df.withColumn("child_place", F.row_number().over(Window.partitionBy(parent).orderBy(*by))).where(F.col("child_place") <= most)
     packed = F.struct(F.struct(*sort).alias("at"), F.struct(*columns).alias("item"))
     return df.groupBy(F.col(parent).alias("parent")).agg(F.transform(F.sort_array(F.collect_list(packed), asc=not descending), lambda x: x["item"]).alias("items"))
 
@@ -91,6 +95,11 @@ def employers_with_users(employers: DataFrame, users: DataFrame) -> DataFrame:
     return with_struct(out, "verified_by", users, "verifier", *fields, how="left")
 
 
+def bookmarks_with_jobs(bookmarks: DataFrame, jobs: DataFrame, user_id: int) -> DataFrame:
+    """A user's bookmarks, each with its job."""
+    return with_struct(bookmarks.where(F.col("user_id") == user_id), "job_id", jobs, "job", "id", "title", "company_name", "salary_min", "salary_max", "deadline", "active")
+
+
 def receipts_with_packs(receipts: DataFrame, packs: DataFrame, jobs: DataFrame) -> DataFrame:
     """Receipts with their pack and job, either of which may be missing."""
     out = with_struct(receipts, "service_pack_id", packs, "service_pack", "id", "name", "price", "duration_days", how="left")

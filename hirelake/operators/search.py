@@ -120,12 +120,20 @@ class FilterSpec:
 SORTABLE = ("salary_min", "salary_max", "created_date")
 
 
-def ordering(text: str | None, allowed: Iterable[str] = SORTABLE, default: str = "-created_date", key: str = "id") -> list[Column]:
-    """Sort keys from a list such as "-salary_max,created_date". Names that aren't allowed are dropped, and without any
-    left the default holds. The key decides ties. Nulls come first upwards and last downwards, Spark's own order."""
+def sort_names(text: str | None, allowed: Iterable[str] = SORTABLE, default: str = "-created_date", key: str = "id") -> list[str]:
+    """Names to sort by from a list such as "-salary_max,created_date", each with a - if it descends. Names that aren't
+    allowed are dropped, and without any left the default holds. The key decides ties."""
     names = [x.strip() for x in (text or "").split(",")]
-    chosen = [x for x in names if x.lstrip("-") in set(allowed)] or [default]
-    return [*(F.col(x[1:]).desc() if x.startswith("-") else F.col(x).asc() for x in chosen), F.col(key).asc()]
+    return [*([x for x in names if x.lstrip("-") in set(allowed)] or [default]), key]
+
+
+def sort_keys(names: Iterable[str]) -> list[Column]:
+    """Nulls come first upwards and last downwards, Spark's own order."""
+    return [F.col(x[1:]).desc() if x.startswith("-") else F.col(x).asc() for x in names]
+
+
+def ordering(text: str | None, allowed: Iterable[str] = SORTABLE, default: str = "-created_date", key: str = "id") -> list[Column]:
+    return sort_keys(sort_names(text, allowed, default, key))
 
 
 @dataclass(frozen=True)
@@ -138,8 +146,10 @@ class Page:
     size: int
 
     def envelope(self) -> dict:
-        """Counts rows: an action."""
+        """Counts rows: an action. A page past the last one raises LookupError; the first may be empty."""
         count = self.unpaged.count()
+        if self.number > 1 and (self.number - 1) * self.size >= count:
+            raise LookupError(f"there is no page {self.number}")
         return {"count": count, "next": self.number + 1 if self.number * self.size < count else None, "previous": self.number - 1 if self.number > 1 else None}
 
 
@@ -151,15 +161,30 @@ def page(df: DataFrame, keys: list[Column], number: int = 1, size: int = PAGE, m
     return Page(df.orderBy(*keys).offset((number - 1) * size).limit(size), df, number, size)
 
 
-def all_pages(df: DataFrame, keys: list[Column], size: int = PAGE):
-    """Page after page until one is not full."""
-    number = 1
+def behind(names: list[str], row) -> Column:
+    """Whether a row comes after another one in the order of names."""
+    after, same = F.lit(False), F.lit(True)
+    for x in names:
+        column, value = F.col(x.removeprefix("-")), F.lit(row[x.removeprefix("-")])
+        if x.startswith("-"):
+            beyond = column.isNull() & value.isNotNull() | F.coalesce(column < value, F.lit(False))
+        else:
+            beyond = value.isNull() & column.isNotNull() | F.coalesce(column > value, F.lit(False))
+        after, same = after | same & beyond, same & column.eqNullSafe(value)
+    return after
+
+
+def all_pages(df: DataFrame, names: list[str], size: int = PAGE):
+    """Page after page, each a DataFrame of its rows, until one is not full. A page begins behind the last row of the one
+    before, so none is counted, and none but the rows up to its end are sorted. The last of names has to be unique."""
+    last = None
     while True:
-        found = page(df, keys, number, size).rows
-        yield found
-        if found.count() < size:
+        rest = df if last is None else df.where(behind(names, last))
+        rows = rest.orderBy(*sort_keys(names)).limit(size).collect()
+        yield df.sparkSession.createDataFrame(rows, df.schema)
+        if len(rows) < size:
             return
-        number += 1
+        last = rows[-1]
 
 
 def search_jobs(jobs: DataFrame, locations: DataFrame, spec: FilterSpec, as_of: Column, order: str | None = None) -> tuple[DataFrame, list[Column]]:

@@ -16,8 +16,8 @@ def same_category(jobs: DataFrame, *by: str) -> DataFrame:
 
 
 def parse_id_list(text: str) -> list[int]:
-    """Ids of a list such as "1, 2,x": what is no number is left out."""
-    return [int(x) for part in text.split(",") if (x := part.strip()).isdigit()]
+    """Ids of a list such as "1, 2,x": what is no number is left out, as is one too large for an id."""
+    return [int(x) for part in text.split(",") if (x := part.strip()).isdecimal() and int(x) < 1 << 63]
 
 
 def compared(jobs: DataFrame, categories: DataFrame, locations: DataFrame, ids: str) -> DataFrame:

@@ -346,9 +346,12 @@ def applications_affected(t):
 
 _PAID = """
 WITH r AS (SELECT c_custkey AS id, 'REF_' || c_custkey AS ref, CAST(c_custkey % 7 AS DECIMAL(12, 0)) AS amount, c_mktsegment = 'BUILDING' AS is_paid FROM customer),
-n AS (SELECT event_id, event_type, 'REF_' || user_id AS ref, (user_id % 7 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) * 100 AS sent FROM events)
-SELECT event_id, CASE WHEN event_type = 'error' THEN '97' WHEN r.id IS NULL THEN '01' WHEN sent <> amount * 100 THEN '04' WHEN is_paid THEN '02' ELSE '00' END AS reply, r.id AS receipt_id
-FROM n LEFT JOIN r USING (ref)
+n AS (SELECT event_id, event_type, 'REF_' || user_id AS ref, (user_id % 7 + CASE WHEN event_id % 5 = 0 THEN 1 ELSE 0 END) * 100 AS sent FROM events),
+tried AS (
+  SELECT event_id, ref, event_type = 'purchase' AS pays, CASE WHEN event_type = 'error' THEN '97' WHEN r.id IS NULL THEN '01' WHEN sent <> amount * 100 THEN '04' WHEN is_paid THEN '02' ELSE '00' END AS reply, r.id AS receipt_id
+  FROM n LEFT JOIN r USING (ref)
+), paid AS (SELECT ref, min(event_id) AS first FROM tried WHERE reply = '00' AND pays GROUP BY 1)
+SELECT event_id, CASE WHEN reply = '00' AND event_id > first THEN '02' ELSE reply END AS reply, receipt_id FROM tried LEFT JOIN paid USING (ref)
 """
 
 
@@ -356,7 +359,7 @@ FROM n LEFT JOIN r USING (ref)
 def payment_replies(t):
     receipts = t["employer"].select(F.col("user_id").alias("id"), F.concat(F.lit("REF_"), F.col("user_id")).alias("transaction_id"), (F.col("user_id") % 7).cast("decimal(12,0)").alias("amount"), (F.col("status") == "BUILDING").alias("is_paid"), F.col("user_id").alias("related_job_id"), F.lit(1).alias("service_pack_id"))
     sent = raw(t, "events").select("event_id", F.concat(F.lit("REF_"), F.col("user_id")).alias("reference"), ((F.col("user_id") % 7 + F.when(F.col("event_id") % 5 == 0, 1).otherwise(0)) * 100).cast("string").alias("amount"), F.when(F.col("event_type") == "purchase", "00").otherwise("24").alias("code"), (F.col("event_type") != "error").alias("valid"))
-    return payments.replies(sent, receipts, None).select("event_id", "reply", "receipt_id")
+    return payments.replies(sent, receipts, None, F.col("event_id")).select("event_id", "reply", "receipt_id")
 
 
 # --- functions of a row ------------------------------------------------------------------------------------------------
@@ -375,9 +378,9 @@ SELECT doc_id, len(items)::BIGINT AS n_items, coalesce(items[1], '') AS first_it
   SELECT doc_id, list_filter(list_transform(string_split(coalesce(text, ''), CASE WHEN contains(coalesce(text, ''), chr(10)) THEN chr(10) ELSE '.' END), lambda x: regexp_replace(regexp_replace(x, '^\s+', ''), '\s+$', '')), lambda x: x <> '') AS items FROM documents)
 """)
 def document_items(t):
-    items = text.parse_lines(F.col("text"))
+    rows, items = raw(t, "documents").select("doc_id", text.parse_lines(F.col("text")).alias("items")), F.col("items")
     one = lambda k: F.coalesce(F.try_element_at(items, F.lit(k)), F.lit(""))
-    return raw(t, "documents").select("doc_id", F.size(items).cast("bigint").alias("n_items"), one(1).alias("first_item"), one(-1).alias("last_item"))
+    return rows.select("doc_id", F.size(items).cast("bigint").alias("n_items"), one(1).alias("first_item"), one(-1).alias("last_item"))
 
 
 @query(r"""

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from hirelake.functions.money import minor_units, signature_valid, transaction_reference
@@ -27,15 +27,22 @@ def receipts_created(receipts: DataFrame, requests: DataFrame, packs: DataFrame,
     return inserted(receipts, new)
 
 
-def replies(notifications: DataFrame, receipts: DataFrame, key: str | None) -> DataFrame:
-    """Notifications (parameters: a map with reference, amount, code and secure_hash; or columns of these names, if key is
-    None and signatures are settled elsewhere) with the receipt they name, reply and message.
+def checked(notifications: DataFrame, key: str) -> DataFrame:
+    """Notifications (parameters: a map with reference, amount, code and secure_hash) with these fields as columns and valid."""
+    fields = {f: F.try_element_at("parameters", F.lit(f)) for f in ("reference", "amount", "code")}
+    return notifications.withColumns(fields).withColumn("valid", signature_valid(F.col("parameters"), key))
 
-    A reference that several receipts have, or an amount that is no number, gives the reply for other failures.
+
+def replies(notifications: DataFrame, receipts: DataFrame, key: str | None, order: Column | None = None) -> DataFrame:
+    """Notifications (parameters, as in checked(); or the columns that it makes, if key is None and signatures are settled
+    elsewhere) with the receipt they name, reply and message.
+
+    A reference that several receipts have, or an amount that is no number, gives the reply for other failures. order says
+    in which order notifications of one receipt arrive: what comes after a payment that is accepted finds it paid. Those
+    that tie in it may be taken either way, and without an order each is judged by the receipts alone.
     """
-    fields = ("reference", "amount", "code")
     if key is not None:
-        notifications = notifications.withColumns({f: F.try_element_at("parameters", F.lit(f)) for f in fields}).withColumn("valid", signature_valid(F.col("parameters"), key))
+        notifications = checked(notifications, key)
     own = receipts.groupBy("transaction_id").agg(F.count("*").alias("n"), *(F.first(c).alias(f"receipt_{c}") for c in ("id", "amount", "is_paid", "related_job_id", "service_pack_id")))
     out = notifications.join(own, F.col("reference") == F.col("transaction_id"), "left")
     sent = F.col("amount").try_cast("decimal(20,0)")
@@ -47,8 +54,14 @@ def replies(notifications: DataFrame, receipts: DataFrame, key: str | None) -> D
         .when(F.col("receipt_is_paid"), ALREADY_PAID)
         .otherwise(ACCEPTED)
     )
+    out = out.withColumn("reply", reply)
+    if order is not None:
+        pays = (F.col("reply") == ACCEPTED) & F.coalesce(F.col("code") == PAID, F.lit(False))
+        before = Window.partitionBy("reference").orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+        paid = F.coalesce(F.max(pays).over(before), F.lit(False))
+        out = out.withColumn("reply", F.when((F.col("reply") == ACCEPTED) & paid, ALREADY_PAID).otherwise(F.col("reply")))
     message = F.element_at(F.create_map(*(F.lit(x) for kv in MESSAGES.items() for x in kv)), F.col("reply"))
-    return out.withColumn("reply", reply).withColumn("message", message).drop("n", "transaction_id")
+    return out.withColumn("message", message).drop("n", "transaction_id")
 
 
 def receipts_settled(receipts: DataFrame, replied: DataFrame) -> DataFrame:

@@ -59,6 +59,18 @@ def shown_details(found: DataFrame, now: Column) -> DataFrame:
     )
 
 
+def application_list(applications: DataFrame, found: DataFrame) -> DataFrame:
+    """A candidate's applications with cards of their jobs nested."""
+    rows = with_struct(applications, "job_id", found, "job", *CARD)
+    return rows.select("id", "job", "status", "created_date")
+
+
+def application_details(applications: DataFrame, found: DataFrame) -> DataFrame:
+    """The same with details of their jobs, the papers and what the employer notes."""
+    rows = with_struct(applications, "job_id", found, "job", *found.columns)
+    return rows.select("id", "job", media_url(F.col("cv")).alias("cv"), "cover_letter", "status", "employer_note", "created_date", "updated_date")
+
+
 CHILDREN = {
     "work_experience": (("id", "job_title", "company", "start_date", "end_date", "is_current", "description"), "start_date"),
     "education": (("id", "institution", "level", "field_of_study", "start_date", "end_date", "is_current", "description"), "start_date"),

@@ -55,6 +55,17 @@ UNIQUE = {
     "tag": [("name",)],
 }
 
+#: Characters that a column may have at most.
+LENGTHS = {
+    ("job_category", "name"): 120, ("location", "name"): 120, ("tag", "name"): 50, ("skill", "name"): 100, ("job", "title"): 255, ("job", "company_name"): 255,
+    ("job", "employment_type"): 20, ("job", "experience_level"): 20, ("user", "phone"): 30, ("user", "role"): 20, ("candidate_profile", "gender"): 10,
+    ("candidate_profile", "address"): 255, ("candidate_profile", "specialization"): 255, ("candidate_profile", "school_name"): 255, ("candidate_profile", "resume_name"): 255,
+    ("candidate_profile", "education_status"): 20, ("employer_profile", "company_name"): 255, ("employer_profile", "tax_code"): 50, ("employer_profile", "address"): 500,
+    ("employer_profile", "status"): 20, ("work_experience", "job_title"): 255, ("work_experience", "company"): 255, ("education", "institution"): 255, ("education", "level"): 100,
+    ("education", "field_of_study"): 255, ("language", "language"): 100, ("appreciation", "award_name"): 255, ("appreciation", "category"): 255, ("service_pack", "name"): 100,
+    ("service_pack", "pack_type"): 20, ("receipt", "payment_method"): 20, ("receipt", "status"): 20, ("receipt", "transaction_id"): 100, ("application", "status"): 20,
+}
+
 CASCADE, PROTECT, RESTRICT, SET_NULL = "cascade", "protect", "restrict", "set null"
 
 #: (table, column): (table referred to, its key, what deleting there does here).

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from hirelake.sources.schema import schema
+from hirelake.sources.schema import ORDERS, schema
 
 
 def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
@@ -36,6 +36,11 @@ def none_of(df: DataFrame) -> DataFrame:
     return df.limit(0)
 
 
+def in_order(df: DataFrame, table: str) -> DataFrame:
+    """The rows of a table in the order that it has unless another is asked for."""
+    return df.orderBy(*(F.col(c).desc() if descending else F.col(c).asc() for c, descending in ORDERS[table]))
+
+
 def first_row(df: DataFrame, *keys: str) -> DataFrame:
     return df.orderBy(*keys).limit(1)
 

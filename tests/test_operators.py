@@ -71,7 +71,13 @@ def test_orders_and_pages(spark):
     found = search.page(df, search.ordering("salary_min"), 2, 3)
     assert ids(found.rows) == [3] and found.envelope() == {"count": 4, "next": None, "previous": 1}
     assert search.page(df, [F.col("id")], 1, 1000).size == 100 and search.page(df, [F.col("id")], 1, 1000, None).size == 1000
-    assert [ids(p) for p in search.all_pages(df, [F.col("id")], 3)] == [[1, 2, 3], [4]]
+    assert [ids(p) for p in search.all_pages(df, ["id"], 3)] == [[1, 2, 3], [4]]
+    for names in (["salary_min", "id"], ["-salary_min", "id"], ["-salary_min", "-id"]):
+        pages = [r["id"] for p in search.all_pages(df, names, 1) for r in p.collect()]
+        assert pages == [r["id"] for r in df.orderBy(*search.sort_keys(names)).collect()]
+    with pytest.raises(LookupError):
+        search.page(df, [F.col("id")], 3, 2).envelope()
+    assert search.page(df.limit(0), [F.col("id")]).envelope() == {"count": 0, "next": None, "previous": None}
     with pytest.raises(ValueError):
         search.page(df, [F.col("id")], 0)
 
@@ -247,15 +253,85 @@ def test_signed_notifications_and_new_receipts(spark):
     assert sorted((r["id"], r["amount"], r["status"], r["transaction_id"]) for r in out.collect()) == [(10, 500, "PENDING", "PAY_10_9"), (12, 500, "PENDING", None)]
 
 
-def test_stream_replies_once(spark, tmp_path):
+def test_later_notifications_of_a_batch_find_the_receipt_paid(spark):
+    receipts = spark.createDataFrame(RECEIPTS, "id long, transaction_id string, amount decimal(12,0), is_paid boolean, related_job_id long, service_pack_id long")
+    rows = [(1, "r1", "10000", "24", True), (2, "r1", "10000", "00", False), (3, "r1", "1", "00", True), (4, "r1", "10000", "00", True), (5, "r1", "10000", "00", True), (6, "r1", "10000", "24", True), (7, "r3", "10000", "00", True)]
+    sent = spark.createDataFrame(rows, "k long, reference string, amount string, code string, valid boolean")
+    found = {r["k"]: r["reply"] for r in payments.replies(sent, receipts, None, F.col("k")).collect()}
+    assert found == {1: "00", 2: "97", 3: "04", 4: "00", 5: "02", 6: "02", 7: "00"}
+
+
+def test_stream_of_forged_failed_and_repeated_notifications(spark, tmp_path):
+    import hashlib
+    import hmac
+    import urllib.parse
+
     from hirelake.streaming.payments import settle
 
-    rows = [("a", dt.datetime(2024, 1, 1)), ("a", dt.datetime(2024, 1, 1, 1)), ("b", dt.datetime(2024, 1, 1))]
-    spark.createDataFrame(rows, "reference string, at timestamp").write.parquet(str(tmp_path / "in"))
-    stream = spark.readStream.schema("reference string, at timestamp").parquet(str(tmp_path / "in"))
-    query = settle(stream, lambda batch, number: batch.write.mode("append").parquet(str(tmp_path / "out")), str(tmp_path / "checkpoint"))
-    query.awaitTermination(120)
-    assert sorted(r["reference"] for r in spark.read.parquet(str(tmp_path / "out")).collect()) == ["a", "b"]
+    def signed(code, amount="10000", key=b"k", reference="r1"):
+        fields = {"reference": reference, "amount": amount, "code": code}
+        return fields | {"secure_hash": hmac.new(key, urllib.parse.urlencode(sorted(fields.items())).encode(), hashlib.sha512).hexdigest()}
+
+    hour = lambda h: dt.datetime(2024, 1, 1, h)
+    rows = [(signed("00", key=b"forged"), hour(0)), (signed("24"), hour(1)), (signed("24"), hour(2)), (signed("00"), hour(3)), (signed("00"), hour(4)), (signed("00", reference="none"), hour(5))]
+    spark.createDataFrame(rows, "parameters map<string,string>, at timestamp").write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("parameters map<string,string>, at timestamp").parquet(str(tmp_path / "in"))
+    receipts = spark.createDataFrame(RECEIPTS, "id long, transaction_id string, amount decimal(12,0), is_paid boolean, related_job_id long, service_pack_id long").withColumn("status", F.lit("PENDING"))
+
+    def apply(batch, number):
+        if batch.isEmpty():  # the last batch only moves the watermark
+            return
+        replied = payments.replies(batch, receipts, None, F.col("at"))
+        replied.select("at", "reply").write.mode("append").parquet(str(tmp_path / "out"))
+        payments.receipts_settled(receipts, replied).where("id = 1").write.mode("append").parquet(str(tmp_path / "receipts"))
+
+    settle(stream, "k", apply, str(tmp_path / "checkpoint")).awaitTermination(120)
+    # The forged one is gone, repeats went once, and the payment after the failure counts.
+    found = [r["reply"] for r in spark.read.parquet(str(tmp_path / "out")).orderBy("at").collect()]
+    assert found == ["00", "00", "01"]
+    assert [(r["status"], r["is_paid"]) for r in spark.read.parquet(str(tmp_path / "receipts")).collect()] == [("SUCCESS", True)]
+
+
+def test_gates(spark):
+    users = spark.createDataFrame([(1, "EMPLOYER", True, False, False), (2, "EMPLOYER", True, False, False), (3, "ADMIN", True, None, True), (4, "CANDIDATE", None, None, None), (5, "EMPLOYER", False, True, False)], "id long, role string, is_active boolean, is_staff boolean, is_superuser boolean")
+    owners = spark.createDataFrame([(1, "APPROVED"), (2, None), (3, "APPROVED"), (5, "APPROVED")], "user_id long, status string")
+    found = {g: ids(integrity.admitted(users, owners, g)) for g in ("admin", "employer", "candidate", "approved", "staff")}
+    assert found == {"admin": [3], "employer": [1, 2], "candidate": [4], "approved": [1], "staff": [3]}
+    with pytest.raises(ValueError):
+        integrity.admitted(users, owners, "other")
+
+
+def test_declared_lengths_and_domains(spark):
+    df = spark.createDataFrame([(1, "x" * 256, "REMOTE"), (2, "x" * 255, "y" * 30), (3, None, None)], "id long, title string, employment_type string")
+    assert sorted(map(tuple, integrity.broken_columns(df, "job").collect())) == [(1, "title"), (2, "employment_type")]
+
+
+def test_composed_updates(spark, data):
+    bridge = data["job_tags"]
+    jobs, links = mutations.job_updated(data["job"], bridge, spark.createDataFrame([(1, "New", None)], "id long, title string, views int"))
+    assert jobs.where("id = 1").select("title").first()[0] == "New" and links.count() == bridge.count() and jobs.count() == 50
+    tables_ = {"candidate_profile": data["candidate_profile"], "user": data["user"], "skill": spark.createDataFrame([(1, "SQL")], "id long, name string"), "candidate_skills": spark.createDataFrame([(11, 1), (12, 1), (13, 1)], "candidate_id long, skill_id long")}
+    skills = spark.createDataFrame([(11, " Spark "), (11, "SQL"), (12, None)], "user_id long, name string")
+    out = mutations.profile_updated(tables_, spark.createDataFrame([(11, "here", "hello")], "user_id long, address string, bio string"), skills)
+    named = out["candidate_skills"].join(out["skill"], F.col("skill_id") == F.col("id")).select("candidate_id", "name")
+    assert sorted(map(tuple, named.collect())) == [(11, "SQL"), (11, "Spark"), (13, "SQL")]
+    assert out["candidate_profile"].where("user_id = 11").select("address").first()[0] == "here"
+    assert out["user"].where("id = 11").select("bio").first()[0] == "hello" and out["user"].where("bio = 'hello'").count() == 1
+
+
+def test_first_children_of_each_parent(spark):
+    df = spark.range(1000).select((F.col("id") % 3).alias("p"), "id")
+    found = {r["parent"]: [x["id"] for x in r["items"]] for r in relations.children(df, "p", "id", most=2, descending=True).collect()}
+    assert found == {0: [999, 996], 1: [997, 994], 2: [998, 995]}
+
+
+def test_json_files_and_parts_of_a_database(spark, tmp_path):
+    df = spark.createDataFrame([(1, None), (2, "x")], "id long, name string")
+    tables.write_json(df, str(tmp_path / "json"))
+    assert sorted(map(tuple, spark.read.json(str(tmp_path / "json")).select("id", "name").collect()), key=str) == [(1, None), (2, "x")]
+    tables.append(df, str(tmp_path / "rows"))
+    tables.append(df, str(tmp_path / "rows"))
+    assert spark.read.parquet(str(tmp_path / "rows")).count() == 4
 
 
 def test_generator_repeats_itself(spark, data):
