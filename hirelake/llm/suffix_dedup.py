@@ -7,15 +7,15 @@ windows of a document that share an anchor are a run, and the bytes that they co
 
 1. segments that are equal meet under the hashes of anchor and segment; all but the earliest are repeats as a whole.
    How many different ones an anchor has is counted where they meet and summed by anchor, so no task holds them all;
-2. anchors that still have several different segments are sorted out by suffixes: the tasks that hold them sort the
-   suffixes of these segments by their first `length` bytes, with ranks of 8 bytes doubled up to `length`. Suffixes cut
-   at `length` bytes and equal ones kept in text order, the previous smaller position of a suffix with an earlier match
-   of full length is its predecessor, and no other suffix has a longest previous factor of that length;
+2. the suffixes of segments under anchors that still have several different ones are sorted in tasks, by ranks of 8 bytes
+   doubled up to `length`. With the common prefixes of neighbours in that order, the previous and the next smaller
+   positions give the longest previous factor of each suffix; where it has `length` bytes, they are repeats;
 3. documents meet the ranges found and drop their bytes.
 
 Documents travel in compressed blocks of about BLOCK_BYTES and answers go back by block. Before anything is sent, a
 block keeps the earliest of its equal segments only, so a passage that is everywhere comes once from each block. Where
-segments go window by window, it keeps the earliest of its equal windows in the same way.
+segments go window by window, it keeps the earliest of its equal windows in the same way. So what meets in one task about
+one passage is a record of 44 bytes (with its bytes, if it goes window by window) for each block that has it.
 """
 
 from __future__ import annotations
@@ -143,7 +143,7 @@ def unpack(blob: bytes) -> Iterator[tuple]:
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.Table:
-    types = {"home": pa.int32(), "bucket": pa.int32(), "block": pa.int32(), "blob": pa.binary()}
+    types = {"own": pa.bool_(), "home": pa.int32(), "bucket": pa.int32(), "block": pa.int32(), "blob": pa.binary()}
     return pa.table({n: pa.array([r[k] for r in rows], types[n]) for k, n in enumerate(names)})
 
 
@@ -263,25 +263,77 @@ def to_sort(block: Block, records: np.ndarray, flags: np.ndarray, buckets: int,
     return out
 
 
-def suffix_ranks(data: np.ndarray, length: int) -> np.ndarray:
-    """Ranks of all suffixes of data that have length bytes, by these bytes: equal exactly if these are. Ranks of 8 bytes
-    are doubled, the last step overlapping."""
+def suffix_ranks(data: np.ndarray, length: int) -> list[tuple[int, np.ndarray]]:
+    """Ranks of all suffixes of data by their first 8 bytes, 16, and so on up to length: each with its size. Ranks are in
+    the order of these bytes, and equal exactly if these are. The last step overlaps."""
     n = len(data) - 7
     ranks = np.zeros(n, np.uint64)
     for k in range(8):
         ranks |= data[k : k + n].astype(np.uint64) << np.uint64(56 - 8 * k)
     size = 8
-    ranks = np.unique(ranks, return_inverse=True)[1].astype(np.int64)
+    levels = [(size, np.unique(ranks, return_inverse=True)[1].astype(np.int32))]
     while size < length:
         step = min(size, length - size)
-        pairs = ranks[: len(ranks) - step] << 32 | ranks[step:]
-        ranks = np.unique(pairs, return_inverse=True)[1].astype(np.int64)
+        ranks = levels[-1][1].astype(np.int64)
+        ranks = ranks[: len(ranks) - step] << 32 | ranks[step:]
         size += step
-    return ranks
+        levels.append((size, np.unique(ranks, return_inverse=True)[1].astype(np.int32)))
+    return levels
+
+
+def common_prefixes(data: np.ndarray, a: np.ndarray, b: np.ndarray, levels: list[tuple[int, np.ndarray]]) -> np.ndarray:
+    """How many bytes suffixes at a and b have in common, up to the size of the last level."""
+    length, last = levels[-1]
+    shared = np.zeros(len(a), np.int64)
+    for size, ranks in levels[-2::-1]:
+        at = np.flatnonzero(shared + size <= length)
+        shared[at] += size * (ranks[a[at] + shared[at]] == ranks[b[at] + shared[at]])
+    for _ in range(7):
+        at = np.flatnonzero(shared < length)
+        shared[at] += data[a[at] + shared[at]] == data[b[at] + shared[at]]
+    return np.where(last[a] == last[b], length, shared)
+
+
+def to_smaller(places: np.ndarray, shared: np.ndarray) -> np.ndarray:
+    """For suffixes in their order, with their places in the text and what each shares with the one before (0 for the
+    first): what each shares with the nearest one before that has a smaller place; 0 if none has. A suffix whose candidate
+    has a greater place takes over the candidate of that one, all at once and again, so candidates move in doubling steps."""
+    before, least = np.arange(-1, len(places) - 1), shared.copy()
+    todo = np.flatnonzero((before >= 0) & (places[before] > places))
+    while len(todo):
+        at = before[todo]
+        least[todo], before[todo] = np.minimum(least[todo], least[at]), before[at]
+        at = before[todo]
+        todo = todo[(at >= 0) & (places[at] > places[todo])]
+    return np.where(before >= 0, least, 0)
+
+
+def longest_previous_factors(data: np.ndarray, starts: np.ndarray, places: np.ndarray, length: int) -> np.ndarray:
+    """The longest previous factor, up to length, of each suffix of data that begins at starts: how many of its bytes also
+    begin at a start with a smaller place. Suffixes have length bytes at least, and places differ.
+
+    The greatest prefix shared with any earlier suffix is shared with the nearest smaller place on one of its sides in
+    suffix order. Of suffixes alike in length bytes, only the earliest takes part in that search.
+    """
+    if not len(starts):
+        return np.empty(0, np.int64)
+    levels = suffix_ranks(data, length)
+    rank = levels[-1][1][starts]
+    order = np.lexsort((places, rank))
+    first = np.concatenate([[True], rank[order][1:] != rank[order][:-1]])
+    heads = order[first]
+    shared = np.concatenate([[0], common_prefixes(data, starts[heads[:-1]], starts[heads[1:]], levels)])
+    left = to_smaller(places[heads], shared)
+    right = to_smaller(places[heads][::-1], np.concatenate([[0], shared[:0:-1]]))[::-1]
+    out = np.full(len(starts), length, np.int64)
+    out[heads] = np.maximum(left, right)
+    return out
 
 
 def earlier_matches(blobs: list[tuple[int, bytes]], length: int) -> list[tuple[int, bytes]]:
     """Answers by block for the segments of one bucket: (document, first window, last window) of repeats."""
+    if not blobs:
+        return []
     parts, data = [], []
     for _, blob in blobs:
         n = int.from_bytes(blob[:8], "little")
@@ -292,20 +344,15 @@ def earlier_matches(blobs: list[tuple[int, bytes]], length: int) -> list[tuple[i
     text = np.concatenate(data)
     sizes = (records["high"] - records["low"] + length).astype(np.int64)
     begin = np.cumsum(sizes) - sizes
-    # Segments in text order give their windows' places in that order.
+    # Windows take their places from the order of their segments in the corpus.
     order = np.lexsort((records["low"], records["doc"], records["digest"], records["doc_id"]))
-    place = np.empty(len(order), np.int64)
-    place[order] = np.arange(len(order))
     n = sizes - length + 1
+    base = np.empty(len(order), np.int64)
+    base[order] = np.cumsum(n[order]) - n[order]
     owner = np.repeat(np.arange(len(records)), n)
     inside = np.arange(len(owner)) - np.repeat(np.cumsum(n) - n, n)
-    ranks = suffix_ranks(text, length)[begin[owner] + inside]
     # Suffixes under different anchors are different, for the windows that are here are filed under their anchors.
-    suffixes = np.lexsort((inside, place[owner], ranks))
-    ranks = ranks[suffixes]
-    repeat = np.zeros(len(owner), bool)
-    repeat[suffixes[1:]] = ranks[1:] == ranks[:-1]
-    at = np.flatnonzero(repeat)
+    at = np.flatnonzero(longest_previous_factors(text, begin[owner] + inside, base[owner] + inside, length) >= length)
     if not len(at):
         return []
     cut = np.concatenate([[True], (np.diff(at) != 1) | (owner[at[1:]] != owner[at[:-1]])])
@@ -315,13 +362,23 @@ def earlier_matches(blobs: list[tuple[int, bytes]], length: int) -> list[tuple[i
     return [(k, part.tobytes()) for k, part in _split(blocks[who], ranges)]
 
 
-def cleaned(block: Block, records: np.ndarray, flags: np.ndarray, ranges: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
-    """For each document: bytes removed, maximal runs removed, and the bytes left."""
+def own_ranges(block: Block, records: np.ndarray, flags: np.ndarray, length: int) -> bytes:
+    """Ranges (document, first window, last window) of the block's segments and single windows that are repeats."""
     gone = records[flags == REPEAT]
     if (flags == SPLIT).any():
         single, first = split_windows(block, records, flags, length)
         gone = np.concatenate([gone, single[~first]])
-    told = np.concatenate([np.stack([gone["doc"], gone["low"], gone["high"]], axis=1), *(np.frombuffer(r, np.int32).reshape(-1, 3) for r in ranges)])
+    gone = gone[np.lexsort((gone["low"], gone["doc"]))]
+    new = np.ones(len(gone), bool)
+    new[1:] = (gone["doc"][1:] != gone["doc"][:-1]) | (gone["low"][1:] != gone["high"][:-1] + 1)
+    first = np.flatnonzero(new)
+    last = np.append(first[1:], len(gone)) - 1 if len(gone) else first
+    return np.stack([gone["doc"][first], gone["low"][first], gone["high"][last]], axis=1).astype(np.int32).tobytes()
+
+
+def cleaned(block: Block, ranges: list[bytes], length: int) -> Iterator[tuple[int, int, bytes]]:
+    """For each document: bytes removed, maximal runs removed, and the bytes left."""
+    told = np.concatenate([np.empty((0, 3), np.int32), *(np.frombuffer(r, np.int32).reshape(-1, 3) for r in ranges)])
     depth = np.zeros(len(block.data) + 1, np.int32)
     base = block.starts[told[:, 0]]
     np.add.at(depth, base + told[:, 1], 1)
@@ -398,16 +455,20 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     def send_suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _rows(["bucket", "block", "blob"], [])
-        block = Block(blobs(left))
+            return _rows(["own", "bucket", "block", "blob"], [])
+        number, block = block_of(left), Block(blobs(left))
         records, flags = answered(block, blobs(right), length, gram)
-        return _rows(["bucket", "block", "blob"], [(bucket, block_of(left), blob) for bucket, blob in to_sort(block, records, flags, blocks, length)])
+        sent = [(False, bucket, number, blob) for bucket, blob in to_sort(block, records, flags, blocks, length)]
+        # What the block knows by itself goes along, so that it needn't be found again in the end.
+        return _rows(["own", "bucket", "block", "blob"], [*sent, (True, number, number, own_ranges(block, records, flags, length))])
+
+    def sort_suffixes(table: pa.Table) -> pa.Table:
+        rows = list(zip(table["own"].to_pylist(), pairs(table), strict=True))
+        return _rows(["block", "blob"], [pair for own, pair in rows if own] + earlier_matches([pair for own, pair in rows if not own], length))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(blobs(left))
-        told = right.to_pylist()
-        records, flags = answered(block, [r["blob"] for r in told if r["step"] == 1], length, gram)
-        out = list(cleaned(block, records, flags, [r["blob"] for r in told if r["step"] == 2], length))
+        out = list(cleaned(block, blobs(right), length))
         return pa.table({
             "doc_id": pa.array([i if has else None for i, has in zip(block.ids.tolist(), block.has_id, strict=True)], pa.int64()),
             "n_bytes": pa.array([len(t) for t in block.texts], pa.int64()),
@@ -420,10 +481,11 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     sent = packed.groupBy("block").applyInArrow(send_segments, by_bucket)
     kinds = sent.groupBy("bucket").applyInArrow(send_kinds, "home int, bucket int, blob binary").groupBy("home").applyInArrow(add_kinds, "bucket int, blob binary")
     first = sent.groupBy("bucket").cogroup(kinds.groupBy("bucket")).applyInArrow(match, by_block)
-    second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_suffixes, by_bucket).groupBy("bucket").applyInArrow(lambda t: _rows(["block", "blob"], earlier_matches(pairs(t), length)), by_block)
-    answers = first.withColumn("step", F.lit(1)).unionByName(second.withColumn("step", F.lit(2)))
+    second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_suffixes, f"own boolean, {by_bucket}")
+    answers = second.groupBy("bucket").applyInArrow(sort_suffixes, by_block)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is left of every document without byte strings of 100 that start earlier too."""
     return dedup_suffixes(read(spark, sf_dir, "documents")).withColumn("kept_sha256", F.sha2("kept", 256)).drop("kept")

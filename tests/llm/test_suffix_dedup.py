@@ -2,6 +2,7 @@ import hashlib
 import random
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from hirelake.llm import suffix_dedup
@@ -43,11 +44,39 @@ def test_no_rows(spark):
 
 def test_suffix_ranks_order_suffixes():
     data = np.random.default_rng(1).integers(97, 99, 400).astype(np.uint8)
-    ranks = suffix_dedup.suffix_ranks(data, 20)
+    ranks = suffix_dedup.suffix_ranks(data, 20)[-1][1]
     suffixes = [data[i : i + 20].tobytes() for i in range(len(data) - 19)]
     assert [sorted(set(suffixes)).index(s) for s in suffixes] == np.unique(ranks[: len(suffixes)], return_inverse=True)[1].tolist()
 
 
+def common(a, b):
+    return next((k for k, (x, y) in enumerate(zip(a, b, strict=False)) if x != y), min(len(a), len(b)))
+
+
+@pytest.mark.parametrize("letters", [1, 2, 4, 26])
+def test_longest_previous_factors_equal_brute_force(letters):
+    rng = random.Random(letters)
+    for length in (16, 20, 37):
+        data = bytes(rng.randrange(letters) + 97 for _ in range(500))
+        data += data[100:160] + b"z" + data[100:140]
+        starts = np.array(rng.sample(range(len(data) - length + 1), 300))
+        places = np.random.default_rng(length).permutation(300)
+        found = suffix_dedup.longest_previous_factors(np.frombuffer(data, np.uint8), starts, places, length)
+        texts = [data[s : s + length] for s in starts]
+        expected = [max((common(texts[i], texts[j]) for j in range(300) if places[j] < places[i]), default=0) for i in range(300)]
+        assert found.tolist() == expected
+
+
+def test_smaller_places_on_one_side():
+    rng = np.random.default_rng(4)
+    for places in (np.arange(50), np.arange(50)[::-1], np.append(np.arange(1, 50), 0), rng.permutation(50)):
+        shared = np.append(0, rng.integers(0, 9, 49))
+        found = suffix_dedup.to_smaller(places, shared)
+        for k in range(50):
+            j = next((j for j in range(k - 1, -1, -1) if places[j] < places[k]), None)
+            assert found[k] == (0 if j is None else min(shared[j + 1 : k + 1]))
+
+
 def test_segments_are_found_whatever_the_chunks():
     data = np.frombuffer(random.Random(3).randbytes(5000), np.uint8)
     starts = np.array([0, 50, 1500, 1500, 5000])
