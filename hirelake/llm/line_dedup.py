@@ -83,11 +83,13 @@ def near_lines(lines: DataFrame) -> DataFrame:
     place. Returns the id of those that are near an earlier line. No pairs are made: of the lines with a key only the
     earliest is joined to the rest."""
     words, n = F.col("words"), F.size("words")
-    some = shared(lines.select("id", F.explode(half_keys(words_of(F.col("content")))).alias("key"))).select("id").distinct()
+    # Keys are made once and stored: counting them and choosing by the counts are two passes over them.
+    halves = lines.select("id", words_of(F.col("content")).alias("words")).select("id", half_keys(words).alias("keys"))
+    some = shared(checkpointed(halves.select("id", F.explode("keys").alias("key")))).select("id").distinct()
     variants = lines.join(some, "id").select("id", words_of(F.col("content")).alias("words")).select("id", "words", F.explode(F.sequence(F.lit(0), n)).alias("place"))
     # Place 0 is the line itself.
     rest = [F.when(F.col("place") == 0, words).otherwise(F.slice(words, 1, F.greatest(F.col("place") - 1, F.lit(0)))), F.slice(words, F.col("place") + 1, F.when(F.col("place") == 0, 0).otherwise(n))]
-    variants = variants.select("id", "place", F.xxhash64(*rest).alias("key"), F.xxhash64(F.lit(1), *rest).alias("k2"))
+    variants = checkpointed(variants.select("id", "place", F.xxhash64(*rest).alias("key"), F.xxhash64(F.lit(1), *rest).alias("k2")))
     # Few variants are left here, and they get the places of their lines.
     variants = checkpointed(shared(variants).withColumn("key", F.struct("key", "k2")).drop("k2").join(lines.select("id", "order"), "id"))
     itself = F.col("place") == 0
