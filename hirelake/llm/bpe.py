@@ -21,6 +21,7 @@ import hashlib
 import heapq
 from collections.abc import Callable, Sequence
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from pyspark.sql.types import StructType
 from hirelake.llm._common import map_rows, read
 
 #: Characters of a leaf: texts and halves up to this length are matched in one go.
-LEAF_CHARS = 4_096
+LEAF_CHARS = 16_384
 #: Characters behind a match that decide on it.
 LOOKAHEAD = 2
 #: Bytes of a pretoken that is merged directly; longer ones are halved.
@@ -41,7 +42,7 @@ LEAF_BYTES = 6
 #: Ids of a leaf of decoding.
 LEAF_IDS = 8_192
 #: Bytes, by estimate, of the encodings that a Python worker remembers in all.
-CACHE_BYTES = 64 << 20
+CACHE_BYTES = 256 << 20
 #: Texts of more characters are cut into blocks that different tasks encode.
 BLOCK_CHARS = 1_000_000
 
@@ -52,23 +53,17 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class Remembered:
-    """A mapping that takes up to most bytes, by estimate: when one half is full, what the other has is forgotten."""
+class Remembered(dict):
+    """A dictionary that takes up to most bytes, by estimate, and starts anew when it is full."""
 
     def __init__(self, most: int):
-        self.new: dict = {}
-        self.old: dict = {}
-        self.spent, self.half = 0, most // 2
-
-    def get(self, key):
-        if (value := self.new.get(key)) is None and (value := self.old.get(key)) is not None:
-            self.put(key, value, 200)
-        return value
+        self.spent, self.most = 0, most
 
     def put(self, key, value, size: int) -> None:
-        if self.spent > self.half:
-            self.old, self.new, self.spent = self.new, {}, 0
-        self.new[key] = value
+        if self.spent > self.most:
+            self.clear()
+            self.spent = 0
+        self[key] = value
         self.spent += size
 
 
@@ -166,9 +161,14 @@ class Codec:
             data = text.encode()
             ids = (self.ranks[data],) if data in self.ranks else tuple(self.tree(data))
             if len(text) <= 256:
-                self.known.put(text, ids, 240 + 2 * len(data) + 16 * len(ids))
+                self.known.put(text, ids, 200 + len(data) + 8 * len(ids))
         return ids
 
+    def pieces(self, text: str) -> list[tuple[int, ...]]:
+        """The ids of each of the pattern's matches."""
+        known, piece = self.known.get, self.piece
+        return [known(match) or piece(match) for match in self.pattern.findall(text)]
+
     # --- elements: the ids of a text, and how many of them each of its pretokens has ----------------------------------
 
     def element(self, text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -176,7 +176,7 @@ class Codec:
         if len(text) > self.leaf_chars:
             half = len(text) // 2
             return self.join_elements(self.element(text[:half]), self.element(text[half:]))
-        return _element([self.piece(match) for match in self.pattern.findall(text)])
+        return _element(self.pieces(text))
 
     def join_elements(self, left: tuple[np.ndarray, np.ndarray], right: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
         """Pretokens at the end of the left that aren't final are matched anew, until one starts where one on the right
@@ -225,7 +225,7 @@ class Codec:
         if len(text) > self.leaf_chars:
             return self.element(text)[0]
         out: list[int] = []
-        known, piece = self.known.new.get, self.piece
+        known, piece = self.known.get, self.piece
         for match in self.pattern.findall(text):
             out += known(match) or piece(match)
         return out
@@ -238,7 +238,7 @@ class Codec:
 
 
 def _element(pieces: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array([x for ids in pieces for x in ids], "<u4"), np.array([len(ids) for ids in pieces], "<u4")
+    return np.array(list(chain.from_iterable(pieces)), "<u4"), np.array(list(map(len, pieces)), "<u4")
 
 
 @cache
