@@ -55,7 +55,7 @@ UNIQUE = {
     "tag": [("name",)],
 }
 
-#: Characters that a column may have at most.
+#: Characters that a column may have at most.
 LENGTHS = {
     ("job_category", "name"): 120, ("location", "name"): 120, ("tag", "name"): 50, ("skill", "name"): 100, ("job", "title"): 255, ("job", "company_name"): 255,
     ("job", "employment_type"): 20, ("job", "experience_level"): 20, ("user", "phone"): 30, ("user", "role"): 20, ("candidate_profile", "gender"): 10,
