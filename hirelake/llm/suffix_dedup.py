@@ -427,7 +427,9 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         if held:
             yield flush()
 
-    packed = rows.mapInArrow(pack_blocks, "block int, blob binary").repartition(min(blocks, MOST_PARTITIONS), "block")
+    # Partitions follow the data, whatever the session's number for shuffles is.
+    parts = min(blocks, MOST_PARTITIONS)
+    packed = rows.mapInArrow(pack_blocks, "block int, blob binary").repartition(parts, "block")
 
     def blobs(table: pa.Table) -> list[bytes]:
         return table["blob"].to_pylist()
@@ -478,11 +480,11 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         })
 
     by_block, by_bucket = "block int, blob binary", "bucket int, block int, blob binary"
-    sent = packed.groupBy("block").applyInArrow(send_segments, by_bucket)
-    kinds = sent.groupBy("bucket").applyInArrow(send_kinds, "home int, bucket int, blob binary").groupBy("home").applyInArrow(add_kinds, "bucket int, blob binary")
+    sent = packed.groupBy("block").applyInArrow(send_segments, by_bucket).repartition(parts, "bucket")
+    kinds = sent.groupBy("bucket").applyInArrow(send_kinds, "home int, bucket int, blob binary").repartition(parts, "home").groupBy("home").applyInArrow(add_kinds, "bucket int, blob binary")
     first = sent.groupBy("bucket").cogroup(kinds.groupBy("bucket")).applyInArrow(match, by_block)
     second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_suffixes, f"own boolean, {by_bucket}")
-    answers = second.groupBy("bucket").applyInArrow(sort_suffixes, by_block)
+    answers = second.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort_suffixes, by_block)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
