@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-import tempfile
 from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
@@ -12,6 +10,10 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import StructType
 
+from hirelake.sources.storage import checkpointed, shared_folder
+
+__all__ = ["ascii_lower", "checkpointed", "crc32_of_id", "free_name", "map_rows", "read", "sample_by_id", "shared_folder"]
+
 #: A-Z to a-z and nothing else; SQL lower() also changes letters outside ASCII.
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
@@ -71,23 +73,6 @@ def crc32_of_id(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")))
 
 
-#: Lets Spark delete the shuffle files of an execution at its end; without it they stay until the driver's garbage goes.
-CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cuts the lineage with a checkpoint in the session's shared folder, and releases the shuffles that led to it."""
-    session = df.sparkSession
-    if session.sparkContext.getCheckpointDir() is None:
-        session.sparkContext.setCheckpointDir(shared_folder(session))
-    before = session.conf.get(CLEAN_UP, "false")
-    session.conf.set(CLEAN_UP, "true")
-    try:
-        return df.select("*").checkpoint()  # a plan takes the setting when it is made
-    finally:
-        session.conf.set(CLEAN_UP, before)
-
-
 def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
     """About that many rows, and never more than twice as many, chosen by a digest of doc_id: the same in every run.
     Needs a count, but no sort or shuffle."""
@@ -95,13 +80,3 @@ def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
         return df.limit(2 * rows)
     bound = -(1 << 63) + (rows << 64) // n  # digests are spread over all signed 64-bit numbers
     return df.where(F.xxhash64(F.lit(seed), "doc_id") < bound).limit(2 * rows)
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see, as spark.checkpoint.dir names it. Only a session of one machine,
-    as in tests, may leave it unset, and gets a temporary one."""
-    if folder := spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir():
-        return folder
-    if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
-        raise ValueError("spark.checkpoint.dir has to name a folder that all machines share")
-    return tempfile.mkdtemp(prefix="shared-")
