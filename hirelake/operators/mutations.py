@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from hirelake.operators.ranks import numbered
 from hirelake.operators.relations import missing
 from hirelake.sources.tables import inserted
 
@@ -69,12 +70,12 @@ def profile_updated(tables: dict[str, DataFrame], changes: DataFrame, skills: Da
 
 
 def got_or_created(df: DataFrame, names: DataFrame, key: str = "id", name: str = "name") -> DataFrame:
-    """The table with a row for each name that it lacks, blanks around it left out. New keys are above the greatest one."""
+    """The table with a row for each name that it lacks, blanks around it left out. New keys go on from the greatest one in
+    the order of the names, so each evaluation gives the same."""
     new = names.select(F.trim(F.col(name)).alias(name)).where(F.col(name) != "").distinct().join(df.select(F.col(name).alias("known")), F.col(name) == F.col("known"), "left_anti")
     top = df.agg(F.coalesce(F.max(key), F.lit(0)).alias("top"))
-    # monotonically_increasing_id has gaps but needs no global sort, and keys need only differ.
-    numbered = new.withColumn("place", F.monotonically_increasing_id() + 1).join(F.broadcast(top))
-    return inserted(df, numbered.select((F.col("top") + F.col("place")).alias(key), name))
+    ranked = numbered(new, [F.col(name)], "place").join(F.broadcast(top))
+    return inserted(df, ranked.select((F.col("top") + F.col("place") + 1).alias(key), name))
 
 
 def bookmarked(bookmarks: DataFrame, new: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -23,14 +23,14 @@ LEVEL_OF = {"no_experience": "FRESHER", "less_than_1": "FRESHER", "1_3": "JUNIOR
 TYPE_OF = {"full": "FULL_TIME", "part": "PART_TIME", "remote": "REMOTE", "intern": "INTERN"}
 
 
-def contains(c: Column, needle: str, collation: str | None = ANY_CASE_AND_ACCENT) -> Column:
+def contains(c: Column, needle: str | Column, collation: str | None = ANY_CASE_AND_ACCENT) -> Column:
     """Whether a text has a needle, without regard to case."""
     if collation is None:
         return F.contains(F.lower(c), F.lower(F.lit(needle)))
     return F.contains(F.collate(c, collation), F.collate(F.lit(needle), collation))
 
 
-def any_contains(columns: Iterable[Column], needle: str, collation: str | None = ANY_CASE_AND_ACCENT) -> Column:
+def any_contains(columns: Iterable[Column], needle: str | Column, collation: str | None = ANY_CASE_AND_ACCENT) -> Column:
     return reduce(or_, (contains(c, needle, collation) for c in columns))
 
 
@@ -61,7 +61,7 @@ class FilterSpec:
     location: str | None = None
     min_salary: int | None = None
     max_salary: int | None = None
-    created_after: str | None = None
+    created_after: str | Column | None = None
     created_before: str | None = None
     category_id: int | None = None
     employment_type: str | None = None
@@ -84,7 +84,7 @@ class FilterSpec:
             on.append(F.col("salary_min") >= self.min_salary)
         if self.max_salary is not None:
             on.append(F.col("salary_max") <= self.max_salary)
-        if self.created_after:
+        if self.created_after is not None and not (isinstance(self.created_after, str) and not self.created_after):
             on.append(F.col("created_date") >= F.lit(self.created_after).cast("timestamp"))
         if self.created_before:
             on.append(F.col("created_date") <= F.lit(self.created_before).cast("timestamp"))
@@ -94,15 +94,9 @@ class FilterSpec:
         return reduce(and_, on, F.lit(True))
 
     @classmethod
-    def from_form(cls, form: dict, as_of: Column, df: DataFrame | None = None) -> FilterSpec:
+    def from_form(cls, form: dict, as_of: Column) -> FilterSpec:
         """From a form's fields: search, category, location, salary in millions, job types (the first counts), experience
         and last update."""
-        since = recent_from(form.get("last_update"), as_of)
-        day = None
-        if since is not None:
-            if df is None:
-                raise ValueError("a relative date needs a DataFrame to evaluate it")
-            day = str(df.sparkSession.range(1).select(since.alias("d")).first()["d"])
         salary = form.get("salary") or {}
         scaled = lambda x: None if x is None else int(x * 1_000_000)
         return cls(
@@ -113,7 +107,7 @@ class FilterSpec:
             max_salary=scaled(salary.get("max")),
             employment_type=TYPE_OF.get((form.get("job_types") or [""])[0]),
             experience_level=LEVEL_OF.get(form.get("experience") or ""),
-            created_after=day,
+            created_after=recent_from(form.get("last_update"), as_of),
         )
 
 
@@ -162,7 +156,7 @@ def page(df: DataFrame, keys: list[Column], number: int = 1, size: int = PAGE, m
 
 
 def behind(names: list[str], row) -> Column:
-    """Whether a row comes after another one in the order of names."""
+    """Whether a row comes after another one in the order of names: a page that begins there needs no rows before it."""
     after, same = F.lit(False), F.lit(True)
     for x in names:
         column, value = F.col(x.removeprefix("-")), F.lit(row[x.removeprefix("-")])
@@ -174,17 +168,9 @@ def behind(names: list[str], row) -> Column:
     return after
 
 
-def all_pages(df: DataFrame, names: list[str], size: int = PAGE):
-    """Page after page, each a DataFrame of its rows, until one is not full. A page begins behind the last row of the one
-    before, so none is counted, and none but the rows up to its end are sorted. The last of names has to be unique."""
-    last = None
-    while True:
-        rest = df if last is None else df.where(behind(names, last))
-        rows = rest.orderBy(*sort_keys(names)).limit(size).collect()
-        yield df.sparkSession.createDataFrame(rows, df.schema)
-        if len(rows) < size:
-            return
-        last = rows[-1]
+def next_page(df: DataFrame, names: list[str], last=None, size: int = PAGE) -> DataFrame:
+    """The rows that follow the last one shown, if any, as a list that grows asks for them. The last of names is unique."""
+    return (df if last is None else df.where(behind(names, last))).orderBy(*sort_keys(names)).limit(size)
 
 
 def search_jobs(jobs: DataFrame, locations: DataFrame, spec: FilterSpec, as_of: Column, order: str | None = None) -> tuple[DataFrame, list[Column]]:

@@ -7,6 +7,7 @@ applications, bookmarks, work and education, parts tags, skills and service pack
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -14,9 +15,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import dates, money, text
-from hirelake.operators import integrity, mutations, relations, search
+from hirelake.operators import integrity, mutations, ranks, relations, search, trigrams
 from hirelake.plans import compare, payments, profiles
-from hirelake.sources import generator, tables
+from hirelake.sources import generator, tables, upserts
+from hirelake.sources.storage import shared_folder
+from hirelake.streaming import settlement
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -52,7 +55,7 @@ MODEL = {
     "education": f"SELECT l_orderkey * 100 + l_linenumber AS id, {CANDIDATES} + l_suppkey AS candidate_id, concat('School ', l_orderkey % 10) AS institution, CASE WHEN l_linenumber > 1 THEN 'Master' ELSE '' END AS level, concat('Field ', l_linenumber) AS field_of_study, CAST(l_shipdate AS DATE) AS start_date, CAST(CASE WHEN l_linenumber > 4 THEN '1996-01-01' ELSE '2005-01-01' END AS DATE) AS end_date, l_linenumber <= 2 AS is_current, '' AS description FROM lineitem WHERE l_quantity BETWEEN 10 AND 11",
     "language": f"SELECT s_suppkey AS id, {CANDIDATES} + s_suppkey AS candidate_id, concat('Language ', s_nationkey) AS language, CAST(s_suppkey % 13 AS INT) AS oral_level, CAST(s_suppkey % 12 AS INT) AS written_level, s_suppkey % 2 = 0 AS is_first_language FROM supplier",
     "appreciation": f"SELECT s_suppkey AS id, {CANDIDATES} + s_suppkey AS candidate_id, 'Award' AS award_name, 'Category' AS category, CAST('2020-01-01' AS DATE) AS end_date, '' AS description FROM supplier WHERE s_suppkey % 2 = 0",
-    "service_pack": "SELECT p_partkey AS id, p_name AS name, CAST(p_retailprice AS DECIMAL(12, 0)) AS price, CAST(p_size AS INT) AS duration_days FROM part WHERE p_partkey < 100",
+    "service_pack": "SELECT p_partkey AS id, p_name AS name, CAST(p_retailprice AS DECIMAL(12, 0)) AS price, CAST(p_size AS INT) AS duration_days FROM part",
     "receipt": "SELECT c_custkey AS id, c_custkey AS user_id, CASE WHEN c_custkey % 4 <> 0 THEN c_custkey % 120 END AS service_pack_id, CASE WHEN c_custkey % 3 <> 0 THEN c_custkey * 5 END AS related_job_id, CAST(c_custkey % 7 AS DECIMAL(12, 0)) AS amount, 'VNPAY' AS payment_method, 'PENDING' AS status, c_mktsegment = 'BUILDING' AS is_paid, concat('REF_', c_custkey) AS transaction_id, TIMESTAMP '1999-01-01 00:00:00' AS created_date FROM customer",
 }
 _SOURCES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem")
@@ -233,6 +236,16 @@ def documents_in_any_case_and_accent(t):
     return t.raw("documents").where(search.any_contains([F.col("text"), F.col("source")], "ÉtIoN")).select("doc_id")
 
 
+_NEEDLES = "SELECT item_id AS needle_id, CASE WHEN length(text) % 3 = 0 THEN upper(substr(text, 30, 24)) WHEN length(text) % 3 = 1 THEN substr(text, 10, 40) ELSE substr(text, 1, 6) END AS needle FROM benchmark UNION ALL SELECT -1, 'çr'"
+
+
+@query(f"SELECT needle_id, doc_id FROM ({_NEEDLES}) JOIN documents ON contains(lower(strip_accents(text)), lower(strip_accents(needle)))")
+def needles_looked_up(t):
+    """Pieces of all benchmark items, looked up in an index of all documents."""
+    index = trigrams.build(t.raw("documents"), f"{shared_folder(t.spark)}/trigrams", ["text"], "doc_id")
+    return trigrams.lookup(index, t.spark.sql(_NEEDLES.replace("FROM benchmark", "FROM {benchmark}"), benchmark=t.raw("benchmark"))).select("needle_id", F.col("key").alias("doc_id"))
+
+
 @query("SELECT doc_id, strip_accents(text) AS plain FROM documents WHERE text IS NOT NULL")
 def documents_without_accents(t):
     return t.raw("documents").where("text IS NOT NULL").select("doc_id", text.strip_accents(F.col("text")).alias("plain"))
@@ -242,16 +255,21 @@ def documents_without_accents(t):
 def form_search(t):
     form = {"search": "medium", "location": "_1", "salary": {"min": 3, "max": 40}, "job_types": ["remote", "full"], "experience": "1_3", "last_update": "month"}
     today = F.lit("1997-06-01").cast("date")
-    found, _ = search.search_jobs(t["job"], t["location"], search.FilterSpec.from_form(form, today, t["location"]), today)
+    found, _ = search.search_jobs(t["job"], t["location"], search.FilterSpec.from_form(form, today), today)
     return found.select("id")
 
 
-@query("SELECT CAST(k // 10 AS BIGINT) AS page, id, name FROM (SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name, row_number() OVER (ORDER BY n_regionkey DESC, n_nationkey) - 1 AS k FROM nation)")
+@query(" SELECT id, title, k AS rank, k // 20 + 1 AS page FROM (SELECT id, title, row_number() OVER (ORDER BY salary_max DESC NULLS LAST, salary_min NULLS FIRST, id) - 1 AS k FROM job)", "job")
 def pages_appended(t):
-    """Page after page of the locations, as a list that grows does it."""
-    rows = t.raw("nation").select(F.col("n_nationkey").cast("bigint").alias("id"), F.col("n_name").alias("name"), "n_regionkey")
-    found = [p.withColumn("page", F.lit(k).cast("bigint")) for k, p in enumerate(search.all_pages(rows, search.sort_names("-n_regionkey", ("n_regionkey",)), 10))]
-    return reduce(DataFrame.unionByName, found).select("page", "id", "name")
+    """All pages of all jobs, as a list that grows page by page shows them."""
+    return ranks.paged(t["job"], search.sort_names("-salary_max,salary_min")).select("id", "title", "rank", "page")
+
+
+@query(" SELECT page, count(*) OVER () AS of_pages, total AS count, CASE WHEN page * 100 < total THEN page + 1 END AS next, CASE WHEN page > 1 THEN page - 1 END AS previous FROM (SELECT count(*) AS total FROM users), range(1, total // 100 + CASE WHEN total % 100 > 0 THEN 2 ELSE 1 END) r(page)", "user")
+def page_envelopes(t):
+    """What is said of each page of users, a hundred to a page."""
+    found = ranks.envelopes(ranks.paged(t["user"], ["username", "id"], 500))
+    return found.select("page", F.lit(found.count()).cast("bigint").alias("of_pages"), "count", "next", "previous")
 
 
 @query("SELECT count(*) AS count, CASE WHEN count(*) > 60 THEN 4::BIGINT END AS next, 2::BIGINT AS previous FROM orders")
@@ -280,9 +298,9 @@ def applications_of_a_month(t):
     return t["application"].where(dates.in_month(F.col("created_date"), 1998, 12)).select("id")
 
 
-@query(" SELECT user_id, sum(CAST(n BETWEEN 2 AND 5 AS BIGINT)) = count(*) AS may_compare FROM (SELECT user_id, count(DISTINCT job_id) AS n FROM bookmark_job WHERE created_date < TIMESTAMP '1995-03-01' GROUP BY 1) GROUP BY 1", "bookmark_job")
+@query(" SELECT user_id, sum(CAST(n BETWEEN 2 AND 5 AS BIGINT)) = count(*) AS may_compare FROM (SELECT user_id, count(DISTINCT job_id) AS n FROM bookmark_job GROUP BY 1) GROUP BY 1", "bookmark_job")
 def comparable_bookmarks(t):
-    chosen = t["bookmark_job"].where("created_date < TIMESTAMP_NTZ '1995-03-01 00:00:00'").groupBy("user_id").agg(F.collect_set("job_id").alias("ids"))
+    chosen = t["bookmark_job"].groupBy("user_id").agg(F.collect_set("job_id").alias("ids"))
     return chosen.select("user_id", mutations.bounded_choice(F.col("ids")).alias("may_compare"))
 
 
@@ -338,7 +356,7 @@ def packs_deleted(t):
     return integrity.deleted({"service_pack": t["service_pack"], "receipt": t["receipt"]}, "service_pack", gone)["receipt"].select("id", "service_pack_id")
 
 
-@query("SELECT 'job_category' AS of_table, true AS refused UNION ALL SELECT 'user', true")
+@query(" SELECT 'job_category' AS of_table, count(*) > 0 AS refused FROM job WHERE category_id IN (SELECT id FROM job_category) UNION ALL SELECT 'user', count(*) > 0 FROM employer_profile WHERE user_id IN (SELECT id FROM users)", "job", "job_category", "employer_profile", "user")
 def deletes_refused(t):
     """Categories are protected by their jobs, and users restricted by their employer's profile."""
     out = []
@@ -354,10 +372,10 @@ def deletes_refused(t):
 # --- changes -------------------------------------------------------------------------------------------------------------
 
 
-@query(f" SELECT id, active AND NOT (id = 70 AND posted_by_id = (SELECT posted_by_id FROM job WHERE id = 70)) AS active FROM job WHERE id < 200 AND {OWNER} = {OWNER}", "job")
+@query(" SELECT id, active AND NOT (id = 70 AND posted_by_id = (SELECT posted_by_id FROM job WHERE id = 70)) AS active FROM job", "job")
 def job_soft_deleted(t):
     owner = t["job"].where("id = 70").select("posted_by_id").first()[0]
-    return mutations.soft_deleted(t["job"], owner, 70).where("id < 200").select("id", "active")
+    return mutations.soft_deleted(t["job"], owner, 70).select("id", "active")
 
 
 @query(" SELECT CASE WHEN status = 'APPROVED' THEN user_id + 1000000 END AS id, company_name, true AS active FROM employer_profile WHERE status = 'APPROVED' AND user_id % 3 = 0", "employer_profile")
@@ -376,6 +394,17 @@ def jobs_updated(t):
     return jobs.join(counted, F.col("id") == F.col("job_id"), "left").select("id", "title", "salary_min", F.coalesce("n", F.lit(0).cast("bigint")).alias("n_tags"))
 
 
+@query(" SELECT id, CASE WHEN id % 10 = 0 THEN 'Renamed' ELSE title END AS title, salary_min, active FROM job WHERE id % 21 <> 0 UNION ALL SELECT id + 1000000000, 'Added', NULL, NULL FROM job WHERE id % 50 = 0", "job")
+def jobs_upserted(t):
+    """Jobs in a table of buckets: a tenth are renamed, others are added, and some deleted, in three versions."""
+    path, key = f"{shared_folder(t.spark)}/jobs-{uuid.uuid4().hex}", F.col("id")
+    upserts.create(t["job"].select("id", "title", "salary_min", "active"), path, buckets=16)
+    upserts.upserted(t.spark, path, t["job"].where("id % 10 = 0").select("id", F.lit("Renamed").alias("title"), F.lit(None).cast("bigint").alias("salary_min")))
+    upserts.upserted(t.spark, path, t["job"].where("id % 50 = 0").select((key + 1_000_000_000).alias("id"), F.lit("Added").alias("title")), insert=True)
+    upserts.deleted(t.spark, path, t["job"].where("id % 21 = 0").select("id"))
+    return upserts.read(t.spark, path)
+
+
 @query(" SELECT user_id, CASE WHEN user_id % 5 = 0 THEN 'Moved' ELSE address END AS address, CASE WHEN user_id % 5 = 0 THEN 'New bio' ELSE bio END AS bio, CASE WHEN user_id % 5 = 0 THEN 'Spark' ELSE (SELECT coalesce(string_agg(name, ',' ORDER BY name), '') FROM (SELECT DISTINCT name FROM candidate_skills JOIN skill ON skill_id = skill.id WHERE candidate_id = user_id)) END AS skills FROM candidate_profile JOIN users ON user_id = users.id", "candidate_profile", "user", "candidate_skills", "skill")
 def profiles_updated(t):
     some = t["candidate_profile"].where("user_id % 5 = 0")
@@ -398,10 +427,10 @@ def own_applications_changed(t):
     return mutations.application_withdrawn(mutations.application_withdrawn(mine, ME, b), ME, c).select("id", "cover_letter")
 
 
-@query("+ chosen AS (SELECT id, min(status) AS status, min(rating) AS rating, min(cover_letter) AS cover_letter FROM application WHERE job_id < 500 GROUP BY 1) SELECT id, CASE WHEN id % 10 = 1 THEN 'REJECTED' ELSE status END AS status, CASE WHEN id % 10 = 1 THEN 5 ELSE rating END AS rating, cover_letter FROM chosen", "application")
+@query("+ chosen AS (SELECT id, min(status) AS status, min(rating) AS rating, min(cover_letter) AS cover_letter FROM application GROUP BY 1) SELECT id, CASE WHEN id % 10 = 1 THEN 'REJECTED' ELSE status END AS status, CASE WHEN id % 10 = 1 THEN 5 ELSE rating END AS rating, cover_letter FROM chosen", "application")
 def applications_reviewed(t):
     """Employers set status, note and rating; the letter isn't theirs."""
-    rows = t["application"].where("job_id < 500").groupBy("id").agg(*(F.min(c).alias(c) for c in ("status", "rating", "cover_letter")))
+    rows = t["application"].groupBy("id").agg(*(F.min(c).alias(c) for c in ("status", "rating", "cover_letter")))
     reviews = rows.where("id % 10 = 1").select("id", F.lit("REJECTED").alias("status"), F.lit(5).alias("rating"), F.lit("not theirs").alias("cover_letter"))
     return mutations.application_reviewed(rows, reviews).select("id", "status", "rating", "cover_letter")
 
@@ -456,6 +485,21 @@ def receipts_after_payments(t):
     return payments.receipts_settled(t["receipt"], payments.replies(_sent(t), t["receipt"], None, F.col("event_id"))).select("id", "status", "is_paid")
 
 
+@query(_SENT + " SELECT event_id, answer AS reply, CASE WHEN valid THEN receipt END AS receipt_id FROM replied", "receipt")
+def replies_by_state(t):
+    """Answers of the stream, whose events come in four parts, each to a run of its own that starts from the checkpoint."""
+    folder = f"{shared_folder(t.spark)}/settlement-{uuid.uuid4().hex}"
+    sent = _sent(t).join(t.raw("events").select("event_id", F.col("ts").cast("timestamp").alias("at")), "event_id").withColumnRenamed("event_id", "number")
+    cuts = [int(c) for c in sent.approxQuantile("number", [0.25, 0.5, 0.75], 0.01)]
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        part = sent if low is None else sent.where(F.col("number") >= low)
+        (part if high is None else part.where(F.col("number") < high)).write.mode("append").parquet(f"{folder}/in")
+        stream = t.spark.readStream.schema(sent.schema).parquet(f"{folder}/in")
+        settlement.settle(settlement.answers(stream, t["receipt"]), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+    found = t.spark.read.schema(settlement.ANSWER).parquet(f"{folder}/out")
+    return found.select(F.col("number").alias("event_id"), "reply", F.when(F.col("reply") != payments.BAD_SIGNATURE, F.col("receipt_id")).alias("receipt_id"))
+
+
 @query(_SENT + " SELECT id, is_featured OR id IN (SELECT related_job_id FROM replied WHERE answer = '00' AND code = '00' AND related_job_id IS NOT NULL AND service_pack_id IS NOT NULL) AS is_featured FROM job", "receipt", "job")
 def jobs_after_payments(t):
     return payments.jobs_featured(t["job"], payments.replies(_sent(t), t["receipt"], None, F.col("event_id"))).select("id", "is_featured")
@@ -477,18 +521,19 @@ def signatures(t):
     return t.raw("customer").select(F.col("c_custkey").alias("id"), money.hmac_hex(F.col("c_name"), "a key of tests", "sha256").alias("signature"))
 
 
-#: Keyed SHA-512 digest of "amount=10000&code=00&note=a+%26%2Ab~&reference=r1", from Python's own library.
-_DIGEST = "e5a53e93d12dce16d65fdceb878ba602ce1c9dc866ccb782b3e2b7e6242f3d48704145e7901075f33501515338ad7436975967da9b802cde257c70e74371aae4"
+_QUERY = "'amount=' || c_custkey * 100 || '&code=00&note=a+%26%2Ab~&reference=' || replace(c_name, '#', '%23')"
 
 
-@query(f"SELECT 'good' AS name, 'amount=10000&code=00&note=a+%26%2Ab~&reference=r1' AS sent, '{_DIGEST}' AS digest, true AS valid UNION ALL SELECT 'changed', 'amount=1&code=00&note=a+%26%2Ab~&reference=r1', NULL, false UNION ALL SELECT 'unsigned', 'amount=10000&code=00&note=a+%26%2Ab~&reference=r1', '{_DIGEST}', false")
+@query(f"SELECT c_custkey AS id, {_QUERY} AS sent, c_custkey % 3 = 0 AS valid, CASE WHEN c_custkey % 3 <> 1 THEN sha256({_blob(0x5C)} || unhex(sha256({_blob(0x36)} || ({_QUERY})::BLOB))) END AS given FROM customer")
 def signed_parameters(t):
-    good = {"reference": "r1", "code": "00", "amount": "10000", "note": "a &*b~"}
-    rows = [("good", good, _DIGEST), ("changed", good | {"amount": "1"}, _DIGEST), ("unsigned", good, None)]
-    df = t.spark.createDataFrame(rows, "name string, parameters map<string,string>, given string")
-    sent = money.query_string(F.col("parameters"))
-    signed = F.when(F.col("given").isNull(), F.col("parameters")).otherwise(F.map_concat("parameters", F.create_map(F.lit("secure_hash"), "given")))
-    return df.select("name", sent.alias("sent"), F.when(F.col("name") != "changed", money.hmac_hex(sent, "a key of tests")).alias("digest"), money.signature_valid(signed, "a key of tests").alias("valid"))
+    """Parameters of each customer: a third are signed, a third unsigned, and a third changed after they were signed."""
+    key, text_of = F.col("c_custkey"), lambda c: c.cast("string")
+    names = [F.lit("reference"), F.col("c_name"), F.lit("code"), F.lit("00"), F.lit("note"), F.lit("a &*b~"), F.lit("amount")]
+    good = F.create_map(*names, text_of(key * 100))
+    df = t.raw("customer").select("c_custkey", good.alias("good"), F.when(key % 3 == 2, F.create_map(*names, text_of(key * 100 + 1))).otherwise(good).alias("parameters"))
+    given = F.when(key % 3 != 1, money.hmac_hex(money.query_string(F.col("good")), "a key of tests", "sha256"))
+    signed = F.when(key % 3 == 1, F.col("parameters")).otherwise(F.map_concat("parameters", F.create_map(F.lit("secure_hash"), given)))
+    return df.select(key.alias("id"), money.query_string(F.col("good")).alias("sent"), money.signature_valid(signed, "a key of tests", digest="sha256").alias("valid"), given.alias("given"))
 
 
 # --- functions of a row ------------------------------------------------------------------------------------------------
