@@ -21,7 +21,6 @@ import hashlib
 import heapq
 from collections.abc import Callable, Sequence
 from functools import cache
-from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -38,7 +37,7 @@ LEAF_CHARS = 16_384
 #: Characters behind a match that decide on it.
 LOOKAHEAD = 2
 #: Bytes of a pretoken that is merged directly; longer ones are halved.
-LEAF_BYTES = 6
+LEAF_BYTES = 24
 #: Ids of a leaf of decoding.
 LEAF_IDS = 8_192
 #: Bytes, by estimate, of the encodings that a Python worker remembers in all.
@@ -53,19 +52,30 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-class Remembered(dict):
-    """A dictionary that takes up to most bytes, by estimate, and starts anew when it is full."""
+class Remembered:
+    """Two dictionaries, of which the younger takes up to half of most bytes, by estimate. When it is full it becomes the
+    older one, whose entries go unless they have been asked for meanwhile."""
 
     def __init__(self, most: int):
-        self.spent, self.most = 0, most
+        self.young: dict = {}
+        self.old: dict = {}
+        self.spent, self.most = 0, most // 2
+
+    def again(self, key, size: int):
+        """An entry of either, moved to the younger, or None."""
+        if (value := self.young.get(key)) is None and (value := self.old.get(key)) is not None:
+            self.put(key, value, size)
+        return value
 
     def put(self, key, value, size: int) -> None:
         if self.spent > self.most:
-            self.clear()
-            self.spent = 0
-        self[key] = value
+            self.old, self.young, self.spent = self.young, {}, 0
+        self.young[key] = value
         self.spent += size
 
+    def __len__(self) -> int:
+        return len(self.young) + len(self.old)
+
 
 class Codec:
     """Encodes and decodes texts with one vocabulary."""
@@ -74,8 +84,8 @@ class Codec:
         self.ranks, self.pattern = ranks, regex.compile(pattern)
         self.tokens = {rank: token for token, rank in ranks.items()}
         self.leaf_chars, self.leaf_bytes, self.leaf_ids = leaf_chars, leaf_bytes, leaf_ids
-        # Encodings of pretokens and of leaves, and whether pairs of tokens are stable.
-        self.known, self.leaves, self.pairs = (Remembered(cache_bytes * share // 8) for share in (6, 1, 1))
+        # Encodings of pretokens, four bytes an id, and whether pairs of tokens are stable.
+        self.known, self.pairs = Remembered(cache_bytes * 7 // 8), Remembered(cache_bytes // 8)
 
     # --- bytes of one pretoken -------------------------------------------------------------------------------------
 
@@ -124,9 +134,10 @@ class Codec:
 
     def stable(self, left: int, right: int) -> bool:
         """True if these neighbours stay as they are when encoded alone."""
-        if (known := self.pairs.get((left, right))) is None:
+        pair = left, right
+        if (known := self.pairs.again(pair, 200)) is None:
             known = self.merged(self.tokens[left] + self.tokens[right]) == [left, right]
-            self.pairs.put((left, right), known, 200)
+            self.pairs.put(pair, known, 200)
         return known
 
     def join(self, left: list[int], right: list[int]) -> list[int]:
@@ -135,38 +146,35 @@ class Codec:
             return left + right
         i, j = 1, 1
         while True:
-            window = self.leaf(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
+            window = self.merged(b"".join(map(self.tokens.__getitem__, left[-i:] + right[:j])))
             ok_left = i >= len(left) or self.stable(left[-i - 1], window[0])
             ok_right = j >= len(right) or self.stable(window[-1], right[j])
             if ok_left and ok_right:
                 return left[: len(left) - min(i, len(left))] + window + right[j:]
             i, j = (i if ok_left else 2 * i), (j if ok_right else 2 * j)
 
-    def leaf(self, data: bytes) -> list[int]:
-        if (ids := self.leaves.get(data)) is None:
-            ids = self.merged(data)
-            if len(data) <= 24:
-                self.leaves.put(data, ids, 260)
-        return ids
-
     def tree(self, data: bytes) -> list[int]:
         if len(data) <= self.leaf_bytes:
-            return self.leaf(data)
+            return self.merged(data)
         half = len(data) // 2
         return self.join(self.tree(data[:half]), self.tree(data[half:]))
 
-    def piece(self, text: str) -> tuple[int, ...]:
-        """The ids of one pretoken; one that is a token as a whole is that token."""
-        if (ids := self.known.get(text)) is None:
+    def piece(self, text: str) -> bytes:
+        """The ids of one pretoken, four bytes each; one that is a token as a whole is that token."""
+        size = 180 + 2 * len(text)
+        if (ids := self.known.again(text, size)) is None:
             data = text.encode()
-            ids = (self.ranks[data],) if data in self.ranks else tuple(self.tree(data))
+            if data in self.ranks:
+                ids = self.ranks[data].to_bytes(4, "little")
+            else:
+                ids = np.array(self.tree(data), "<u4").tobytes() if len(data) > 64 else b"".join([i.to_bytes(4, "little") for i in self.tree(data)])
             if len(text) <= 256:
-                self.known.put(text, ids, 200 + len(data) + 8 * len(ids))
+                self.known.put(text, ids, size)
         return ids
 
-    def pieces(self, text: str) -> list[tuple[int, ...]]:
+    def pieces(self, text: str) -> list[bytes]:
         """The ids of each of the pattern's matches."""
-        known, piece = self.known.get, self.piece
+        known, piece = self.known.young.get, self.piece
         return [known(match) or piece(match) for match in self.pattern.findall(text)]
 
     # --- elements: the ids of a text, and how many of them each of its pretokens has ----------------------------------
@@ -221,14 +229,10 @@ class Codec:
             parts = [self.join_elements(parts[i], parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
         return parts[0]
 
-    def encode(self, text: str) -> list[int] | np.ndarray:
+    def encode(self, text: str) -> np.ndarray:
         if len(text) > self.leaf_chars:
             return self.element(text)[0]
-        out: list[int] = []
-        known, piece = self.known.get, self.piece
-        for match in self.pattern.findall(text):
-            out += known(match) or piece(match)
-        return out
+        return np.frombuffer(b"".join(self.pieces(text)), "<u4")
 
     def decode(self, ids: Sequence[int] | np.ndarray) -> bytes:
         if len(ids) > self.leaf_ids:
@@ -237,8 +241,8 @@ class Codec:
         return b"".join(map(self.tokens.__getitem__, ids.tolist() if isinstance(ids, np.ndarray) else ids))
 
 
-def _element(pieces: list[tuple[int, ...]]) -> tuple[np.ndarray, np.ndarray]:
-    return np.array(list(chain.from_iterable(pieces)), "<u4"), np.array(list(map(len, pieces)), "<u4")
+def _element(pieces: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    return np.frombuffer(b"".join(pieces), "<u4"), np.array(list(map(len, pieces)), "<u4") // 4
 
 
 @cache
@@ -257,8 +261,8 @@ OUTPUTS = {"ids": "binary", "decoded": "binary", "n_tokens": "long", "ids_sha256
 DIGESTS = ("n_tokens", "ids_sha256", "decoded_sha256")
 
 
-def outputs_of(c: Codec, ids: list[int] | np.ndarray, wanted: tuple[str, ...]) -> tuple:
-    raw = np.asarray(ids, "<u4").tobytes()
+def outputs_of(c: Codec, ids: np.ndarray, wanted: tuple[str, ...]) -> tuple:
+    raw = ids.tobytes()
     decoded = c.decode(ids) if {"decoded", "decoded_sha256"} & set(wanted) else b""
     make = {"ids": lambda: raw, "decoded": lambda: decoded, "n_tokens": lambda: len(ids), "ids_sha256": lambda: hashlib.sha256(raw).hexdigest(), "decoded_sha256": lambda: hashlib.sha256(decoded).hexdigest()}
     return tuple(make[name]() for name in wanted)
