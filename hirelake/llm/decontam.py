@@ -22,6 +22,8 @@ WINDOW = 13
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Terms that a pass over the corpus looks for, at most: they are broadcast. More take further passes.
 MAX_BROADCAST = 200_000
+#: Passes over the corpus; terms that would need more are met by a shuffle.
+MOST_PASSES = 3
 #: The term under which the index has the length of each document; no word has a separator.
 LENGTH = "\n"
 
@@ -37,55 +39,77 @@ def count_words(words: Column) -> Column:
 
 
 def query_places(queries: DataFrame, window: int) -> DataFrame:
-    """query (id), word, place (from 0), words (of the whole query), size (of its windows) for each word of queries."""
+    """query (id), query_digest, n (words of the query), size (of its windows), word and place (from 0), and the words before
+    and behind, for each word of queries. No row holds more of a query than is about its place."""
     words = F.filter(split_words(F.col("text")), lambda w: w != "")
     rows = queries.select(F.col("item_id").alias("query"), words.alias("words"), F.xxhash64("item_id", "text").alias("query_digest")).distinct()
-    return rows.withColumn("size", F.least(F.size("words"), F.lit(window))).select("*", F.posexplode("words").alias("place", "word"))
+    rows = rows.withColumns({"n": F.size("words"), "size": F.least(F.size("words"), F.lit(window))}).select("*", F.posexplode("words").alias("place", "word"))
+    return rows.select("query", "query_digest", "n", "size", "place", "word", *around(F.col("words"), F.col("place"), window))
 
 
-def occurrences(documents: DataFrame, terms: DataFrame, *columns: str) -> DataFrame:
-    """The places (at, from 0) of the terms (column word) in documents (columns, words), and of LENGTH at -1."""
-    n = terms.count()
-    parts = max(1, -(-2 * n // MAX_BROADCAST)) if n > MAX_BROADCAST else 1
+def passes_of(n: int) -> int:
+    return max(1, -(-2 * n // MAX_BROADCAST)) if n > MAX_BROADCAST else 1
+
+
+def occurrences(documents: DataFrame, terms: DataFrame, *columns: str, window: int = WINDOW) -> DataFrame:
+    """The places (at, from 0) of the terms (column word) in documents (columns, words), and of LENGTH at -1. A few passes
+    over documents with broadcast terms; if they would be more, one with a shuffle by term."""
+    parts = passes_of(terms.count())
     rows = documents.select(*columns, "words", F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("after", "word"))
+    if parts > MOST_PASSES:
+        # Places and contexts go through the shuffle, not whole texts.
+        n, context = count_words(F.col("words")), around(F.col("words"), F.col("after") - 1, window)
+        return rows.select(*columns, "word", (F.col("after") - 1).alias("at"), n.alias("n_words"), *context).join(terms, "word")
     passes = [terms if parts == 1 else terms.where(F.pmod(F.xxhash64("word"), F.lit(parts)) == k) for k in range(parts)]
     found = reduce(DataFrame.unionByName, (rows.join(F.broadcast(part), "word") for part in passes))
     return found.withColumn("at", F.col("after") - 1).drop("after")
 
 
+def counted(documents: DataFrame, terms: DataFrame) -> DataFrame:
+    """How often the terms (word) are in documents (words): word, n."""
+    if passes_of(terms.count()) > MOST_PASSES:
+        return documents.select(F.explode("words").alias("word")).groupBy("word").agg(F.count("*").alias("n")).join(terms, "word", "left_semi")
+    return occurrences(documents, terms).groupBy("word").agg(F.count("*").alias("n"))
+
+
 def rarest_places(places: DataFrame, counts: DataFrame, window: int) -> DataFrame:
-    """Of each window the places of its words from the rarest in the corpus on: query, query_digest, words, size, ranked (of
-    words that the corpus has: n, word, place)."""
+    """Of each window the places of its words from the rarest in the corpus on: query, query_digest, size, ranked (of words
+    that the corpus has: n, word, place)."""
     by_query = Window.partitionBy("query", "query_digest").orderBy("place").rowsBetween(0, window - 1)
+    places = places.select("query", "query_digest", F.col("n").alias("n_words"), "size", "place", "word")
     rated = places.join(counts, "word", "left").withColumn("ranked", F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "word", "place")).over(by_query)))
     # A window starts wherever enough words follow.
-    whole = rated.where(F.col("place") + F.col("size") <= F.size("words"))
-    return whole.select("query", "query_digest", "words", "size", F.filter("ranked", lambda x: x["n"] > 0).alias("ranked"))
+    whole = rated.where(F.col("place") + F.col("size") <= F.col("n_words"))
+    return whole.select("query", "query_digest", "size", F.filter("ranked", lambda x: x["n"] > 0).alias("ranked"))
 
 
 def around(words: Column, place: Column, window: int) -> tuple[Column, Column]:
     """Up to window - 1 words before a place, the nearest first, and behind it."""
     low = F.greatest(place - (window - 1), F.lit(0))
-    return F.reverse(F.slice(words, low + 1, place - low)).alias("before"), F.slice(words, place + 2, window - 1).alias("behind")
+    return F.reverse(F.slice(words, low + 1, F.greatest(place - low, F.lit(0)))).alias("before"), F.slice(words, place + 2, window - 1).alias("behind")
 
 
-def sought_pairs(windows: DataFrame, window: int, pairs: tuple[tuple[int, int], ...]) -> DataFrame:
+def sought_pairs(windows: DataFrame, places: DataFrame, pairs: tuple[tuple[int, int], ...]) -> DataFrame:
     """The places by which windows are sought, each once: query, size, word, step to the place of another word, other, and
     the query's words before and behind. pairs has ranks of words; in a window of one word the other is the word itself."""
     rank = lambda k: F.col("ranked")[F.least(F.lit(k), F.size("ranked") - 1)]
-    chosen = [windows.where(F.size("ranked") > 0).select("query", "query_digest", "words", "size", rank(a).alias("one"), rank(b).alias("two")) for a, b in pairs]
-    chosen = reduce(DataFrame.unionByName, chosen).select("query", "query_digest", "words", "size", "one.word", "one.place", (F.col("two.place") - F.col("one.place")).alias("step"), F.col("two.word").alias("other")).distinct()
-    return chosen.select("query", "size", "word", "step", "other", *around(F.col("words"), F.col("place"), window))
+    chosen = [windows.where(F.size("ranked") > 0).select("query", "query_digest", rank(a).alias("one"), rank(b).alias("two")) for a, b in pairs]
+    step = (F.col("two.place") - F.col("one.place")).alias("step")
+    chosen = reduce(DataFrame.unionByName, chosen).select(F.col("query").alias("of_query"), F.col("query_digest").alias("of_digest"), F.col("one.place").alias("of_place"), step, F.col("two.word").alias("other")).distinct()
+    here = F.col("query").eqNullSafe(F.col("of_query")) & (F.col("query_digest") == F.col("of_digest")) & (F.col("place") == F.col("of_place"))
+    return places.join(chosen, here).select("query", "size", "word", "step", "other", "before", "behind")
 
 
 def index(documents: DataFrame, terms: DataFrame, window: int) -> DataFrame:
     """The stored index of documents (key, words): word, key, at, doc_before and doc_behind for each place of a term; and
     with the word LENGTH, at being the number of words, a row for each document."""
     length = terms.sparkSession.createDataFrame([(LENGTH,)], "word string")
-    found = occurrences(documents, terms.unionByName(length), "key")
+    found = occurrences(documents, terms.unionByName(length), "key", window=window)
     is_length = F.col("word") == LENGTH
-    context = (F.when(~is_length, c).alias(f"doc_{n}") for c, n in zip(around(F.col("words"), F.col("at"), window), ("before", "behind"), strict=True))
-    return checkpointed(found.select("word", "key", F.when(is_length, count_words(F.col("words"))).otherwise(F.col("at")).cast("long").alias("at"), *context))
+    if "words" in found.columns:
+        found = found.select("word", "key", "at", count_words(F.col("words")).alias("n_words"), *around(F.col("words"), F.col("at"), window))
+    context = (F.when(~is_length, F.col(n)).alias(f"doc_{n}") for n in ("before", "behind"))
+    return checkpointed(found.select("word", "key", F.when(is_length, F.col("n_words")).otherwise(F.col("at")).cast("long").alias("at"), *context))
 
 
 def common_prefix(a: Column, b: Column) -> Column:
@@ -128,11 +152,11 @@ def find_phrases(documents: DataFrame, queries: DataFrame, window: int = WINDOW,
     With near, also proximity matches, exact being False, of windows that any two of their three rarest terms in the
     corpus lead to, so that one of these may be another word; see near_matches.
     """
-    places = query_places(queries, window)
-    counts = checkpointed(occurrences(documents, places.select("word").distinct()).groupBy("word").agg(F.count("*").alias("n")))
-    windows = checkpointed(rarest_places(places, counts, window))  # as large as the queries
-    sought = checkpointed(sought_pairs(windows.where(F.size("ranked") == F.col("size")), window, ((0, 1),)))
-    loose = sought_pairs(windows, window, ((0, 1), (0, 2), (1, 2))) if near is not None else None
+    places = checkpointed(query_places(queries, window))  # in proportion to the queries, as is what follows
+    counts = checkpointed(counted(documents, places.select("word").distinct()))
+    windows = checkpointed(rarest_places(places, counts, window))
+    sought = checkpointed(sought_pairs(windows.where(F.size("ranked") == F.col("size")), places, ((0, 1),)))
+    loose = checkpointed(sought_pairs(windows, places, ((0, 1), (0, 2), (1, 2)))) if near is not None else None
     terms = sought.select("word") if loose is None else sought.select("word").unionByName(loose.select("word"))
     stored = index(documents, checkpointed(terms.distinct()), window)
     postings = stored.where(F.col("word") != LENGTH)
@@ -148,9 +172,10 @@ def covered(ranges: Column) -> Column:
     return F.aggregate(F.array_sort(ranges), start, lambda s, r: F.struct((s["n"] + F.greatest(F.lit(0), r["high"] - F.greatest(s["end"], r["low"] - 1))).alias("n"), F.greatest(s["end"], r["high"]).alias("end")))["n"]
 
 
-def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW, near: float | None = None) -> DataFrame:
     """Returns doc_id, digest, n_words, n_hit, n_items, items (ids as text, sorted), items_sha256, contaminated: a row
-    for each row of documents.
+    for each row of documents. With near, also n_near, the words in ranges that match exactly or by proximity, and near_items,
+    the items of these ranges; see find_phrases.
 
     A null or empty text has no words, hits or items. A very long text is searched as a whole; its words are held in one
     row. A null item_id is hit like others but not named. Repeated rows of documents give repeated results; repeated items
@@ -158,13 +183,20 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     documents give no rows. Other columns are ignored.
     """
     rows = documents.select(F.struct("doc_id", F.xxhash64("doc_id", "text").alias("digest")).alias("key"), split_words(F.col("text")).alias("words"))
-    found, lengths = find_phrases(rows, benchmark, window)
-    hits = found.groupBy("key").agg(covered(F.collect_set(F.struct("low", "high"))).alias("n_hit"), F.sort_array(F.collect_set(F.col("query").cast("string"))).alias("items"))
-    hits = hits.select(F.col("key.doc_id").alias("hit_id"), F.col("key.digest").alias("hit_digest"), "n_hit", "items")
+    found, lengths = find_phrases(rows, benchmark, window, near)
+
+    def in_ranges(only: Column, words: str, items: str) -> list[Column]:
+        ranges, named = F.when(only, F.struct("low", "high")), F.when(only, F.col("query").cast("string"))
+        return [covered(F.collect_set(ranges)).alias(words), F.sort_array(F.collect_set(named)).alias(items)]
+
+    wanted = [*in_ranges(F.col("exact"), "n_hit", "items"), *(in_ranges(F.lit(True), "n_near", "near_items") if near is not None else [])]
+    hits = found.groupBy("key").agg(*wanted)
+    hits = hits.withColumnsRenamed({"key": "hit"}).select(F.col("hit.doc_id").alias("hit_id"), F.col("hit.digest").alias("hit_digest"), *hits.columns[1:])
     out = lengths.select("key.doc_id", "key.digest", "n_words")
     out = out.join(hits, F.col("doc_id").eqNullSafe(F.col("hit_id")) & (F.col("digest") == F.col("hit_digest")), "left")
     n_hit, items = F.coalesce("n_hit", F.lit(0).cast("long")), F.coalesce("items", F.array().cast("array<string>"))
-    return out.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"))
+    more = [] if near is None else [F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), F.coalesce("near_items", F.array().cast("array<string>")).alias("near_items")]
+    return out.select("doc_id", "digest", "n_words", n_hit.alias("n_hit"), F.size(items).cast("long").alias("n_items"), items.alias("items"), F.sha2(F.array_join(items, ","), 256).alias("items_sha256"), ((n_hit > 0) & (20 * n_hit >= F.col("n_words"))).alias("contaminated"), *more)
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -172,6 +204,11 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("digest", "items")
 
 
+def decontamination_near(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its exact hits and its words in ranges that share 0.8 of the words about a rare one."""
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"), near=0.8).drop("digest", "items")
+
+
 def keep_clean(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     """documents without the contaminated ones. The ids of these meet the texts by a shuffle, without sorting texts."""
     id_, digest = free_name(documents, "bad_id"), free_name(documents, "bad_digest")

@@ -142,6 +142,17 @@ def repeated_lines(documents: DataFrame, min_words: int = MIN_WORDS) -> DataFram
     return checkpointed(places.groupBy("doc_id", "digest").agg(F.sort_array(F.collect_set("line")).alias("lines")))
 
 
+def without(items: Column, places: Column) -> Column:
+    """An array without the items at some places, which are sorted: the slices between them, so that its work is in
+    proportion to the array, whatever the number of places."""
+
+    def gaps(x: Column) -> Column:
+        before, after = F.concat(F.array(F.lit(-1)), places), F.concat(places, F.array(F.size(x)))
+        return F.flatten(F.zip_with(before, after, lambda a, b: F.slice(x, a + 2, b - a - 1)))
+
+    return F.transform(F.array(items), gaps)[0]  # a lambda's argument is made once, however often it is used
+
+
 COUNTS = ("n_lines", "n_removed")
 
 
@@ -155,7 +166,8 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: tuple[
 
     Returns the columns of documents, with text replaced, and n_lines and n_removed (long) or other names from counts,
     for each row. A null text stays null and has no line; an empty text stays empty. Rows alike in id and text keep the
-    same lines. No rows give none. Other columns are carried along; those named like a count are replaced.
+    same lines. No rows give none. Other columns are carried along; those named like a count are replaced. A very long text
+    is split in one task, whose work and memory are in proportion to its lines.
     """
     gone = repeated_lines(documents, min_words)
     columns = [c for c in documents.columns if c not in counts]
@@ -164,9 +176,8 @@ def dedup_lines(documents: DataFrame, min_words: int = MIN_WORDS, counts: tuple[
     gone = gone.select(F.col("doc_id").alias(id_), F.col("digest").alias(digest), F.col("lines").alias(lines))
     rows = rows.join(gone.hint("shuffle_hash"), F.col("doc_id").eqNullSafe(F.col(id_)) & (F.xxhash64("doc_id", "text") == F.col(digest)), "left")
     content, unchanged = F.split("text", "\n"), F.col(lines).isNull()
-    kept = F.filter(content, lambda x, i: ~F.array_contains(lines, i))
     out = rows.withColumns({
-        new: F.when(unchanged, F.col("text")).otherwise(F.array_join(kept, "\n")),
+        new: F.when(unchanged, F.col("text")).otherwise(F.array_join(without(content, F.col(lines)), "\n")),
         counts[0]: F.when(F.col("text").isNull(), 0).otherwise(F.size(content)).cast("long"),
         counts[1]: F.when(unchanged, 0).otherwise(F.size(lines)).cast("long"),
     })

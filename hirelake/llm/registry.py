@@ -8,6 +8,7 @@ QUERIES = {
     "op3_line_dedup": line_dedup.op3_line_dedup,
     "op4_simhash": simhash.op4_simhash,
     "op5_decontamination": decontam.op5_decontamination,
+    "decontamination_near": decontam.decontamination_near,
     "op6_toxicity": toxicity.op6_toxicity,
     "op7_sharding": sharding.op7_sharding,
     "op8_bpe": bpe.op8_bpe,

@@ -2,7 +2,9 @@
 
 import hashlib
 import re
+import time
 
+import pytest
 from pyspark.sql import functions as F
 
 from hirelake.llm import decontam, line_dedup
@@ -125,3 +127,38 @@ def test_empty_sides(spark):
     some = spark.createDataFrame([(1, "a b")], "doc_id long, text string")
     assert decontam.contamination(docs, items).collect() == []
     assert decontam.contamination(some, items).select("n_words", "n_hit", "contaminated").collect() == [(2, 0, False)]
+
+
+def test_documents_of_many_lines_are_linear(spark):
+    """Half of 200,000 lines repeat an earlier one."""
+    text = "\n".join(f"line {k % 100_000}" for k in range(200_000))
+    began = time.perf_counter()
+    row = line_dedup.dedup_lines(spark.createDataFrame([(1, text)], "doc_id long, text string")).first()
+    assert (row["n_lines"], row["n_removed"]) == (200_000, 100_000) and row["text"] == "\n".join(f"line {k}" for k in range(100_000))
+    assert time.perf_counter() - began < 60
+
+
+@pytest.mark.parametrize("places", [[], [0], [2], [0, 1, 2], [1], [0, 2]])
+def test_arrays_without_places(spark, places):
+    df = spark.createDataFrame([(list("abc"), places)], "x array<string>, at array<int>")
+    assert df.select(line_dedup.without(F.col("x"), F.col("at"))).first()[0] == [c for k, c in enumerate("abc") if k not in places]
+
+
+def test_items_of_very_many_words(spark):
+    """No row holds an item's words, so what is stored grows with them and not with their square."""
+    words = [f"w{k * k % 9973}" for k in range(100_000)]
+    items = spark.createDataFrame([(1, " ".join(words)), (2, "short item")], "item_id long, text string")
+    docs = spark.createDataFrame([(1, "x " + " ".join(words[500:530]) + " y"), (2, " ".join(words)), (3, "a short item"), (4, "none")], "doc_id long, text string")
+    out = {r["doc_id"]: (r["n_words"], r["n_hit"], r["items"]) for r in decontam.contamination(docs, items).collect()}
+    assert out == {1: (32, 30, ["1"]), 2: (100_000, 100_000, ["1"]), 3: (3, 2, ["2"]), 4: (1, 0, [])}
+
+
+def test_many_terms_are_met_by_a_shuffle(spark, monkeypatch):
+    rows = corpus()
+    df = frame(spark, rows)
+    items = df.select(F.col("doc_id").alias("item_id"), F.substring("text", 20, 400).alias("text")).where("item_id % 5 = 0")
+    columns = ("doc_id", "n_words", "n_hit", "items_sha256", "n_near", "near_items")
+    plain = decontam.contamination(df, items, near=0.8).select(*columns).collect()
+    monkeypatch.setattr(decontam, "MAX_BROADCAST", 5)
+    assert sorted(map(str, decontam.contamination(df, items, near=0.8).select(*columns).collect())) == sorted(map(str, plain))
+    assert any(r["n_near"] > r["n_hit"] for r in plain) and all(r["n_near"] >= r["n_hit"] for r in plain)

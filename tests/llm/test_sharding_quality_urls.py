@@ -129,6 +129,35 @@ def test_rules_are_ordered_by_rejections_for_their_cost():
     assert order[0] == "often" and order.index("half") < order.index("early")
 
 
+def test_shared_parts_are_paid_by_the_rule_that_runs_first():
+    """Two rules ask for a slow part, of which one rejects more: the other is nearly free behind it, and comes second, before
+    one that costs less than the part does."""
+    import time
+    from functools import cached_property
+
+    class Slow(quality.Facts):
+        @cached_property
+        def lines(self):
+            time.sleep(0.002)
+            return self.text.split("\n")
+
+    texts = [" ".join(f"w{k}x{i}" for i in range(30)) for k in range(40)]
+    number = lambda f: int(f.text.split("x")[0][1:])
+
+    def cheap(f):
+        time.sleep(0.0005)
+        return number(f) % 10 == 9
+
+    rules = [("half", lambda f: len(f.lines) > 0 and number(f) % 2 == 0), ("few", lambda f: len(f.lines) > 0 and number(f) % 10 == 1), ("cheap", cheap)]
+    before, quality.Facts = quality.Facts, Slow
+    try:
+        order = [n for n, _ in quality.order_rules(texts, rules)]
+        alone = [n for n, _ in quality.order_rules(texts, rules[1:])]
+    finally:
+        quality.Facts = before
+    assert order == ["half", "few", "cheap"] and alone == ["cheap", "few"]
+
+
 def test_quality_no_rows(spark):
     assert quality.judge_quality(spark.createDataFrame([], "doc_id long, text string")).collect() == []
 
