@@ -6,6 +6,8 @@ categories, and events payment notifications.
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -13,7 +15,8 @@ from pyspark.sql import functions as F
 
 from hirelake.functions import dates, money, text
 from hirelake.operators import integrity, mutations, relations, search
-from hirelake.plans import compare, payments, reports
+from hirelake.plans import compare, payments, reports, rollup
+from hirelake.sources.storage import shared_folder
 
 YEAR = 1998
 TODAY = "1999-06-01"
@@ -106,6 +109,16 @@ def report_by_year(t):
     return reports.employer_report(t["application"], t["job"], "year", YEAR)
 
 
+@query(" UNION ALL ".join(f"SELECT '{p}' AS period, * FROM ({ORACLES[f'report_by_{p}']})" for p in ("year", "quarter", "month")))
+def reports_from_rollup(t):
+    """All three reports from stored counts: those of all but the last year of applications, and then of the rest as a day's."""
+    path = f"{shared_folder(t['job'].sparkSession)}/rollup-{uuid.uuid4().hex}"
+    at, cut = F.col("created_date"), F.lit("1998-01-01").cast("timestamp_ntz")
+    for day, some in ((dt.date(1998, 1, 1), at < cut), (dt.date(1998, 1, 2), at >= cut)):
+        rollup.store_day(path, day, t["application"].where(some), t["job_full"])
+    return rollup.reports(rollup.stored(t["job"].sparkSession, path), t["job"], YEAR)
+
+
 @query("WITH {JOBS} SELECT count(*) FILTER (WHERE employment_type = 'REMOTE') AS remote_count, count(*) FILTER (WHERE employment_type = 'FULL_TIME') AS full_time_count, count(*) FILTER (WHERE employment_type = 'PART_TIME') AS part_time_count FROM jobs WHERE active AND deadline >= DATE '1999-06-01'")
 def job_type_counts(t):
     return reports.type_counts(search.public(t["job"], F.lit(TODAY).cast("date")))

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import dates, money, text
-from hirelake.operators import integrity, mutations, ranks, relations, search, trigrams
+from hirelake.operators import bitmaps, integrity, mutations, ranks, relations, search, trigrams
 from hirelake.plans import compare, payments, profiles
 from hirelake.sources import generator, tables, upserts
 from hirelake.sources.storage import shared_folder
@@ -604,8 +604,18 @@ def rows_looked_up(t):
     return reduce(DataFrame.unionByName, (df.select(F.lit(how).alias("how"), "id") for how, df in found.items()))
 
 
-@query("SELECT of_table, n::BIGINT AS n FROM (VALUES ('user', 30), ('employer_profile', 10), ('candidate_profile', 20), ('job', 50), ('job_tags', 100), ('location', 3), ('job_category', 3), ('tag', 4)) v(of_table, n)")
+@query("SELECT 'user' AS of_table, (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) AS n UNION ALL SELECT 'employer_profile', (SELECT count(*) FROM supplier) UNION ALL SELECT 'candidate_profile', (SELECT count(*) FROM customer) UNION ALL SELECT 'job', (SELECT count(*) FROM orders) UNION ALL SELECT 'job_tags', (SELECT 2 * count(*) FROM orders) UNION ALL SELECT 'applied twice', 0 UNION ALL SELECT 'candidates with three to five', (SELECT count(*) FROM customer)")
 def generated_rows(t):
-    """A seeded set of all tables, built anew."""
-    made = generator.generate(t.spark, 5)
-    return reduce(DataFrame.unionByName, (made[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("of_table"), "n") for n in ("user", "employer_profile", "candidate_profile", "job", "job_tags", "location", "job_category", "tag")))
+    """A seeded set of all tables of the size of the driver's: customers apply to orders of suppliers, to none of them twice."""
+    made = generator.generate(t.spark, 5, *(t.raw(n).count() for n in ("supplier", "customer", "orders")))
+    by_candidate = made["application"].groupBy("candidate_id").agg(F.count("*").alias("n"), F.count_distinct("job_id").alias("different"))
+    counted = made | {"applied twice": by_candidate.where("different < n"), "candidates with three to five": by_candidate.where("n BETWEEN 3 AND 5")}
+    return reduce(DataFrame.unionByName, (counted[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("of_table"), "n") for n in ("user", "employer_profile", "candidate_profile", "job", "job_tags", "applied twice", "candidates with three to five")))
+
+
+@query(" SELECT id AS customer FROM users WHERE username IN (SELECT 'Customer#' || lpad(CAST(user_id * 7 AS VARCHAR), 9, '0') FROM events)", "user")
+def users_maybe_known(t):
+    """Users that are among the names of events, the users filtered by a bitmap of these names before they are shuffled."""
+    names = t.raw("events").select(F.concat(F.lit("Customer#"), F.lpad((F.col("user_id") * 7).cast("string"), 9, "0")).alias("name"))
+    near = bitmaps.maybe_among(t["user"], "username", bitmaps.bitmaps(names, "name"))
+    return near.join(names.hint("shuffle_hash"), F.col("username") == F.col("name"), "left_semi").select(F.col("id").alias("customer"))

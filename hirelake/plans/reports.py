@@ -64,10 +64,17 @@ def employer_report(applications: DataFrame, jobs: DataFrame, period: str, year:
         start = start | in_year(F.col("created_date"), y)
     by_job = applications.where(start).groupBy("job_id", bucket(F.col("created_date"), period).alias("bucket")).agg(F.count("*").alias("n"))
     owned = by_job.join(jobs.select(F.col("id").alias("job_id"), "posted_by_id"), "job_id").groupBy("posted_by_id", "bucket").agg(F.sum("n").alias("applications"))
-    low = first if period == "year" else 1
-    spine = jobs.groupBy("posted_by_id").agg(F.sum("views").alias("views")).withColumn("bucket", F.explode(F.sequence(F.lit(low), F.lit(low + BUCKETS[period] - 1))))
-    out = spine.join(owned, ["posted_by_id", "bucket"], "left").withColumn("applications", F.coalesce("applications", F.lit(0).cast("bigint")))
-    return out.select("posted_by_id", F.col("bucket").cast("bigint").alias("bucket"), period_label(period, F.col("bucket")).alias("label"), "applications", efficiency(F.col("applications"), F.col("views")).alias("efficiency"))
+    return filled(owned.withColumn("period", F.lit(period)), jobs, {period: (first if period == "year" else 1, BUCKETS[period])}).drop("period")
+
+
+def filled(counted: DataFrame, jobs: DataFrame, periods: dict[str, tuple[int, int]]) -> DataFrame:
+    """Counts (posted_by_id, period, bucket, applications) with a row for every owner of jobs and every bucket: periods says
+    where each period begins and how many buckets it has. Labels and efficiency are added."""
+    spans = F.array(*(F.struct(F.lit(p).alias("period"), F.lit(low + k).alias("bucket")) for p, (low, n) in periods.items() for k in range(n)))
+    spine = jobs.groupBy("posted_by_id").agg(F.sum("views").alias("views")).withColumn("span", F.explode(spans)).select("posted_by_id", "views", "span.*")
+    out = spine.join(counted, ["posted_by_id", "period", "bucket"], "left").withColumn("applications", F.coalesce("applications", F.lit(0).cast("bigint")))
+    label = F.coalesce(*(F.when(F.col("period") == p, period_label(p, F.col("bucket"))) for p in periods))
+    return out.select("period", "posted_by_id", F.col("bucket").cast("bigint").alias("bucket"), label.alias("label"), "applications", efficiency(F.col("applications"), F.col("views")).alias("efficiency"))
 
 
 def category_counts(categories: DataFrame, jobs: DataFrame) -> DataFrame:

@@ -13,9 +13,42 @@ def parquet(spark: SparkSession, folder: str, table: str) -> DataFrame:
     return spark.read.schema(schema(table)).parquet(f"{folder}/{table}.parquet")
 
 
-def jdbc(spark: SparkSession, url: str, table: str, key: str = "id", low: int = 0, high: int = 1 << 40, parts: int = 32, **options: str) -> DataFrame:
-    """A table of a database, read in parts by ranges of its key; its driver must be on the class path."""
-    return spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options).load()
+def jdbc(spark: SparkSession, url: str, table: str, key: str = "id", parts: int = 32, **options: str) -> DataFrame:
+    """A table of a database, read in parts of about equal size by ranges of its whole-numbered key, whose driver must be on
+    the class path. Filters on columns go to the database. Rows without a key are a part of their own."""
+    cuts = even_cuts(spark, url, table, key, parts, **options)
+    ends = [None, *cuts, None]
+    bounds = [" AND ".join([f"{key} >= {low}"] * (low is not None) + [f"{key} < {high}"] * (high is not None)) or f"{key} IS NOT NULL" for low, high in zip(ends, ends[1:], strict=False)]
+    return spark.read.jdbc(url, table, predicates=[*bounds, f"{key} IS NULL"], properties=options)
+
+
+def even_cuts(spark: SparkSession, url: str, table: str, key: str, parts: int, **options: str) -> list[int]:
+    """Keys at which a table falls into parts, none of over twice the average unless one key alone is. The database counts
+    rows in equal ranges of keys, and again in those that hold more than a part should: only counts are sent."""
+
+    def ask(sql: str) -> list:
+        return spark.read.format("jdbc").options(url=url, query=sql, **options).load().collect()
+
+    low, high, total = ask(f"SELECT MIN({key}) AS a, MAX({key}) AS b, COUNT({key}) AS n FROM {table}")[0]
+    if not total or parts < 2:
+        return []
+    most, ranges = -(-int(total) // (2 * parts)), []
+    waiting = [(int(low), int(high), int(total))]
+    while waiting:
+        low, high, n = waiting.pop()
+        if n <= most or low == high:
+            ranges.append((low, n))
+            continue
+        width = -(-(high - low + 1) // (4 * parts))
+        sql = f"SELECT place, COUNT(*) AS n FROM (SELECT ({key} - {low}) / {width} AS place FROM {table} WHERE {key} >= {low} AND {key} <= {high}) placed GROUP BY place"
+        waiting += [(low + int(p) * width, min(high, low + (int(p) + 1) * width - 1), int(count)) for p, count in ask(sql)]
+    cuts, held = [], 0
+    for low, n in sorted(ranges):
+        if held and held + n > 2 * most:
+            cuts.append(low)
+            held = 0
+        held += n
+    return cuts
 
 
 def by_key(df: DataFrame, key, column: str = "id") -> DataFrame:

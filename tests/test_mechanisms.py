@@ -9,9 +9,9 @@ from types import SimpleNamespace
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake.operators import mutations, ranks, search, trigrams
-from hirelake.plans import payments
-from hirelake.sources import upserts
+from hirelake.operators import bitmaps, mutations, ranks, search, trigrams
+from hirelake.plans import payments, reports, rollup
+from hirelake.sources import generator, tables, upserts
 from hirelake.streaming import settlement
 
 # --- ranks -----------------------------------------------------------------------------------------------------------------
@@ -202,3 +202,78 @@ def test_lookup_reads_few_files(spark, tmp_path):
     plan = found._jdf.queryExecution().executedPlan().toString()
     pruned = re.findall(r"PartitionFilters: \[[^\]]*bucket[^\]]*\]", plan)
     assert pruned and index.texts(spark).where(F.col("bucket").isin([0])).count() < 20_000 // 16
+
+
+# --- a database in even parts, draws, rollups, bitmaps ---------------------------------------------------------------------
+
+
+def test_a_skewed_table_is_read_in_even_parts(spark):
+    database = {"url": "jdbc:derby:memory:skewed;create=true", "driver": "org.apache.derby.jdbc.EmbeddedDriver"}
+    keys = [k for k in range(800)] + [1_000_000 + 1000 * k for k in range(150)] + [1 << 40, (1 << 40) + 1, None]
+    rows = spark.createDataFrame([(k, i, 1000 * (i % 7)) for i, k in enumerate(keys)], "KEY_ID long, N int, SALARY_MIN long")
+    rows.write.format("jdbc").options(dbtable="SKEWED", **database).mode("overwrite").save()
+    found = tables.jdbc(spark, database["url"], "SKEWED", key="KEY_ID", parts=8, driver=database["driver"])
+    assert sorted(r["N"] for r in found.collect()) == list(range(len(keys)))
+    sizes = [r["n"] for r in found.where("KEY_ID IS NOT NULL").groupBy(F.spark_partition_id()).agg(F.count("*").alias("n")).collect()]
+    assert max(sizes) <= 2 * len(keys) / 8 and 8 <= len(sizes) <= 17
+    plan = found.where("SALARY_MIN >= 3000")._jdf.queryExecution().executedPlan().toString()
+    assert "PushedFilters" in plan and "GreaterThanOrEqual(SALARY_MIN,3000)" in plan
+    rows.limit(0).write.format("jdbc").options(dbtable="NOTHING", **database).mode("overwrite").save()
+    assert tables.jdbc(spark, database["url"], "NOTHING", key="KEY_ID", driver=database["driver"]).collect() == []
+
+
+@pytest.mark.parametrize("n", [1, 2, 3, 5, 16, 17, 1000])
+def test_draws_without_replacement_are_permutations(spark, n):
+    df = spark.range(40).withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).withColumn("x", generator.drawn(7, "x", F.col("k"), n))
+    rows = df.collect()
+    orders = {}
+    for r in sorted(rows, key=lambda r: (r["id"], r["k"])):
+        orders.setdefault(r["id"], []).append(r["x"])
+    assert all(sorted(o) == list(range(n)) for o in orders.values())
+    if n >= 16:
+        assert len(set(map(tuple, orders.values()))) == 40
+
+
+def test_draws_are_uniform_and_weights_hold(spark):
+    n = 40_000
+    df = spark.range(n).select(generator.drawn(3, "x", F.lit(2), 10).alias("x"), generator.weighted(3, "w", ("a", "b", "c"), (20, 70, 10)).alias("w"))
+    seen = {r["x"]: r["count"] for r in df.groupBy("x").count().collect()}
+    # Within five standard deviations.
+    assert set(seen) == set(range(10)) and all(abs(c - n / 10) < 5 * (n * 0.09) ** 0.5 for c in seen.values())
+    drawn = {r["w"]: r["count"] for r in df.groupBy("w").count().collect()}
+    assert all(abs(drawn[v] - n * w) < 5 * (n * w * (1 - w)) ** 0.5 for v, w in (("a", 0.2), ("b", 0.7), ("c", 0.1)))
+
+
+def test_reports_from_a_rollup_equal_those_from_all_rows(spark, tmp_path):
+    made = generator.generate(spark, 9, 6, 30, 40)
+    moved = made["application"].withColumn("created_date", F.col("created_date") + F.make_dt_interval(F.pmod(F.xxhash64("id"), F.lit(1500)).cast("int") - 700))
+    path, jobs = str(tmp_path / "r"), made["job"]
+
+    def check(rows, year, category=None):
+        found = rollup.reports(rollup.stored(spark, path), jobs, year, category)
+        for period in ("year", "quarter", "month"):
+            expected = reports.employer_report(rows, jobs, period, year, category)
+            assert sorted(map(tuple, found.where(F.col("period") == period).drop("period").collect())) == sorted(map(tuple, expected.collect()))
+
+    old, new = moved.where("id % 3 > 0"), moved.where("id % 3 = 0")
+    rollup.store_day(path, dt.date(2024, 5, 1), old, jobs)
+    check(old, 2024)
+    for _ in range(2):  # a day that is written again counts once
+        rollup.store_day(path, dt.date(2024, 5, 2), new, jobs)
+    check(moved, 2024)
+    check(moved, 2023, 2)
+    rollup.compacted(spark, path, str(tmp_path / "c"))
+    assert rollup.stored(spark, str(tmp_path / "c")).agg(F.sum("applications")).first()[0] == moved.count()
+
+
+def test_bitmaps_let_all_known_keys_through(spark):
+    large = spark.range(20_000).select(F.concat(F.lit("k"), "id").alias("name"), "id")
+    keys = spark.createDataFrame([(f"k{7 * k}",) for k in range(300)] + [("none",), (None,)], "name string")
+    maps = bitmaps.united(bitmaps.bitmaps(keys.where("length(name) < 4"), "name"), bitmaps.bitmaps(keys, "name"))
+    passed = bitmaps.maybe_among(large, "name", maps)
+    found = [r["id"] for r in passed.collect()]
+    assert set(range(0, 2100, 7)) <= set(found) and len(found) < 330
+    assert passed.columns == large.columns
+    assert bitmaps.maybe_among(large, "name", bitmaps.bitmaps(keys.limit(0), "name")).collect() == []
+    plan = passed._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
