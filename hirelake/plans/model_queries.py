@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from hirelake.functions import dates, money, text
 from hirelake.operators import bitmaps, integrity, mutations, ranks, relations, search, trigrams
 from hirelake.plans import compare, payments, profiles
-from hirelake.sources import generator, tables, upserts
+from hirelake.sources import bucketed, generator, tables, upserts
 from hirelake.sources.storage import shared_folder
 from hirelake.streaming import settlement
 
@@ -149,6 +149,14 @@ def applications_to_owner(t):
     return search.owned_by(rows, "job_posted_by_id", OWNER).select("id", "job_id", "job_title", F.col("applicant_id").alias("candidate_id"), F.col("user_email").alias("email"), F.col("user_username").alias("username"), F.col("candidate_specialization").alias("specialization"), "status")
 
 
+@query(" SELECT a.id, a.candidate_id, a.status, j.posted_by_id, j.title FROM application a JOIN job j ON a.job_id = j.id", "application", "job")
+def applications_by_buckets(t):
+    """All applications with their jobs, from tables in equal buckets of the job."""
+    applications = bucketed.bucketed(t["application"].select("id", "candidate_id", "job_id", "status"), "job_id", 16)
+    jobs = bucketed.bucketed(t["job"].select("id", "posted_by_id", "title"), "id", 16)
+    return bucketed.applications_with_jobs(applications, jobs).select("id", "candidate_id", "status", "posted_by_id", "title")
+
+
 @query(f" SELECT id, title FROM job WHERE posted_by_id = {OWNER} AND contains(lower(title), 'high') ORDER BY created_date DESC, id LIMIT 20", "job")
 def own_jobs(t):
     mine = search.owned_by(t["job"], "posted_by_id", OWNER).where(search.contains(F.col("title"), "HIGH"))

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import bitmaps, mutations, ranks, search, trigrams
 from hirelake.plans import payments, reports, rollup
-from hirelake.sources import generator, tables, upserts
+from hirelake.sources import bucketed, generator, tables, upserts
 from hirelake.streaming import settlement
 
 # --- ranks -----------------------------------------------------------------------------------------------------------------
@@ -277,3 +277,16 @@ def test_bitmaps_let_all_known_keys_through(spark):
     assert bitmaps.maybe_among(large, "name", bitmaps.bitmaps(keys.limit(0), "name")).collect() == []
     plan = passed._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_tables_in_equal_buckets_join_without_a_shuffle(spark, tmp_path):
+    applications = spark.range(5000).select("id", F.pmod(F.xxhash64("id"), F.lit(700)).alias("job_id"))
+    jobs = spark.range(700).select("id", (F.col("id") % 9).alias("posted_by_id"), F.concat(F.lit("job "), "id").alias("title"))
+    left, right = bucketed.bucketed(applications, "job_id", 8, str(tmp_path)), bucketed.bucketed(jobs, "id", 8, str(tmp_path))
+    joined = bucketed.applications_with_jobs(left, right)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "Exchange" not in plan
+    assert "Exchange" in bucketed.applications_with_jobs(applications, jobs)._jdf.queryExecution().executedPlan().toString()
+    expected = bucketed.applications_with_jobs(applications, jobs)
+    assert sorted(map(tuple, joined.collect())) == sorted(map(tuple, expected.collect())) and joined.count() == 5000
+    assert bucketed.applications_with_jobs(bucketed.bucketed(applications.limit(0), "job_id", 8, str(tmp_path)), right).collect() == []
