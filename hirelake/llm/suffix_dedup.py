@@ -14,8 +14,10 @@ windows of a document that share an anchor are a run, and the bytes that they co
 
 Documents travel in compressed blocks of about BLOCK_BYTES and answers go back by block. Before anything is sent, a
 block keeps the earliest of its equal segments only, so a passage that is everywhere comes once from each block. Where
-segments go window by window, it keeps the earliest of its equal windows in the same way. So what meets in one task about
-one passage is a record of 44 bytes (with its bytes, if it goes window by window) for each block that has it.
+segments go window by window, it keeps the earliest of its equal windows in the same way, and windows are equal if 128 bits
+of their hashes are. What comes about one passage from all blocks, 44 bytes from each, streams by: a task holds the
+earliest record of each kind so far and answers the others as they come. Only anchors with several segments, of which
+there are MOST_SEGMENTS at most, have their suffixes sorted, so no task gathers a record of each block.
 """
 
 from __future__ import annotations
@@ -40,6 +42,8 @@ BLOCK_BYTES, CHUNK = 8 << 20, 1 << 18
 MOST_PARTITIONS = 20_000
 #: Segments under one anchor of more than this many are sent window by window, filed under the window's own hash.
 MOST_SEGMENTS = 20_000
+#: Records that are gathered before they are compared with what is held.
+FOLD = 1 << 20
 
 #: Flags of answers: a segment is a repeat; its suffixes are to be sorted; the same, window by window.
 REPEAT, SORT, SPLIT = 1, 2, 3
@@ -143,7 +147,7 @@ def unpack(blob: bytes) -> Iterator[tuple]:
 
 
 def _rows(names: list[str], rows: list[tuple]) -> pa.Table:
-    types = {"own": pa.bool_(), "home": pa.int32(), "bucket": pa.int32(), "block": pa.int32(), "blob": pa.binary()}
+    types = {"kind": pa.int32(), "home": pa.int32(), "bucket": pa.int32(), "block": pa.int32(), "blob": pa.binary()}
     return pa.table({n: pa.array([r[k] for r in rows], types[n]) for k, n in enumerate(names)})
 
 
@@ -164,16 +168,73 @@ def bucket_of(records: np.ndarray, buckets: int) -> np.ndarray:
     return (_mix(records["anchor"] + records["segment"] * np.uint64(0xA24BAED4963EE407)) % np.uint64(buckets)).astype(np.int64)
 
 
-def count_kinds(blobs: list[bytes]) -> np.ndarray:
-    """The anchors of one bucket, each with its number of different segments."""
-    records = np.concatenate([np.frombuffer(b, RECORD) for b in blobs])
-    order = np.lexsort((records["segment"], records["anchor"]))
-    anchor, segment = records["anchor"][order], records["segment"][order]
-    new = np.concatenate([[True], (anchor[1:] != anchor[:-1]) | (segment[1:] != segment[:-1])])
-    anchors, counts = np.unique(anchor[new], return_counts=True)
-    out = np.empty(len(anchors), KINDS)
-    out["anchor"], out["value"] = anchors, counts
-    return out
+class Earliest:
+    """The earliest of records that are alike in anchor and segment, found while records stream by. It holds the different
+    ones and at most as many again (or FOLD), however often each comes."""
+
+    def __init__(self):
+        self.blocks, self.records = np.empty(0, np.int32), np.empty(0, RECORD)
+        self.waiting: list[tuple[int, np.ndarray]] = []
+        self.size = 0
+
+    def add(self, block: int, records: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Takes records of a block. Returns blocks and records of those that by now are known to have an earlier equal."""
+        self.waiting.append((block, records))
+        self.size += len(records)
+        return self.fold() if self.size >= max(FOLD, len(self.records)) else (self.blocks[:0], self.records[:0])
+
+    def fold(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same for all that is waiting; the earliest of what came are in blocks and records then."""
+        records = np.concatenate([self.records, *(r for _, r in self.waiting)])
+        blocks = np.concatenate([self.blocks, *(np.full(len(r), k, np.int32) for k, r in self.waiting)])
+        self.waiting, self.size = [], 0
+        # Only what shares its hashes is sorted any further.
+        both = records["anchor"] + records["segment"] * np.uint64(0xA24BAED4963EE407)
+        order = np.argsort(both)
+        same = both[order][1:] == both[order][:-1]
+        if not same.any():
+            self.blocks, self.records = blocks, records
+            return blocks[:0], records[:0]
+        order = np.sort(order[np.concatenate([[False], same]) | np.concatenate([same, [False]])])
+        few = records[order]
+        order = order[np.lexsort((few["low"], few["doc"], few["digest"], few["doc_id"], few["segment"], few["anchor"]))]
+        anchor, segment = records["anchor"][order], records["segment"][order]
+        later = order[1:][(segment[1:] == segment[:-1]) & (anchor[1:] == anchor[:-1])]
+        stay = np.ones(len(records), bool)
+        stay[later] = False
+        self.blocks, self.records = blocks[stay], records[stay]
+        return blocks[later], records[later]
+
+
+class Kinds:
+    """The different segments of a bucket, counted by anchor while records stream by, in bounded room like Earliest."""
+
+    def __init__(self):
+        self.pairs = np.empty((0, 2), np.uint64)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, records: np.ndarray) -> None:
+        self.waiting.append(np.stack([records["anchor"], records["segment"]], axis=1))
+        self.size += len(records)
+        if self.size >= max(FOLD, len(self.pairs)):
+            self.fold()
+
+    def fold(self) -> None:
+        pairs = np.concatenate([self.pairs, *self.waiting])
+        self.waiting, self.size = [], 0
+        pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+        new = np.ones(len(pairs), bool)
+        new[1:] = (pairs[1:] != pairs[:-1]).any(axis=1)
+        self.pairs = pairs[new]
+
+    def counts(self) -> np.ndarray:
+        """The anchors, each with its number of different segments."""
+        self.fold()
+        anchors, counts = np.unique(self.pairs[:, 0], return_counts=True)
+        out = np.empty(len(anchors), KINDS)
+        out["anchor"], out["value"] = anchors, counts
+        return out
 
 
 def sum_kinds(blobs: list[tuple[int, bytes]], most: int) -> list[tuple[int, bytes]]:
@@ -188,35 +249,19 @@ def sum_kinds(blobs: list[tuple[int, bytes]], most: int) -> list[tuple[int, byte
     return [(k, part.tobytes()) for k, part in _split(buckets[keep], told[keep])]
 
 
-def match_segments(blobs: list[tuple[int, bytes]], told: list[bytes]) -> list[tuple[int, bytes]]:
-    """Answers by block for the records of one bucket: (document, first window, flag) of those that need one. told has
-    the anchors with several different segments and their flags."""
-    parts = [np.frombuffer(b, RECORD) for _, b in blobs]
-    if not parts:
-        return []
-    records = np.concatenate(parts)
-    blocks = np.repeat(np.array([k for k, _ in blobs]), [len(p) for p in parts])
+def told_flags(records: np.ndarray, told: list[bytes]) -> np.ndarray:
+    """The flags of records by their anchors. told has the anchors with several different segments and their flags."""
     several = np.sort(np.concatenate([np.empty(0, KINDS), *(np.frombuffer(b, KINDS) for b in told)]), order="anchor")
-    at = np.minimum(np.searchsorted(several["anchor"], records["anchor"]), max(0, len(several) - 1))
-    flag = np.where(several["anchor"][at] == records["anchor"], several["value"][at], 0) if len(several) else np.zeros(len(records), np.int64)
-    # Only what shares its segment or its anchor is sorted any further.
-    both = records["anchor"] + records["segment"] * np.uint64(0xA24BAED4963EE407)
-    order = np.argsort(both)
-    same = both[order][1:] == both[order][:-1]
-    shared = np.zeros(len(records), bool)
-    shared[order] = np.concatenate([[False], same]) | np.concatenate([same, [False]])
-    keep = shared | (flag > 0)
-    records, blocks, flag = records[keep], blocks[keep], flag[keep]
-    if not len(records):
-        return []
-    order = np.lexsort((records["low"], records["doc"], records["digest"], records["doc_id"], records["segment"], records["anchor"]))
-    records, blocks, flag = records[order], blocks[order], flag[order]
-    anchor, segment = records["anchor"], records["segment"]
-    new = np.concatenate([[True], (segment[1:] != segment[:-1]) | (anchor[1:] != anchor[:-1])])
-    flag = np.where(new, flag, REPEAT)
-    answers = np.stack([records["doc"], records["low"], flag], axis=1).astype(np.int32)
-    keep = flag > 0
-    return [(k, part.tobytes()) for k, part in _split(blocks[keep], answers[keep])]
+    if not len(several):
+        return np.zeros(len(records), np.int64)
+    at = np.minimum(np.searchsorted(several["anchor"], records["anchor"]), len(several) - 1)
+    return np.where(several["anchor"][at] == records["anchor"], several["value"][at], 0)
+
+
+def answers_of(blocks: np.ndarray, records: np.ndarray, last: np.ndarray | int) -> list[tuple[int, bytes]]:
+    """By block: document, first window and last, or a flag in its place."""
+    answers = np.stack([records["doc"], records["low"], np.broadcast_to(last, len(records))], axis=1).astype(np.int32)
+    return [(k, part.tobytes()) for k, part in _split(blocks, answers)] if len(records) else []
 
 
 def answered(block: Block, answers: list[bytes], length: int, gram: int) -> tuple[np.ndarray, np.ndarray]:
@@ -241,7 +286,7 @@ def split_windows(block: Block, records: np.ndarray, flags: np.ndarray, length:
     begin = block.starts[single["doc"]] + single["low"]
     digests = b"".join(hashlib.blake2b(block.data[b : b + length], digest_size=16).digest() for b in begin.tolist())
     hashes = np.frombuffer(digests, "<u8").reshape(-1, 2)
-    single["anchor"] = hashes[:, 0]
+    single["anchor"], single["segment"] = hashes[:, 0], hashes[:, 1]
     order = np.lexsort((begin, hashes[:, 1], hashes[:, 0]))
     first = np.ones(len(single), bool)
     first[order[1:]] = (hashes[order[1:]] != hashes[order[:-1]]).any(axis=1)
@@ -252,9 +297,6 @@ def to_sort(block: Block, records: np.ndarray, flags: np.ndarray, buckets: int,
     """By bucket, the segments whose suffixes are to be sorted: records with their bytes behind."""
     out = []
     chosen = records[flags == SORT]
-    if (flags == SPLIT).any():
-        single, first = split_windows(block, records, flags, length)
-        chosen = np.concatenate([chosen, single[first]])
     for bucket, part in _split((chosen["anchor"] % np.uint64(buckets)).astype(np.int64), chosen):
         begin = block.starts[part["doc"]] + part["low"]
         sizes = (part["high"] - part["low"] + length).astype(np.int64)
@@ -362,12 +404,9 @@ def earlier_matches(blobs: list[tuple[int, bytes]], length: int) -> list[tuple[i
     return [(k, part.tobytes()) for k, part in _split(blocks[who], ranges)]
 
 
-def own_ranges(block: Block, records: np.ndarray, flags: np.ndarray, length: int) -> bytes:
+def own_ranges(records: np.ndarray, flags: np.ndarray, single: np.ndarray, first: np.ndarray) -> bytes:
     """Ranges (document, first window, last window) of the block's segments and single windows that are repeats."""
-    gone = records[flags == REPEAT]
-    if (flags == SPLIT).any():
-        single, first = split_windows(block, records, flags, length)
-        gone = np.concatenate([gone, single[~first]])
+    gone = np.concatenate([records[flags == REPEAT], single[~first]])
     gone = gone[np.lexsort((gone["low"], gone["doc"]))]
     new = np.ones(len(gone), bool)
     new[1:] = (gone["doc"][1:] != gone["doc"][:-1]) | (gone["low"][1:] != gone["high"][:-1] + 1)
@@ -437,7 +476,7 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
     def block_of(table: pa.Table) -> int:
         return table["block"][0].as_py()
 
-    def pairs(table: pa.Table) -> list[tuple[int, bytes]]:
+    def pairs(table: pa.Table | pa.RecordBatch) -> list[tuple[int, bytes]]:
         return list(zip(table["block"].to_pylist(), table["blob"].to_pylist(), strict=True))
 
     def send_segments(table: pa.Table) -> pa.Table:
@@ -445,28 +484,60 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
         records = records[first]
         return _rows(["bucket", "block", "blob"], [(bucket, block_of(table), part.tobytes()) for bucket, part in _split(bucket_of(records, blocks), records)])
 
-    def send_kinds(table: pa.Table) -> pa.Table:
-        kinds, bucket = count_kinds(blobs(table)), table["bucket"][0].as_py()
-        return _rows(["home", "bucket", "blob"], [(home, bucket, part.tobytes()) for home, part in _split((kinds["anchor"] % np.uint64(blocks)).astype(np.int64), kinds)])
+    def send_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds, bucket = Kinds(), 0
+        for batch in batches:
+            bucket = batch["bucket"][0].as_py()
+            for _, blob in pairs(batch):
+                kinds.add(np.frombuffer(blob, RECORD))
+        counts = kinds.counts()
+        homes = (counts["anchor"] % np.uint64(blocks)).astype(np.int64)
+        yield from _rows(["home", "bucket", "blob"], [(home, bucket, part.tobytes()) for home, part in _split(homes, counts)]).to_batches()
 
     def add_kinds(table: pa.Table) -> pa.Table:
-        return _rows(["bucket", "blob"], sum_kinds(list(zip(table["bucket"].to_pylist(), blobs(table), strict=True)), most))
+        told = sum_kinds(list(zip(table["bucket"].to_pylist(), blobs(table), strict=True)), most)
+        return _rows(["bucket", "block", "blob"], [(bucket, None, blob) for bucket, blob in told])
 
-    def match(left: pa.Table, right: pa.Table) -> pa.Table:
-        return _rows(["block", "blob"], match_segments(pairs(left), blobs(right)))
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # Rows without a block say which anchors have several different segments.
+        earliest, told = Earliest(), []
+        for batch in batches:
+            for number, blob in pairs(batch):
+                if number is None:
+                    told.append(blob)
+                else:
+                    yield from send(answers_of(*earliest.add(number, np.frombuffer(blob, RECORD)), REPEAT))
+        yield from send(answers_of(*earliest.fold(), REPEAT))
+        flags = told_flags(earliest.records, told)
+        yield from send(answers_of(earliest.blocks[flags > 0], earliest.records[flags > 0], flags[flags > 0]))
+
+    def send(answers: list[tuple[int, bytes]]) -> list[pa.RecordBatch]:
+        return _rows(["block", "blob"], answers).to_batches() if answers else []
 
     def send_suffixes(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
-            return _rows(["own", "bucket", "block", "blob"], [])
+            return _rows(["kind", "bucket", "block", "blob"], [])
         number, block = block_of(left), Block(blobs(left))
         records, flags = answered(block, blobs(right), length, gram)
-        sent = [(False, bucket, number, blob) for bucket, blob in to_sort(block, records, flags, blocks, length)]
+        single, first = split_windows(block, records, flags, length)
+        sent = [(SORT, bucket, number, blob) for bucket, blob in to_sort(block, records, flags, blocks, length)]
+        sent += [(SPLIT, bucket, number, part.tobytes()) for bucket, part in _split(bucket_of(single[first], blocks), single[first])]
         # What the block knows by itself goes along, so that it needn't be found again in the end.
-        return _rows(["own", "bucket", "block", "blob"], [*sent, (True, number, number, own_ranges(block, records, flags, length))])
+        return _rows(["kind", "bucket", "block", "blob"], [*sent, (REPEAT, number, number, own_ranges(records, flags, single, first))])
 
-    def sort_suffixes(table: pa.Table) -> pa.Table:
-        rows = list(zip(table["own"].to_pylist(), pairs(table), strict=True))
-        return _rows(["block", "blob"], [pair for own, pair in rows if own] + earlier_matches([pair for own, pair in rows if not own], length))
+    def sort_suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        earliest, suffixes = Earliest(), []
+        for batch in batches:
+            for kind, number, blob in zip(batch["kind"].to_pylist(), batch["block"].to_pylist(), batch["blob"].to_pylist(), strict=True):
+                if kind == SORT:
+                    suffixes.append((number, blob))
+                elif kind == REPEAT:
+                    yield from send([(number, blob)])
+                else:
+                    later, records = earliest.add(number, np.frombuffer(blob, RECORD))
+                    yield from send(answers_of(later, records, records["high"]))
+        later, records = earliest.fold()
+        yield from send(answers_of(later, records, records["high"]) + earlier_matches(suffixes, length))
 
     def finish(left: pa.Table, right: pa.Table) -> pa.Table:
         block = Block(blobs(left))
@@ -481,9 +552,9 @@ def dedup_suffixes(documents: DataFrame, length: int = LENGTH, gram: int = GRAM,
 
     by_block, by_bucket = "block int, blob binary", "bucket int, block int, blob binary"
     sent = packed.groupBy("block").applyInArrow(send_segments, by_bucket).repartition(parts, "bucket")
-    kinds = sent.groupBy("bucket").applyInArrow(send_kinds, "home int, bucket int, blob binary").repartition(parts, "home").groupBy("home").applyInArrow(add_kinds, "bucket int, blob binary")
-    first = sent.groupBy("bucket").cogroup(kinds.groupBy("bucket")).applyInArrow(match, by_block)
-    second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_suffixes, f"own boolean, {by_bucket}")
+    kinds = sent.groupBy("bucket").applyInArrow(send_kinds, "home int, bucket int, blob binary").repartition(parts, "home").groupBy("home").applyInArrow(add_kinds, by_bucket)
+    first = sent.union(kinds.repartition(parts, "bucket")).groupBy("bucket").applyInArrow(match, by_block)
+    second = packed.groupBy("block").cogroup(first.groupBy("block")).applyInArrow(send_suffixes, f"kind int, {by_bucket}")
     answers = second.repartition(parts, "bucket").groupBy("bucket").applyInArrow(sort_suffixes, by_block)
     return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(finish, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 

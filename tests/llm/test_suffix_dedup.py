@@ -99,9 +99,38 @@ def shared_passage(n=300, seed=7):
 def test_block_sends_each_window_of_split_segments_once():
     block = suffix_dedup.Block([suffix_dedup.pack([(True, k, 0, t.encode()) for k, t in shared_passage()])])
     records, first = block.records(40, 16)
-    sent = suffix_dedup.to_sort(block, records, np.where(first, suffix_dedup.SPLIT, suffix_dedup.REPEAT), 5, 40)
-    windows = np.concatenate([np.frombuffer(b, suffix_dedup.RECORD, int.from_bytes(b[:8], "little"), 8)["anchor"] for _, b in sent])
-    assert len(windows) == len(set(windows.tolist())) > 1000
+    flags = np.where(first, suffix_dedup.SPLIT, suffix_dedup.REPEAT)
+    single, first = suffix_dedup.split_windows(block, records, flags, 40)
+    assert suffix_dedup.to_sort(block, records, flags, 5, 40) == []
+    window = lambda r: block.texts[r["doc"]][r["low"] : r["low"] + 40]
+    sent = [window(r) for r in single[first]]
+    assert len(sent) == len(set(sent)) > 1000 and set(sent) == {window(r) for r in single}
+    assert all((r["doc"], r["low"]) == min((o["doc"], o["low"]) for o in single if window(o) == window(r)) for r in single[first][::97])
+
+
+@pytest.mark.parametrize("fold", [1, 7, 1 << 20])
+def test_running_minima_equal_those_of_all(monkeypatch, fold):
+    monkeypatch.setattr(suffix_dedup, "FOLD", fold)
+    rng = np.random.default_rng(fold)
+    records = np.zeros(600, suffix_dedup.RECORD)
+    for name, most in (("anchor", 4), ("segment", 5), ("doc_id", 40), ("digest", 2), ("doc", 3)):
+        records[name] = rng.integers(0, most, 600)
+    records["low"] = np.arange(600)
+    records["anchor"][:300] = records["segment"][:300] = 9  # half of all rows are of one kind
+    rng.shuffle(records)
+    earliest, kinds, answered = suffix_dedup.Earliest(), suffix_dedup.Kinds(), []
+    for block, part in enumerate(np.split(records, 60)):
+        answered += zip(*(x.tolist() for x in earliest.add(block, part)), strict=True)
+        kinds.add(part)
+        assert fold > 600 or len(earliest.records) + earliest.size <= 2 * 21 + 10 + fold
+    answered += zip(*(x.tolist() for x in earliest.fold()), strict=True)
+    least = {}
+    for r in records.tolist():
+        least[r[:2]] = min(least.get(r[:2], r), r, key=lambda x: (x[2], x[3], x[4], x[5]))
+    assert sorted(earliest.records.tolist()) == sorted(least.values())
+    assert sorted(r for _, r in answered) == sorted(set(records.tolist()) - set(least.values()))
+    assert all(records[10 * block : 10 * block + 10].tolist().count(r) == 1 for block, r in answered)
+    assert dict(kinds.counts().tolist()) == {a: sum(k[0] == a for k in least) for a in {k[0] for k in least}}
 
 
 def test_segments_of_one_anchor_are_dealt_out():
