@@ -1,4 +1,4 @@
-"""Rules as queries for what breaks them, and what deleting rows does to tables that refer to them."""
+"""Rules as queries for what breaks them."""
 
 from __future__ import annotations
 
@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from hirelake.functions.text import file_has_type, filled, is_verified
-from hirelake.sources.schema import CASCADE, DOMAINS, LENGTHS, PROTECT, REFERENCES, RESTRICT, SET_NULL, UNIQUE
+from hirelake.sources.schema import DOMAINS, LENGTHS, UNIQUE
 
 MAX_RESUME_BYTES = 5 * 1024 * 1024
 
@@ -134,29 +134,3 @@ def form_errors(as_of: Column) -> Column:
 def orphans(df: DataFrame, column: str, parents: DataFrame, key: str) -> DataFrame:
     """Rows that refer to no row there is. A null refers to none and is no orphan."""
     return df.where(F.col(column).isNotNull()).join(parents.select(F.col(key).alias("parent_key")), F.col(column) == F.col("parent_key"), "left_anti")
-
-
-class Refused(Exception):
-    """Rows are referred to that must not go."""
-
-
-def deleted(tables: dict[str, DataFrame], table: str, keys: DataFrame) -> dict[str, DataFrame]:
-    """The tables after deleting the rows of a table whose key is in keys (one column). Rows that refer to them go too,
-    lose the reference, or forbid it all, by the reference's policy."""
-    out = dict(tables)
-    key = next((k for (t, _), (to, k, _) in REFERENCES.items() if to == table), "id")
-    gone = keys.select(F.col(keys.columns[0]).alias("gone"))
-    for (child, column), (parent, _, policy) in REFERENCES.items():
-        if parent != table or child not in out:
-            continue
-        hit = out[child].join(gone, F.col(column) == F.col("gone"), "left_semi")
-        if policy in (PROTECT, RESTRICT):
-            if not hit.isEmpty():
-                raise Refused(f"{child}.{column} refers to rows of {table}")
-        elif policy == SET_NULL:
-            out[child] = out[child].join(gone.distinct(), F.col(column) == F.col("gone"), "left").withColumn(column, F.when(F.col("gone").isNull(), F.col(column))).drop("gone")
-        elif policy == CASCADE:
-            own = next((k for (_, _), (to, k, _) in REFERENCES.items() if to == child), None)
-            out = deleted(out, child, hit.select(own)) if own else out | {child: out[child].join(gone, F.col(column) == F.col("gone"), "left_anti")}
-    out[table] = out[table].join(gone, F.col(key) == F.col("gone"), "left_anti")
-    return out

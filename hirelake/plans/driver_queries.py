@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import dates, money, text
-from hirelake.operators import integrity, mutations, relations, search
+from hirelake.operators import deletes, integrity, mutations, relations, search
 from hirelake.plans import compare, payments, reports, rollup
 from hirelake.sources.storage import shared_folder
 
@@ -307,7 +307,7 @@ def unapproved_posts(t):
 @query("SELECT (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')) AS jobs, (SELECT count(*) FROM lineitem WHERE l_orderkey IN (SELECT o_orderkey FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING'))) AS applications, (SELECT count(*) FROM customer WHERE c_mktsegment <> 'BUILDING') AS employers")
 def cascaded_delete(t):
     tables = {"employer_profile": t["employer"], "job": t["job"], "application": t["application"]}
-    out = integrity.deleted(tables, "employer_profile", t["employer"].where(F.col("status") == "BUILDING").select("user_id"))
+    out = deletes.deleted(tables, "employer_profile", t["employer"].where(F.col("status") == "BUILDING").select("user_id"))
     n = lambda df, c: df.agg(F.count("*").alias(c))
     return n(out["job"], "jobs").join(n(out["application"], "applications")).join(n(out["employer_profile"], "employers"))
 

@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from hirelake.functions import dates, money, text
-from hirelake.operators import bitmaps, integrity, mutations, ranks, relations, search, trigrams
+from hirelake.operators import bitmaps, deletes, integrity, mutations, ranks, relations, search, trigrams
 from hirelake.plans import compare, payments, profiles
 from hirelake.sources import bucketed, generator, tables, upserts
 from hirelake.sources.storage import shared_folder
@@ -361,7 +361,7 @@ def form_messages(t):
 def packs_deleted(t):
     """Receipts of packs that go lose their reference."""
     gone = t["service_pack"].where("id < 10").select("id")
-    return integrity.deleted({"service_pack": t["service_pack"], "receipt": t["receipt"]}, "service_pack", gone)["receipt"].select("id", "service_pack_id")
+    return deletes.deleted({"service_pack": t["service_pack"], "receipt": t["receipt"]}, "service_pack", gone)["receipt"].select("id", "service_pack_id")
 
 
 @query(" SELECT 'job_category' AS of_table, count(*) > 0 AS refused FROM job WHERE category_id IN (SELECT id FROM job_category) UNION ALL SELECT 'user', count(*) > 0 FROM employer_profile WHERE user_id IN (SELECT id FROM users)", "job", "job_category", "employer_profile", "user")
@@ -370,13 +370,33 @@ def deletes_refused(t):
     out = []
     for table, key in (("job_category", "id"), ("user", "id")):
         try:
-            integrity.deleted({n: t[n] for n in ("job_category", "job", "user", "employer_profile")}, table, t[table].select(key))
+            deletes.deleted({n: t[n] for n in ("job_category", "job", "user", "employer_profile")}, table, t[table].select(key))
             out.append((table, False))
-        except integrity.Refused:
+        except deletes.Refused:
             out.append((table, True))
     return t.spark.createDataFrame(out, "of_table string, refused boolean")
 
 
+_OF_CANDIDATES = {"candidate_profile": "user_id", "application": "candidate_id", "bookmark_job": "user_id", "work_experience": "candidate_id", "education": "candidate_id", "language": "candidate_id", "appreciation": "candidate_id"}
+
+
+@query(" SELECT 'user' AS of_table, count(*) AS n FROM users WHERE id NOT IN (SELECT user_id FROM candidate_profile WHERE experience_years >= 20)" + "".join(f" UNION ALL SELECT '{n}', count(*) FROM {n} WHERE {c} NOT IN (SELECT user_id FROM candidate_profile WHERE experience_years >= 20)" for n, c in _OF_CANDIDATES.items()), "user", *_OF_CANDIDATES)
+def users_deleted(t):
+    """Rows left in each table after deleting the users who are experienced candidates: profiles go with users, and what
+    belongs to a profile with it."""
+    names = ("user", "employer_profile", "receipt", *_OF_CANDIDATES)
+    out = deletes.deleted({n: t[n] for n in names}, "user", t["candidate_profile"].where("experience_years >= 20").select("user_id"))
+    return reduce(DataFrame.union, (out[n].agg(F.count("*").alias("n")).select(F.lit(n).alias("of_table"), "n") for n in ("user", *_OF_CANDIDATES)))
+
+
+@query("+gone AS (SELECT user_id FROM employer_profile WHERE description = 'BUILDING'), gone_jobs AS (SELECT id FROM job WHERE posted_by_id IN (SELECT user_id FROM gone)) SELECT 'application' AS of_table, count(*) AS n FROM application WHERE job_id NOT IN (SELECT id FROM gone_jobs) UNION ALL SELECT 'bookmark_job', count(*) FROM bookmark_job WHERE job_id NOT IN (SELECT id FROM gone_jobs) UNION ALL SELECT 'employer_profile', count(*) FROM employer_profile WHERE user_id NOT IN (SELECT user_id FROM gone) UNION ALL SELECT 'job', count(*) FROM job WHERE id NOT IN (SELECT id FROM gone_jobs) UNION ALL SELECT 'receipt', count(related_job_id) FROM receipt WHERE related_job_id NOT IN (SELECT id FROM gone_jobs)", "application", "bookmark_job", "employer_profile", "job", "receipt")
+def employers_deleted(t):
+    """Rows left, and receipts that still refer to a job, after deleting the employers of one branch."""
+    counted = {"application": "id", "bookmark_job": "id", "employer_profile": "user_id", "job": "id", "receipt": "related_job_id"}
+    out = deletes.deleted({n: t[n] for n in counted}, "employer_profile", t["employer_profile"].where("description = 'BUILDING'").select("user_id"))
+    return reduce(DataFrame.union, (out[n].agg(F.count(c).alias("n")).select(F.lit(n).alias("of_table"), "n") for n, c in counted.items()))
+
+
 # --- changes -------------------------------------------------------------------------------------------------------------
 
 

@@ -4,7 +4,7 @@ from decimal import Decimal
 import pytest
 from pyspark.sql import functions as F
 
-from hirelake.operators import integrity, mutations, relations, search
+from hirelake.operators import deletes, integrity, mutations, relations, search
 from hirelake.plans import compare, payments, profiles, reports
 from hirelake.sources import generator, schema, tables
 
@@ -178,17 +178,17 @@ def test_forms_are_checked(spark):
 
 def test_deletes(spark, data):
     owner = data["job"].where("id = 1").select("posted_by_id")
-    out = integrity.deleted(data, "employer_profile", owner)
+    out = deletes.deleted(data, "employer_profile", owner)
     left = {r[0] for r in out["job"].select("id").collect()}
     assert 1 not in left and {r[0] for r in out["application"].select("job_id").collect()} <= left
     assert out["bookmark_job"].where("job_id = 1").count() == 0
-    with pytest.raises(integrity.Refused):
-        integrity.deleted(data, "job_category", data["job_category"].select("id"))
-    with pytest.raises(integrity.Refused):
-        integrity.deleted(data, "user", spark.createDataFrame([(1,)], "id long"))
+    with pytest.raises(deletes.Refused):
+        deletes.deleted(data, "job_category", data["job_category"].select("id"))
+    with pytest.raises(deletes.Refused):
+        deletes.deleted(data, "user", spark.createDataFrame([(1,)], "id long"))
     receipts = spark.createDataFrame([(1, 7, 1), (2, 8, None)], "id long, service_pack_id long, related_job_id long")
     packs = spark.createDataFrame([(7,), (8,)], "id long")
-    out = integrity.deleted({"service_pack": packs, "receipt": receipts}, "service_pack", packs.where("id = 7"))
+    out = deletes.deleted({"service_pack": packs, "receipt": receipts}, "service_pack", packs.where("id = 7"))
     assert sorted(map(tuple, out["receipt"].select("id", "service_pack_id").collect())) == [(1, None), (2, 8)]
 
 
