@@ -23,6 +23,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from hirelake.operators.ranks import numbered
 from hirelake.operators.search import ANY_CASE_AND_ACCENT, any_contains
 from hirelake.sources.storage import checkpointed
 
@@ -173,14 +174,14 @@ def lookup(index: Index, needles: DataFrame, looked_up: int = LOOKED_UP) -> Data
 
 
 def scanned(texts: DataFrame, needles: DataFrame, columns: Sequence[Column], collation: str | None) -> list[DataFrame]:
-    """Needles compared with every text (key and columns), SHORT_AT_ONCE in a pass: what no index can answer."""
-    if texts.isEmpty():
+    """Needles compared with every text (key and columns), SHORT_AT_ONCE in a pass: what no index can answer. Needles are
+    numbered where they are, so the driver only sees how many there are."""
+    if texts.isEmpty() or needles.isEmpty():
         return []
-    rows, out = needles.collect(), []
-    schema = needles.schema
-    for at in range(0, len(rows), SHORT_AT_ONCE):
-        some = needles.sparkSession.createDataFrame(rows[at : at + SHORT_AT_ONCE], schema).agg(F.collect_list(F.struct("needle_id", "needle")).alias("asked"))
+    ranked, out = numbered(needles, [F.col("needle_id"), F.col("needle")]), []
+    for low in range(0, ranked.count(), SHORT_AT_ONCE):
         # One row, which holds a bounded number of needles.
+        some = ranked.where(F.col("rank").between(low, low + SHORT_AT_ONCE - 1)).agg(F.collect_list(F.struct("needle_id", "needle")).alias("asked"))
         each = texts.join(F.broadcast(some))
         hits = F.filter("asked", lambda n: reduce(or_, (F.coalesce(any_contains([c], n["needle"], collation), F.lit(False)) for c in columns)))
         out.append(each.select("key", F.explode(hits).alias("hit")).select(F.col("hit.needle_id").alias("needle_id"), "key"))

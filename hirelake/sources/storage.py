@@ -4,6 +4,10 @@ from __future__ import annotations
 
 import re
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
+from threading import Lock
+from weakref import WeakKeyDictionary
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -21,14 +25,33 @@ def shared_folder(spark: SparkSession) -> str:
     return tempfile.mkdtemp(prefix="shared-")
 
 
+_LOCK = Lock()
+#: For each session that is writing checkpoints: how many, and CLEAN_UP as it was before the first of them.
+_WRITING: WeakKeyDictionary[SparkSession, tuple[int, str]] = WeakKeyDictionary()
+
+
+@contextmanager
+def _cleaning_up(session: SparkSession) -> Iterator[None]:
+    """CLEAN_UP is on while any thread of the session is in here, and then what it was before."""
+    with _LOCK:
+        n, before = _WRITING.get(session) or (0, session.conf.get(CLEAN_UP, "false"))
+        _WRITING[session] = n + 1, before
+        session.conf.set(CLEAN_UP, "true")
+    try:
+        yield
+    finally:
+        with _LOCK:
+            n, before = _WRITING.pop(session)
+            if n > 1:
+                _WRITING[session] = n - 1, before
+            else:
+                session.conf.set(CLEAN_UP, before)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a checkpoint in the session's shared folder, and releases the shuffles that led to it."""
     session = df.sparkSession
     if session.sparkContext.getCheckpointDir() is None:
         session.sparkContext.setCheckpointDir(shared_folder(session))
-    before = session.conf.get(CLEAN_UP, "false")
-    session.conf.set(CLEAN_UP, "true")
-    try:
+    with _cleaning_up(session):
         return df.select("*").checkpoint()  # a plan takes the setting when it is made
-    finally:
-        session.conf.set(CLEAN_UP, before)

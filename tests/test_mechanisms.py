@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 import re
+from concurrent.futures import ThreadPoolExecutor
 from decimal import Decimal
 from types import SimpleNamespace
 
@@ -11,9 +12,27 @@ from pyspark.sql import functions as F
 
 from hirelake.operators import bitmaps, mutations, ranks, search, trigrams
 from hirelake.plans import payments, reports, rollup
-from hirelake.sources import bucketed, generator, tables, upserts
+from hirelake.sources import bucketed, generator, storage, tables, upserts
 from hirelake.streaming import settlement
 
+# --- stored results ----------------------------------------------------------------------------------------------------------
+
+
+def test_checkpoints_in_threads_leave_the_setting_as_it_was(spark):
+    def rows(k):
+        return storage.checkpointed(spark.range(10 * k).repartition(3).groupBy((F.col("id") % 7).alias("x")).count()).count()
+
+    for before in ("false", "true"):
+        spark.conf.set(storage.CLEAN_UP, before)
+        with ThreadPoolExecutor(6) as pool:
+            assert list(pool.map(rows, range(24))) == [min(7, 10 * k) for k in range(24)]
+        assert spark.conf.get(storage.CLEAN_UP) == before and not storage._WRITING
+    spark.conf.unset(storage.CLEAN_UP)
+    with pytest.raises(Exception, match="divided by zero"):
+        storage.checkpointed(spark.range(3).select(F.expr("raise_error('divided by zero')")))
+    assert spark.conf.get(storage.CLEAN_UP, "false") == "false"
+
+
 # --- ranks -----------------------------------------------------------------------------------------------------------------
 
 
@@ -192,6 +211,17 @@ def test_lookup_finds_what_contains_finds(spark, tmp_path, collation):
     assert trigrams.lookup(trigrams.build(df.limit(0), str(tmp_path), ["title"], buckets=2), asked).collect() == []
 
 
+def test_needles_that_no_index_answers_are_compared_in_blocks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(trigrams, "SHORT_AT_ONCE", 4)
+    df = spark.createDataFrame([(k, t) for k, t in enumerate(["ab", "ABBA", "ﬁsh", "xyz", None, "ba"])], "id long, title string")
+    index = trigrams.build(df, str(tmp_path), ["title"], buckets=2)
+    needles = ["a", "b", "AB", "ba", "x", "z", "-", "fis", "abba", "", None]
+    asked = spark.createDataFrame([(k % 10, n) for k, n in enumerate(needles)] * 2, "needle_id long, needle string")
+    expected = asked.join(df.hint("broadcast"), F.coalesce(search.any_contains([F.col("title")], F.col("needle"), index.collation), F.lit(False))).select("needle_id", "id").distinct()
+    found = trigrams.lookup(index, asked).collect()
+    assert sorted(map(tuple, found)) == sorted(map(tuple, expected.collect())) and len(found) > 12
+
+
 def test_lookup_reads_few_files(spark, tmp_path):
     df = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("title"))
     index = trigrams.build(df, str(tmp_path), ["title"], buckets=32)
