@@ -74,9 +74,12 @@ def crc32_of_id(doc_id: Column) -> Column:
 
 
 def sample_by_id(df: DataFrame, rows: int, seed: int) -> DataFrame:
-    """About that many rows, and never more than twice as many, chosen by a digest of doc_id: the same in every run.
-    Needs a count, but no sort or shuffle."""
+    """About that many rows, and never more than twice as many, chosen by a digest of doc_id: the same in every run, but if
+    one id has more rows than that. Rows without an id are chosen by their other columns. Needs a count, but no sort or
+    shuffle."""
     if (n := df.count()) <= rows:
         return df.limit(2 * rows)
     bound = -(1 << 63) + (rows << 64) // n  # digests are spread over all signed 64-bit numbers
-    return df.where(F.xxhash64(F.lit(seed), "doc_id") < bound).limit(2 * rows)
+    others = [c for c in df.columns if c != "doc_id"]
+    digest = F.when(F.col("doc_id").isNull(), F.xxhash64(F.lit(seed), *others)).otherwise(F.xxhash64(F.lit(seed), "doc_id"))
+    return df.where(digest < bound).limit(2 * rows)

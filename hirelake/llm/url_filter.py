@@ -17,6 +17,8 @@ from hirelake.llm._common import LOWER, UPPER, map_rows, read
 
 #: Rules of a trie that is broadcast, at most; more are joined by shuffles, which gives the same.
 MAX_BROADCAST = 200_000
+#: Parts that the addresses of a host are dealt out over in that join.
+SALTS = 16
 
 _LOWER = str.maketrans(UPPER, UPPER.lower())
 
@@ -139,19 +141,23 @@ def url_parts(url: Column) -> tuple[Column, Column]:
 
 def judge_by_join(pages: DataFrame, rules: DataFrame, default: str = "allow") -> DataFrame:
     """judge_urls for rules of any number, as a DataFrame: with joins on hosts, and then on hosts and beginnings of paths.
-    Each different address is judged once."""
+    Each different address is judged once. A host that many addresses end in, such as com, is dealt out over SALTS parts,
+    to each of which its rules go."""
     host, path = url_parts(F.col("url"))
     rules = rules.where(F.length("host") > 0).select("verdict", F.translate("host", UPPER, LOWER).alias("rule_host"), "path")
     rules = rules.groupBy("rule_host", F.col("path").alias("rule_path")).agg(F.max("verdict").alias("verdict"))  # block is the later word
-    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths"))
+    dealt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    lengths = rules.groupBy("rule_host").agg(F.collect_set(F.length("rule_path")).alias("lengths")).withColumn("salt", dealt)
+    rules = rules.withColumn("salt", dealt)
     rows = pages.select("page_id", host.alias("host"), path.alias("path"))
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
-    asked = rows.select("host", "path").distinct().select("host", "path", F.explode(suffixes).alias("rule_host")).join(lengths, "rule_host")
-    asked = asked.select("host", "path", "rule_host", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
-    asked = asked.select("host", "path", "rule_host", F.expr("substring(path, 1, n)").alias("rule_path"))
+    asked = rows.select("host", "path").distinct().withColumn("salt", F.pmod(F.xxhash64("host", "path"), F.lit(SALTS)).cast("int"))
+    asked = asked.select("host", "path", "salt", F.explode(suffixes).alias("rule_host")).join(lengths, ["rule_host", "salt"])
+    asked = asked.select("host", "path", "salt", "rule_host", F.explode(F.filter("lengths", lambda n: n <= F.length("path"))).alias("n"))
+    asked = asked.select("host", "path", "salt", "rule_host", F.expr("substring(path, 1, n)").alias("rule_path"))
     size = F.struct(F.length("rule_host") + F.length("rule_path"), F.length("rule_host"))
-    best = asked.join(rules, ["rule_host", "rule_path"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), size).alias("best"))
+    best = asked.join(rules, ["rule_host", "rule_path", "salt"]).groupBy("host", "path").agg(F.max_by(F.struct(F.concat("rule_host", "rule_path").alias("rule"), "verdict"), size).alias("best"))
     out = rows.join(best, ["host", "path"], "left")
     return out.select("page_id", "host", "path", F.col("best.rule").alias("rule"), F.coalesce("best.verdict", F.lit(default)).alias("verdict"))
 

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from hirelake.llm import language, toxicity
+from hirelake.llm._common import sample_by_id
 
 from .helpers import corpus, crc, frame
 
@@ -219,3 +220,15 @@ def test_held_out_rows_are_not_learned_from(spark):
     assert held == {k for k in range(400) if crc(k) % 4 == 2}
     held = {r["doc_id"] for r in docs.where(language.held_out(F.col("doc_id"))).collect()}
     assert held == {k for k in range(400) if crc(k) % 5 == 0}
+
+
+def test_rows_without_an_id_are_sampled_by_what_else_they_have(spark):
+    known = spark.range(4000).select(F.col("id").alias("doc_id"), F.concat(F.lit("text "), F.col("id")).alias("text"))
+    rows = known.withColumn("doc_id", F.when(F.col("doc_id") % 3 > 0, F.col("doc_id")))
+    chosen = [sorted(sample_by_id(df, 600, 2).select("text").toPandas()["text"]) for df in (rows, rows.repartition(5, "text"))]
+    assert chosen[0] == chosen[1] and 450 < len(chosen[0]) < 750
+    without = sum(int(t.removeprefix("text ")) % 3 == 0 for t in chosen[0])
+    assert 120 < without < 280
+    # Those that have one are chosen by it alone.
+    wanted = {r["text"] for r in sample_by_id(known, 600, 2).collect()}
+    assert {t for t in chosen[0] if int(t.removeprefix("text ")) % 3} == {t for t in wanted if int(t.removeprefix("text ")) % 3}
