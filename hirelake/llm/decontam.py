@@ -53,8 +53,9 @@ def passes_of(n: int) -> int:
 
 def occurrences(documents: DataFrame, terms: DataFrame, *columns: str, window: int = WINDOW) -> DataFrame:
     """The places (at, from 0) of the terms (column word) in documents (columns, words), and of LENGTH at -1. A few passes
-    over documents with broadcast terms; if they would be more, one with a shuffle by term."""
-    parts = passes_of(terms.count())
+    over documents with broadcast terms; if they would be more, one with a shuffle by term. Terms may have others, an array of
+    words, all of which count as terms here."""
+    parts = passes_of(terms.agg(F.coalesce(F.sum(F.size("others")), F.lit(0))).first()[0] if "others" in terms.columns else terms.count())
     rows = documents.select(*columns, "words", F.posexplode(F.concat(F.array(F.lit(LENGTH)), "words")).alias("after", "word"))
     if parts > MOST_PASSES:
         # Places and contexts go through the shuffle, not whole texts.
@@ -102,13 +103,19 @@ def sought_pairs(windows: DataFrame, places: DataFrame, pairs: tuple[tuple[int,
 
 def index(documents: DataFrame, terms: DataFrame, window: int) -> DataFrame:
     """The stored index of documents (key, words): word, key, at, doc_before and doc_behind for each place of a term; and
-    with the word LENGTH, at being the number of words, a row for each document."""
+    with the word LENGTH, at being the number of words, a row for each document. Of terms with others only the places are
+    stored that have one of these about them or are one themselves, and met names them."""
     length = terms.sparkSession.createDataFrame([(LENGTH,)], "word string")
-    found = occurrences(documents, terms.unionByName(length), "key", window=window)
+    others = ["others"] if "others" in terms.columns else []
+    found = occurrences(documents, terms.unionByName(length, allowMissingColumns=True), "key", window=window)
     is_length = F.col("word") == LENGTH
     if "words" in found.columns:
-        found = found.select("word", "key", "at", count_words(F.col("words")).alias("n_words"), *around(F.col("words"), F.col("at"), window))
-    context = (F.when(~is_length, F.col(n)).alias(f"doc_{n}") for n in ("before", "behind"))
+        found = found.select("word", "key", "at", *others, count_words(F.col("words")).alias("n_words"), *around(F.col("words"), F.col("at"), window))
+    context = [F.when(~is_length, F.col(n)).alias(f"doc_{n}") for n in ("before", "behind")]
+    if others:
+        here = F.concat(F.array("word"), "before", "behind")
+        found = found.where(is_length | F.arrays_overlap(here, "others"))
+        context.append(F.when(~is_length, F.array_intersect(here, "others")).alias("met"))
     return checkpointed(found.select("word", "key", F.when(is_length, F.col("n_words")).otherwise(F.col("at")).cast("long").alias("at"), *context))
 
 
@@ -138,9 +145,9 @@ def near_matches(postings: DataFrame, sought: DataFrame, near: float) -> DataFra
     """query, key, low, high: a posting of a term with the other one about it, in any order, where a share of near of the
     query's words about the term is as well. low and high are the first and last of these words."""
     wanted = sought.select("query", "word", "other", F.array_union("before", "behind").alias("about")).distinct()
-    asked = postings.withColumn("doc_about", F.array_distinct(F.concat(F.array("word"), "doc_before", "doc_behind")))
-    asked = asked.select("word", "key", "at", "doc_before", "doc_behind", "doc_about", F.explode("doc_about").alias("other"))
-    found = asked.join(wanted, ["word", "other"]).where(F.size(F.array_intersect("about", "doc_about")) >= near * F.size("about"))
+    asked = postings.select("word", "key", "at", "doc_before", "doc_behind", F.explode("met").alias("other"))
+    shared = F.array_intersect("about", F.concat(F.array("word"), "doc_before", "doc_behind"))
+    found = asked.join(wanted, ["word", "other"]).where(F.size(shared) >= near * F.size("about"))
     return found.select("query", "key", (F.col("at") - farthest(F.col("doc_before"), F.col("about"))).alias("low"), (F.col("at") + farthest(F.col("doc_behind"), F.col("about"))).alias("high")).distinct()
 
 
@@ -157,8 +164,11 @@ def find_phrases(documents: DataFrame, queries: DataFrame, window: int = WINDOW,
     windows = checkpointed(rarest_places(places, counts, window))
     sought = checkpointed(sought_pairs(windows.where(F.size("ranked") == F.col("size")), places, ((0, 1),)))
     loose = checkpointed(sought_pairs(windows, places, ((0, 1), (0, 2), (1, 2)))) if near is not None else None
-    terms = sought.select("word") if loose is None else sought.select("word").unionByName(loose.select("word"))
-    stored = index(documents, checkpointed(terms.distinct()), window)
+    if loose is None:
+        terms = sought.select("word").distinct()
+    else:  # a place is of use if one of the words is about it that a match by it has
+        terms = sought.select("word", "other").unionByName(loose.select("word", "other")).groupBy("word").agg(F.collect_set("other").alias("others"))
+    stored = index(documents, checkpointed(terms), window)
     postings = stored.where(F.col("word") != LENGTH)
     found = exact_matches(postings, sought).withColumn("exact", F.lit(True))
     if loose is not None:

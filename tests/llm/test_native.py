@@ -162,3 +162,16 @@ def test_many_terms_are_met_by_a_shuffle(spark, monkeypatch):
     monkeypatch.setattr(decontam, "MAX_BROADCAST", 5)
     assert sorted(map(str, decontam.contamination(df, items, near=0.8).select(*columns).collect())) == sorted(map(str, plain))
     assert any(r["n_near"] > r["n_hit"] for r in plain) and all(r["n_near"] >= r["n_hit"] for r in plain)
+
+
+def test_index_of_terms_with_others(spark, monkeypatch):
+    documents = spark.createDataFrame([(1, "a x b".split()), (2, "a x x x b a".split()), (3, "b b".split()), (4, ["a"])], "key long, words array<string>")
+    terms = spark.createDataFrame([("a", ["b"]), ("b", ["b"])], "word string, others array<string>")
+    for most, passes in ((decontam.MAX_BROADCAST, 3), (1, 9), (1, 3)):  # one pass, four, and a shuffle
+        monkeypatch.setattr(decontam, "MAX_BROADCAST", most)
+        monkeypatch.setattr(decontam, "MOST_PASSES", passes)
+        rows = decontam.index(documents, terms, 3).collect()
+        lengths = {r["key"]: r["at"] for r in rows if r["word"] == decontam.LENGTH}
+        assert lengths == {1: 3, 2: 6, 3: 2, 4: 1}
+        # The first a of document 2 has no b within two words.
+        assert sorted((r["word"], r["key"], r["at"], r["met"]) for r in rows if r["word"] != decontam.LENGTH) == [("a", 1, 0, ["b"]), ("a", 2, 5, ["b"]), ("b", 1, 2, ["b"]), ("b", 2, 4, ["b"]), ("b", 3, 0, ["b"]), ("b", 3, 1, ["b"])]
