@@ -26,9 +26,22 @@ def currency(amount: Column) -> Column:
     return F.when(_missing(amount), F.lit(NEGOTIABLE)).otherwise(dotted(amount))
 
 
+def one_decimal(x: Column) -> Column:
+    """A double of at least 1 with one decimal. The double itself is rounded, halves to the even digit, as printf of SQL and C
+    does; Spark's format_string rounds the shortest decimal that stands for it, halves upwards (1.25 and 1.45)."""
+    whole = F.floor(x)
+    # Of a double from 1 on the fraction is a multiple of 2^-52, so these are exact.
+    part = ((x - whole) * (1 << 52)).cast("long") * 10
+    tenths, rest = F.shiftright(part, 52), part.bitwiseAND((1 << 52) - 1)
+    up = (rest > 1 << 51) | ((rest == 1 << 51) & (tenths % 2 == 1))
+    found = whole * 10 + tenths + up.cast("long")
+    text = F.concat(F.floor(found / 10).cast("string"), F.lit("."), (found % 10).cast("string"))
+    return F.when(x < 1 << 49, text).otherwise(F.format_string("%.1f", x))
+
+
 def currency_short(amount: Column) -> Column:
     """From a million on in millions, with one decimal unless it is 0."""
-    millions = F.regexp_replace(F.format_string("%.1f", (amount / MILLION).cast("double")), r"\.0$", "")
+    millions = F.regexp_replace(one_decimal((amount / MILLION).cast("double")), r"\.0$", "")
     return F.when(_missing(amount), F.lit("0")).when(amount >= MILLION, F.concat(millions, F.lit(" Triệu"))).otherwise(currency(amount))
 
 
