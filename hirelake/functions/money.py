@@ -50,10 +50,10 @@ def currency_local(amount: Column) -> Column:
 
 
 def salary_band(low: Column, high: Column) -> Column:
-    """10M - 15M, one side alone, or negotiable; zero counts as none."""
+    """10M - 15M, one side alone, or negotiable; zero counts as none. Halves go to the even million."""
 
     def side(x: Column) -> Column:
-        return F.when(~_missing(x), F.format_string("%.0fM", (x / MILLION).cast("double")))
+        return F.when(~_missing(x), F.format_string("%.0fM", F.rint((x / MILLION).cast("double"))))
 
     return F.when(~_missing(low) & ~_missing(high), F.concat(side(low), F.lit(" - "), side(high))).otherwise(F.coalesce(side(low), side(high), F.lit(NEGOTIABLE)))
 

@@ -116,9 +116,10 @@ def test_currency(value, v, full, short):
 def test_millions_are_rounded_as_printf_does(spark):
     """The double's exact value, halves to the even digit: 1.25 gives 1.2, 1.35 and 1.15 what their doubles are nearer to."""
     amounts = [*range(1_050_000, 12_000_000, 50_000), *range(999_999, 60_000_000, 777_777), 9_950_000, 2**40 * 10**6 + 250_000, 2**60]
-    row = spark.createDataFrame([(v,) for v in amounts], "v long").select("v", money.currency_short(c("v")))
-    for v, short in row.collect():
+    row = spark.createDataFrame([(v,) for v in amounts], "v long").select("v", money.currency_short(c("v")), money.salary_band(c("v"), c("v") + 500_000))
+    for v, short, band in row.collect():
         assert short == (f"{v / 1e6:.1f}".removesuffix(".0") + " Triệu" if v >= 1_000_000 else f"{v:,}".replace(",", ".")), v
+        assert band == f"{v / 1e6:.0f}M - {(v + 500_000) / 1e6:.0f}M", v
 
 
 @pytest.mark.parametrize("low,high,expected", [(10_000_000, 15_000_000, "10M - 15M"), (0, 15_000_000, "15M"), (10_000_000, None, "10M"), (None, None, "Thỏa thuận"), (0, 0, "Thỏa thuận")])
