@@ -222,6 +222,19 @@ def test_needles_that_no_index_answers_are_compared_in_blocks(spark, tmp_path, m
     assert sorted(map(tuple, found)) == sorted(map(tuple, expected.collect())) and len(found) > 12
 
 
+def test_texts_with_ligatures_are_filed_and_postings_are_packed(spark, tmp_path):
+    """Only what stands for no letters of the alphabet alone is compared with every needle."""
+    df = spark.createDataFrame([(k, f"Straße {k % 10} oﬃce") for k in range(400)] + [(400, "Ⅷ rooms")], "id long, title string").coalesce(2)
+    index = trigrams.build(df, str(tmp_path), ["title"], buckets=2)
+    postings = index.postings(spark)
+    assert [k for r in postings.where("gram = ''").collect() for k in r["keys"]] == [400]
+    assert sum(len(r["keys"]) for r in postings.where("gram = 'ass'").collect()) == 400 and postings.where("gram = 'ass'").count() <= 4
+    needles = ["STRASSE", "straße", "office", "ffi", "as", "tra", "ße 7", "s", "ss"]
+    asked = spark.createDataFrame(list(enumerate(needles)), "needle_id long, needle string")
+    expected = asked.join(df.hint("broadcast"), search.any_contains([F.col("title")], F.col("needle"), index.collation)).select("needle_id", "id")
+    assert sorted(map(tuple, trigrams.lookup(index, asked).collect())) == sorted(map(tuple, expected.collect()))
+
+
 def test_lookup_reads_few_files(spark, tmp_path):
     df = spark.range(20_000).select("id", F.sha2(F.col("id").cast("string"), 256).alias("title"))
     index = trigrams.build(df, str(tmp_path), ["title"], buckets=32)
