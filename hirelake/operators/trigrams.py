@@ -1,8 +1,8 @@
 """Substring search by a stored index of trigrams.
 
 Texts are folded so that what compares equal under the collation folds alike, and every three letters or digits in a row
-become a posting. A needle's trigrams are looked up from the rarest on, each narrowing what the ones before have left, and
-what remains is compared by the collation itself. So results are those of contains(), whatever the folding.
+become a posting. A needle's rarest trigrams are looked up, and texts that have all of them are compared by the
+collation itself. So results are those of contains(), whatever the folding.
 
 The folding is not written down: it is asked of Spark's collation, once for a session. Characters that equal one letter or
 digit become it, those that equal two or three letters (such as a ligature) become these, and those that equal nothing are
@@ -248,26 +248,22 @@ def lookup(index: Index, needles: DataFrame, looked_up: int = LOOKED_UP) -> Data
     counts = F.broadcast(spark.read.schema("gram string, n long").parquet(f"{index.path}/counts"))
     each = long.select("needle_id", "needle", "plain", F.explode("grams").alias("gram")).join(counts, "gram", "left")
     rarest = each.groupBy("needle_id", "needle", "plain").agg(F.slice(F.sort_array(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram"))), 1, looked_up)["gram"].alias("grams"))
-    rarest = checkpointed(rarest)
-    wanted = rarest.select(F.explode("grams").alias("gram"))
+    # Needles go by their number, so no text is shuffled with a posting.
+    rarest = numbered(rarest, [F.col("needle_id"), F.col("needle")])
+    wanted = rarest.select("rank", F.size("grams").alias("of"), F.explode("grams").alias("gram"))
     buckets = [r[0] for r in wanted.select(_bucket(F.col("gram"), index.buckets).alias("b")).distinct().collect()]
     postings = index.postings(spark).where(F.col("bucket").isin(buckets))
     small = rarest.count() <= MAX_BROADCAST
-    found = None
-    for k in range(looked_up):
-        of_needle = rarest.where(F.size("grams") > k).select("needle_id", "needle", "plain", F.col("grams")[k].alias("gram"))
-        met = postings.join(F.broadcast(of_needle) if small else of_needle, "gram").select("needle_id", "needle", "plain", F.explode("keys").alias("key"))
-        if found is None:
-            found = met
-        else:
-            # Needles with fewer trigrams are done already.
-            done = found.join(rarest.where(F.size("grams") <= k).select("needle_id", "needle"), ["needle_id", "needle"], "left_semi")
-            found = done.unionByName(found.join(met.select("needle_id", "needle", "key"), ["needle_id", "needle", "key"], "left_semi"))
+    met = postings.join(F.broadcast(wanted) if small else wanted, "gram").select("rank", "of", F.explode("keys").alias("key"))
+    # A text is listed once under each of its trigrams.
+    found = met.groupBy("rank", "key").agg(F.count("*").alias("n"), F.first("of").alias("of")).where("n >= of").select("rank", "key")
     always = index.postings(spark).where((F.col("bucket") == _bucket(F.lit(""), index.buckets)) & (F.col("gram") == "")).select(F.explode("keys").alias("key")).distinct()
-    found = checkpointed(found.distinct())
+    found = checkpointed(found)
     blocks = [r[0] for r in found.select(_bucket(F.col("key"), index.buckets).alias("b")).distinct().collect()]
     texts = index.texts(spark)
-    met = found.join(texts.where(F.col("bucket").isin(blocks)), "key").where(has(index, F.col("needle"), F.col("plain"))).select("needle_id", "key")
+    named = rarest.select("rank", "needle_id", "needle", "plain")
+    named = found.join(F.broadcast(named) if small else named, "rank")
+    met = named.join(texts.where(F.col("bucket").isin(blocks)), "key").where(has(index, F.col("needle"), F.col("plain"))).select("needle_id", "key")
     # Texts that aren't filed meet each needle, and needles that can't be looked up each text, some needles in a pass.
     parts = [met, *scanned(index, texts, asked.where(F.size("grams") == 0))]
     if not always.isEmpty():
