@@ -523,7 +523,7 @@ def replies_by_state(t):
         part = sent if low is None else sent.where(F.col("number") >= low)
         (part if high is None else part.where(F.col("number") < high)).write.mode("append").parquet(f"{folder}/in")
         stream = t.spark.readStream.schema(sent.schema).parquet(f"{folder}/in")
-        settlement.settle(settlement.answers(stream, t["receipt"]), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
+        settlement.settle(settlement.answers(stream, t["receipt"], fixed=True), f"{folder}/out", f"{folder}/checkpoint").awaitTermination()
     found = t.spark.read.schema(settlement.ANSWER).parquet(f"{folder}/out")
     return found.select(F.col("number").alias("event_id"), "reply", F.when(F.col("reply") != payments.BAD_SIGNATURE, F.col("receipt_id")).alias("receipt_id"))
 

@@ -173,6 +173,22 @@ def test_receipts_arrive_while_the_stream_runs(spark, tmp_path):
     assert found == {1: ("00", "FAILED"), 2: ("00", "SUCCESS"), 3: ("02", "SUCCESS")}
 
 
+def test_fixed_receipts_touch_the_state_only_when_they_change():
+    cell = SimpleNamespace(value=None, calls=0, get=lambda: cell.value)
+
+    def update(v):
+        cell.value, cell.calls = v, cell.calls + 1
+
+    cell.update = update
+    made = settlement.Settlement(None, False, fixed=True)
+    made.init(SimpleNamespace(getValueState=lambda name, schema: cell))
+    row = lambda number, code, sent=100, start=dict(zip(settlement._FIELDS, (1, 1, 100, "PENDING", 2, None), strict=True)): {"reference": "r", "number": number, "at": None, "code": code, "sent": sent, "receipt": None, "start": start}
+    replies = lambda *rows: sorted((r["number"], r["reply"]) for r in made.handleInputRows(("r",), iter(rows), None))
+    assert replies(row(1, "00", 7)) == [(1, "04")] and replies(row(1, "00", start=None)) == [(1, "01")] and cell.calls == 0
+    assert replies(row(2, "24"), row(3, "00"), row(4, "00")) == [(2, "00"), (3, "00"), (4, "02")] and cell.value[3] == "SUCCESS"
+    assert replies(row(5, "00")) == [(5, "02")] and cell.calls == 2
+
+
 def test_state_of_one_reference_without_a_stream():
     """The processor's own rules, with a state in memory."""
     cell = SimpleNamespace(value=None, exists=lambda: cell.value is not None, get=lambda: cell.value, update=lambda v: setattr(cell, "value", v))
